@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def once(expression: str) -> str:
+    """SQL that evaluates an expensive expression exactly once per row.
+
+    The optimizer copies a projected expression into every filter on it, and a
+    filter that mentions it many times would parse the payload as often. It
+    does not move filters below a generator, so the value is produced by one
+    that always yields one row.
+    """
+    return f"explode(array({expression}))"
+
+
 def json_quote(text: Column) -> Column:
     """JSON string literal; the slow escape runs only where it is needed."""
     escaped = F.to_json(F.array(text))

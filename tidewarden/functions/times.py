@@ -54,5 +54,9 @@ def delay_ms(later: Column, earlier: Column) -> Column:
 
 
 def latency_ms(received: Column, event_time: Column) -> Column:
-    """End-to-end latency; a clock that runs ahead gives 0, not a negative."""
-    return F.greatest(F.lit(0.0), delay_ms(received, event_time))
+    """End-to-end latency; a clock that runs ahead gives 0, not a negative.
+
+    NULL stays NULL (``greatest`` would skip it and give 0).
+    """
+    delay = delay_ms(received, event_time)
+    return F.when(delay < 0, 0.0).otherwise(delay)

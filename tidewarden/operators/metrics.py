@@ -179,6 +179,6 @@ def lag_totals(lags: DataFrame) -> DataFrame:
 
 def fault_detection(labelled: DataFrame, assessed: DataFrame) -> DataFrame:
     """Injected fault modes against the rules that caught them."""
-    joined = assessed.join(labelled.select("partition", "offset", "fault_mode"), ["partition", "offset"])
+    joined = assessed.select("partition", "offset", "failures").join(labelled.select("partition", "offset", "fault_mode"), ["partition", "offset"])
     return joined.select("fault_mode", F.explode_outer("failures").alias("rule")) \
         .groupBy("fault_mode", "rule").agg(F.count(F.lit(1)).alias("events"))

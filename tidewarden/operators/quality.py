@@ -1,9 +1,10 @@
 """Contract and quality rules on raw payloads, routing and audit rows.
 
 A payload is parsed once into a map of variants, which keeps a null, a missing
-key and a value of the wrong type apart. The contracts of all versions are one
-constant of the plan (a registry holds a few dozen versions), so checking an
-event against the contract of its own version needs no join.
+key and a value of the wrong type apart. The contracts of all versions become
+plain boolean conditions of the plan (a registry holds a few dozen versions),
+so checking an event against the contract of its own version needs no join and
+no loop over fields: everything compiles into one projection.
 """
 
 from __future__ import annotations
@@ -13,17 +14,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewarden import model
-from tidewarden.functions.payload import value_kind, value_text
+from tidewarden.functions.payload import once
 from tidewarden.functions.times import prefix_time
 from tidewarden.operators.dedupe import flag_duplicates
 from tidewarden.operators.ingest import money
 from tidewarden.operators.ordered import BLOCK, running_max_before
 
-# Value kinds a contract type accepts; an integer is a valid float.
-ACCEPTED = {"string": ["string"], "timestamp": ["string"], "integer": ["integer"],
-            "float": ["integer", "float"], "boolean": ["boolean"], "object": ["object"],
-            "array": ["array"]}
-MAX_CONTRACT_FIELDS = 100_000
+# Variant type names each contract type accepts, as a condition on {s}.
+# A number without a fraction is an integer; an integer is a valid float.
+ACCEPTS = {
+    "string": "{s} = 'STRING'",
+    "timestamp": "{s} = 'STRING' AND {t} IS NOT NULL",
+    "integer": "({s} = 'BIGINT' OR endswith({s}, ',0)'))",
+    "float": "({s} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({s}, 'DECIMAL'))",
+    "boolean": "{s} = 'BOOLEAN'",
+    "object": "startswith({s}, 'OBJECT')",
+    "array": "startswith({s}, 'ARRAY')",
+}
+TIME = "try_to_timestamp(substring({x}, 1, 19), \"yyyy-MM-dd'T'HH:mm:ss\")"
+MAX_CONTRACT_FIELDS = 5_000
 
 
 @dataclass(frozen=True)
@@ -40,105 +49,142 @@ class RuleOptions:
     block: int = BLOCK
 
 
-def contract_constant(rows: list[tuple]) -> Column:
-    """Map from version to its required, known, typed and enumerated fields.
+def _text(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    ``rows`` are contract-table rows (version, position, field, type, required,
-    enum) on the driver: registry metadata, refused beyond a fixed size.
-    """
-    if len(rows) > MAX_CONTRACT_FIELDS:
-        raise ValueError("a registry this large must be validated by join, one version at a time")
-    names = lambda fields: F.array(*[F.lit(f) for f in fields]).cast("array<string>")
-    entries = []
-    for version in dict.fromkeys(r[0] for r in rows):
-        own = [r for r in rows if r[0] == version]
-        typed = [F.struct(F.lit(r[2]).alias("field"), names(ACCEPTED[r[3]]).alias("kinds")) for r in own]
-        enums = [F.struct(F.lit(r[2]).alias("field"), names(r[5]).alias("allowed")) for r in own if r[5]]
-        empty = F.array().cast("array<struct<field:string,allowed:array<string>>>")
-        entries += [F.lit(version), F.struct(
-            names([r[2] for r in own if r[4]]).alias("required"),
-            names([r[2] for r in own]).alias("known"),
-            F.array(*typed).alias("typed"),
-            (F.array(*enums) if enums else empty).alias("enums"),
-            names([r[2] for r in own if r[3] == "timestamp"]).alias("times"))]
-    return F.create_map(*entries)
-
-
-def parse(raw: DataFrame, contract_rows: list[tuple]) -> DataFrame:
-    """Adds the parsed payload, the kind of each value and the contract."""
-    parsed = raw.withColumn("_m", F.from_json("value", "map<string,variant>"))
-    parsed = parsed.withColumn("_k", F.transform_values("_m", lambda _, v: value_kind(v)))
-    parsed = parsed.withColumn("schema_version", value_text(field("source_version")))
-    return parsed.withColumn("_c", F.try_element_at(contract_constant(contract_rows),
-                                                    F.col("schema_version")))
-
-
-def field(name: str) -> Column:
-    """Variant of one payload key; NULL when the key is absent."""
-    return F.try_element_at(F.col("_m"), F.lit(name))
-
-
-def kind(name: str | Column) -> Column:
-    return F.try_element_at(F.col("_k"), F.lit(name) if isinstance(name, str) else name)
-
-
-def stateless_rules(options: RuleOptions) -> dict[str, Column]:
-    """Failure condition per rule that needs nothing but the event itself."""
-    doc, contract, keys = F.col("_m").isNotNull(), F.col("_c"), F.map_keys("_m")
-    known = doc & contract.isNotNull()
-
-    def number(name: str) -> Column:
-        return value_text(field(name)).try_cast("double")
-
-    mistyped = F.exists(contract["typed"], lambda t: (kind(t["field"]) != "null")
-                        & ~F.array_contains(t["kinds"], kind(t["field"])))
-    unreadable = F.exists(contract["times"], lambda t: (kind(t) == "string") & prefix_time(
-        value_text(F.try_element_at(F.col("_m"), t))).isNull())
-    outside = F.exists(contract["enums"], lambda e: (kind(e["field"]) == "string") & ~F.array_contains(
-        e["allowed"], value_text(F.try_element_at(F.col("_m"), e["field"]))))
-    bounds = F.lit(False)
-    for name in options.positive:
-        bounds = bounds | F.coalesce(number(name) <= 0, F.lit(False))
-    expected = F.round(number("quantity") * number("unit_price"), 2)
-    event_ts = prefix_time(value_text(field("event_time")))
+
+def _any(conditions: list[str]) -> str:
+    return "(" + " OR ".join(conditions) + ")" if conditions else "false"
+
+
+@dataclass(frozen=True)
+class Contracts:
+    """The registry as conditions. ``rows`` are contract-table rows (version,
+    position, field, type, required, enum): metadata, of bounded number."""
+
+    rows: tuple[tuple, ...]
+
+    def __post_init__(self) -> None:
+        if len(self.rows) > MAX_CONTRACT_FIELDS:
+            raise ValueError(f"more than {MAX_CONTRACT_FIELDS} contract fields; split the registry")
+
+    @property
+    def versions(self) -> list[str]:
+        return list(dict.fromkeys(r[0] for r in self.rows))
+
+    @property
+    def fields(self) -> list[str]:
+        """All fields of all versions, and those the rules read anyway."""
+        return list(dict.fromkeys([*model.EVENT_FIELDS, *(r[2] for r in self.rows)]))
+
+    def slot(self, name: str) -> int:
+        return self.fields.index(name)
+
+    def among(self, versions: list[str]) -> str:
+        if set(versions) == set(self.versions):
+            return "_known"
+        return f"coalesce(schema_version IN ({', '.join(map(_text, versions))}), false)"
+
+    def grouped(self, key) -> dict:
+        """Versions by what ``key`` gives for their rows; None is left out."""
+        out: dict = {}
+        for r in self.rows:
+            k = key(r)
+            if k is not None:
+                out.setdefault(k, []).append(r[0])
+        return out
+
+    def missing(self) -> str:
+        return _any([f"({self.among(vs)} AND _v{self.slot(f)} IS NULL)"
+                     for f, vs in self.grouped(lambda r: r[2] if r[4] else None).items()])
+
+    def nulls(self) -> str:
+        return _any([f"({self.among(vs)} AND _s{self.slot(f)} = 'VOID')"
+                     for f, vs in self.grouped(lambda r: r[2] if r[4] else None).items()])
+
+    def mistyped(self) -> str:
+        out = []
+        for (f, kind), vs in self.grouped(lambda r: (r[2], r[3])).items():
+            i = self.slot(f)
+            fits = ACCEPTS[kind].format(s=f"_s{i}", t=TIME.format(x=f"_t{i}"))
+            out.append(f"({self.among(vs)} AND _s{i} <> 'VOID' AND NOT ({fits}))")
+        return _any(out)
+
+    def outside_enum(self) -> str:
+        return _any([f"({self.among(vs)} AND _s{self.slot(f)} = 'STRING' AND "
+                     f"_t{self.slot(f)} NOT IN ({', '.join(map(_text, allowed))}))"
+                     for (f, allowed), vs in self.grouped(
+                         lambda r: (r[2], tuple(r[5])) if r[5] else None).items()])
+
+    def unexpected(self) -> str:
+        known: dict = {}
+        for v in self.versions:
+            known.setdefault(tuple(r[2] for r in self.rows if r[0] == v), []).append(v)
+        return _any([f"({self.among(vs)} AND size(array_except(map_keys(_m), "
+                     f"array({', '.join(map(_text, fields))}))) > 0)" for fields, vs in known.items()])
+
+
+def parse(raw: DataFrame, contracts: Contracts) -> DataFrame:
+    """Adds per field i: the variant ``_v{i}``, its type name ``_s{i}`` and its
+    text ``_t{i}``; and ``schema_version`` with whether it is ``_known``."""
+    names = contracts.fields
+    n = range(len(names))
+    keep = [f"`{c}`" for c in raw.columns]
+    out = raw.selectExpr(*keep, "from_json(value, 'map<string,variant>') AS _m")
+    out = out.selectExpr(*keep, "_m", *[f"try_element_at(_m, {_text(f)}) AS _v{i}" for i, f in enumerate(names)])
+    out = out.selectExpr(*keep, "_m", *[f"_v{i}" for i in n],
+                         *[f"schema_of_variant(_v{i}) AS _s{i}" for i in n],
+                         *[f"try_variant_get(_v{i}, '$', 'string') AS _t{i}" for i in n])
+    version = f"_t{contracts.slot('source_version')}"
+    known = ", ".join(map(_text, contracts.versions))
+    return out.selectExpr("*", f"{version} AS schema_version", f"coalesce({version} IN ({known}), false) AS _known")
+
+
+def stateless_rules(contracts: Contracts, options: RuleOptions) -> dict[str, str]:
+    """Failure condition, as SQL, of each rule that needs only the event."""
+    slot = contracts.slot
+
+    def number(name: str) -> str:
+        return f"try_cast(_t{slot(name)} AS double)"
+
+    amount, price, quantity = number("amount"), number("unit_price"), number("quantity")
+    event_ts = TIME.format(x=f"_t{slot('event_time')}")
+    currency = slot("currency")
     rules = {
-        "MALFORMED_JSON": ~doc,
-        "UNSUPPORTED_SCHEMA_VERSION": doc & contract.isNull(),
-        "MISSING_REQUIRED_FIELD": known & (F.size(F.array_except(contract["required"], keys)) > 0),
-        "NULL_REQUIRED_FIELD": known & F.exists(contract["required"], lambda f: kind(f) == "null"),
-        "INVALID_DATA_TYPE": known & (F.coalesce(mistyped, F.lit(False)) | F.coalesce(unreadable, F.lit(False))),
-        "INVALID_DOMAIN_BOUNDS": doc & bounds,
-        "AMOUNT_MISMATCH": doc & (F.abs(number("amount") - expected) >= options.amount_tolerance),
-        "INVALID_CURRENCY": doc & (kind("currency") == "string")
-        & ~value_text(field("currency")).isin(list(options.currencies)),
-        "INVALID_ENUM_VALUE": known & outside,
-        "FUTURE_TIMESTAMP_ANOMALY": event_ts > F.col("arrived_at") + F.expr(f"interval {options.max_skew}"),
+        "MALFORMED_JSON": "_m IS NULL",
+        "UNSUPPORTED_SCHEMA_VERSION": "_m IS NOT NULL AND NOT _known",
+        "MISSING_REQUIRED_FIELD": contracts.missing(),
+        "NULL_REQUIRED_FIELD": contracts.nulls(),
+        "INVALID_DATA_TYPE": contracts.mistyped(),
+        "INVALID_DOMAIN_BOUNDS": _any([f"{number(f)} <= 0" for f in options.positive]),
+        "AMOUNT_MISMATCH": f"abs({amount} - round({quantity} * {price}, 2)) >= {options.amount_tolerance}D",
+        "INVALID_CURRENCY": f"_s{currency} = 'STRING' AND _t{currency} NOT IN "
+                            f"({', '.join(map(_text, options.currencies))})",
+        "INVALID_ENUM_VALUE": contracts.outside_enum(),
+        "FUTURE_TIMESTAMP_ANOMALY": f"{event_ts} > arrived_at + interval {options.max_skew}",
     }
     if options.strict_fields:
-        rules["UNEXPECTED_FIELD"] = known & (F.size(F.array_except(keys, contract["known"])) > 0)
-    return {code: F.coalesce(cond, F.lit(False)) for code, cond in rules.items()}
-
-
-def event_columns() -> list[Column]:
-    return [value_text(field(name)).alias(name) for name in model.EVENT_FIELDS]
+        rules["UNEXPECTED_FIELD"] = contracts.unexpected()
+    return rules
 
 
 def check(raw: DataFrame, contract_rows: list[tuple], options: RuleOptions = RuleOptions()) -> DataFrame:
     """Stateless rules only: arrivals + event fields + ``failures``.
 
     ``failures`` is the list of failed rule codes by falling priority. This is
-    one projection, without a shuffle, for tables and streams alike.
+    one projection, without a shuffle, for tables and streams alike. A payload
+    field whose name the arrival record uses already gets the prefix ``event_``.
     """
-    parsed = parse(raw, contract_rows)
-    rules = stateless_rules(options)
-    failed = F.array_compact(F.array(*[F.when(rules[c], F.lit(c)) for c in model.RULES if c in rules]))
-    carried = [c for c in raw.columns if c not in model.EVENT_FIELDS]
-    fields = [value_text(field(n)).alias(n if n not in raw.columns else f"event_{n}")
+    contracts = Contracts(tuple(contract_rows))
+    rules = stateless_rules(contracts, options)
+    failed = ", ".join(f"CASE WHEN {rules[c]} THEN '{c}' END" for c in model.RULES if c in rules)
+    fields = [f"_t{contracts.slot(n)} AS {n if n not in raw.columns else 'event_' + n}"
               for n in model.EVENT_FIELDS]
-    labels = [c for c in raw.columns if c in model.EVENT_FIELDS]
-    return parsed.select(*carried, *labels, *fields, "schema_version",
-                         prefix_time(value_text(field("event_time"))).alias("event_ts"),
-                         failed.alias("failures"))
+    return parse(raw, contracts).selectExpr(
+        *[f"`{c}`" for c in raw.columns], *fields, "schema_version",
+        f"{TIME.format(x='_t' + str(contracts.slot('event_time')))} AS event_ts",
+        f"{once(f'array_compact(array({failed}))')} AS failures")
 
 
 def context_failures(raw: DataFrame, options: RuleOptions) -> DataFrame:

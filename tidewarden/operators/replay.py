@@ -12,7 +12,7 @@ from tidewarden.operators.quality import RuleOptions, check, silver_rows
 
 def unquote_number(payload: Column, name: str) -> Column:
     """Turns ``"name":"12.5"`` into ``"name":12.5``."""
-    return F.regexp_replace(payload, f'"{name}":"(-?[0-9]+(?:\\\\.[0-9]+)?)"', f'"{name}":$1')
+    return F.regexp_replace(payload, rf'"{name}":"(-?[0-9]+(?:\.[0-9]+)?)"', f'"{name}":$1')
 
 
 def rename_key(payload: Column, old: str, new: str) -> Column:

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_KEYS = 1024          # rows broadcast at most, whatever the data size
 HOT_MIN_ROWS = 100_000   # keys with fewer rows are never worth special care
 SALTS = 256
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]):
-    """Null-safe equality of two frames on the same-named keys."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def _same(left: str, right: str, keys: list[str]) -> Column:
+    """Null-safe equality of two aliased frames on the same-named keys."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
 def attach(df: DataFrame, per_key: DataFrame, keys: list[str], weight: str | None,
@@ -35,9 +35,9 @@ def attach(df: DataFrame, per_key: DataFrame, keys: list[str], weight: str | Non
     values = [c for c in per_key.columns if c not in keys]
     left = df.alias("l")
     if weight is None:
-        right = F.broadcast(per_key)
-        return df.join(right, same(df, right, keys), "left") \
-            .select(*[df[c] for c in df.columns], *[right[c] for c in values])
+        right = F.broadcast(per_key).alias("r")
+        return left.join(right, _same("l", "r", keys), "left") \
+            .select(*[F.col(f"l.{c}").alias(c) for c in df.columns], *[F.col(f"r.{c}").alias(c) for c in values])
 
     hot = (per_key.where(F.col(weight) >= hot_min_rows)
            .orderBy(F.desc(weight)).limit(hot_keys)

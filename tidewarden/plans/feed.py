@@ -90,6 +90,9 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LANDED:
         path = shared_dir(spark, "rawlog")
-        arrivals(table(spark, sf_dir, "events")).write.mode("overwrite").parquet(path)
+        events = table(spark, sf_dir, "events")
+        # As many files as the scan has splits, but enough to use every core.
+        width = max(spark.sparkContext.defaultParallelism, events.rdd.getNumPartitions())
+        arrivals(events).repartition(width, "partition", "offset").write.mode("overwrite").parquet(path)
         _LANDED[key] = path
     return spark.read.parquet(_LANDED[key])

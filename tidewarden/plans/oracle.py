@@ -166,7 +166,7 @@ def _legacy(seed: int, percent: float, kinds: list[str]) -> str:
                    row_number() OVER (PARTITION BY "partition" ORDER BY "offset") AS idx FROM checkouts)),
     donors AS (
       SELECT a.*, b.event_id AS donor FROM picks a LEFT JOIN picks b ON a.error_type = 'duplicate_event_id'
-        AND a.idx > 1 AND a."partition" = b."partition" AND b.idx = a.idx - 1 - a.back % least(a.idx - 1, 1000))""")
+        AND a.idx > 1 AND a."partition" = b."partition" AND b.idx = a.idx - 1 - a.back % greatest(least(a.idx - 1, 1000), 1))""")
 
 
 def _legacy_payload() -> str:
@@ -358,12 +358,12 @@ ORACLE: dict[str, str] = {
           SELECT l_partkey, count(*) AS n, avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS sd
           FROM lineitem GROUP BY 1) s USING (l_partkey)) WHERE abs(z) > 2.0""",
     "fault_statistics": over_raw(
-        f""", t AS (SELECT count(*) AS total_events, count(fault_mode) AS faulty_events FROM raw)
-        SELECT m.fault_mode, count(raw.fault_mode) AS events, round(count(raw.fault_mode) / total_events * 100, 6)
+        f""", t AS (SELECT count(*) AS total_events, count(fault_mode) AS faulty_events FROM raw),
+        f AS (SELECT fault_mode, count(*) AS n FROM raw WHERE fault_mode IS NOT NULL GROUP BY 1)
+        SELECT m.fault_mode, coalesce(n, 0) AS events, round(coalesce(n, 0) / total_events * 100, 6)
           AS observed_pct, m.pct::double AS configured_pct, total_events, total_events - faulty_events AS clean_events,
           faulty_events, round(faulty_events / total_events * 100, 6) AS overall_faulty_pct
-        FROM (VALUES {MODE_ROWS}) m(fault_mode, pct) CROSS JOIN t LEFT JOIN raw ON raw.fault_mode = m.fault_mode
-        GROUP BY ALL"""),
+        FROM (VALUES {MODE_ROWS}) m(fault_mode, pct) CROSS JOIN t LEFT JOIN f ON f.fault_mode = m.fault_mode"""),
     "faults_by_type": over_raw(
         "SELECT fault_mode AS fault_type, count(*) AS faults FROM raw WHERE fault_mode IS NOT NULL GROUP BY 1"),
     "latency_percentiles": over_latency(
@@ -384,7 +384,7 @@ ORACLE: dict[str, str] = {
         f"SELECT source, le::double AS le, cumulative FROM ({_histogram(metrics.PRODUCER_BOUNDS, 'source, ')})"),
     "histogram_quantiles": over_latency(
         f""", b AS ({_histogram(metrics.CONSUMER_BOUNDS, 'source, ')}),
-        c AS (SELECT source, coalesce(le, 'inf')::double AS le, cumulative FROM b),
+        c AS (SELECT source, coalesce(le::double, 'inf'::double) AS le, cumulative FROM b),
         e AS (SELECT *, coalesce(lag(cumulative) OVER w, 0) AS prev, coalesce(lag(le) OVER w, 0) AS lo,
           max(cumulative) OVER (PARTITION BY source) AS total FROM c WINDOW w AS (PARTITION BY source ORDER BY le)),
         f AS (SELECT *, q * total AS r FROM e, (VALUES (0.5::double), (0.95::double), (0.99::double)) v(q)
@@ -418,10 +418,10 @@ ORACLE: dict[str, str] = {
         FROM r"""),
 }
 
-_POLLS = f""", per AS (SELECT source, floor(epoch_us(arrived_at) / {H}000000)::bigint * {H} AS at, count(*) AS n
+_POLLS = f""", per AS (SELECT source, floor(epoch_us(arrived_at) / {H}000000)::bigint * {H} AS "at", count(*) AS n
   FROM raw GROUP BY ALL),
-polls AS (SELECT source, at, (sum(n) OVER (PARTITION BY source ORDER BY at))::bigint AS count FROM per),
-daily AS (SELECT source, at, (sum(n) OVER (PARTITION BY source, at // 86400 ORDER BY at))::bigint AS count FROM per)"""
+polls AS (SELECT source, "at", (sum(n) OVER (PARTITION BY source ORDER BY "at"))::bigint AS count FROM per),
+daily AS (SELECT source, "at", (sum(n) OVER (PARTITION BY source, "at" // 86400 ORDER BY "at"))::bigint AS count FROM per)"""
 
 _SYNTH = {x: f"md5(event_id || '|synth-{x}|1')" for x in "abc"}
 
@@ -446,21 +446,21 @@ def _synthetic() -> str:
 
 ORACLE |= {
     "count_monitor": over_raw(
-        _POLLS + """, d AS (SELECT *, lag(count) OVER w AS last, lag(at) OVER w AS prev FROM polls
-          WINDOW w AS (PARTITION BY source ORDER BY at))
-        SELECT source, at, count, count - last AS delta, round((count - last) / (at - prev), 8) AS rate,
+        _POLLS + """, d AS (SELECT *, lag(count) OVER w AS last, lag("at") OVER w AS prev FROM polls
+          WINDOW w AS (PARTITION BY source ORDER BY "at"))
+        SELECT source, "at", count, count - last AS delta, round((count - last) / ("at" - prev), 8) AS rate,
           CASE WHEN last IS NULL THEN 'INITIAL' WHEN count > last THEN 'INCREASING' WHEN count = last THEN 'STABLE'
           ELSE 'DECREASING' END AS status FROM d"""),
     "overall_trend": over_raw(
-        _POLLS + """ SELECT source, arg_min(count, at) AS initial_count, arg_max(count, at) AS final_count,
-        arg_max(count, at) - arg_min(count, at) AS growth,
-        CASE WHEN arg_max(count, at) > arg_min(count, at) OR max(count) > min(count) THEN 'INCREASING'
+        _POLLS + """ SELECT source, arg_min(count, "at") AS initial_count, arg_max(count, "at") AS final_count,
+        arg_max(count, "at") - arg_min(count, "at") AS growth,
+        CASE WHEN arg_max(count, "at") > arg_min(count, "at") OR max(count) > min(count) THEN 'INCREASING'
         ELSE 'NOT INCREASING' END AS trend FROM polls GROUP BY 1"""),
     "interval_rate": over_raw(
-        _POLLS + """, d AS (SELECT *, lag(count) OVER w AS last, lag(at) OVER w AS prev FROM daily
-          WINDOW w AS (PARTITION BY source ORDER BY at))
-        SELECT source, at, count, round(CASE WHEN count >= last THEN count - last WHEN last IS NOT NULL THEN count END
-          / (at - prev), 8) AS rate FROM d"""),
+        _POLLS + """, d AS (SELECT *, lag(count) OVER w AS last, lag("at") OVER w AS prev FROM daily
+          WINDOW w AS (PARTITION BY source ORDER BY "at"))
+        SELECT source, "at", count, round(CASE WHEN count >= last THEN count - last WHEN last IS NOT NULL THEN count END
+          / ("at" - prev), 8) AS rate FROM d"""),
     "recovery_continuity": over_raw(
         """, s AS (SELECT source, count(*) FILTER (arrived_at < TIMESTAMP '2024-01-10') AS b,
           count(*) FILTER (arrived_at < TIMESTAMP '2024-01-11') AS l FROM raw GROUP BY 1)
@@ -468,12 +468,12 @@ ORACLE |= {
     "gold_metrics": over_bronze(
         f"""SELECT {stamp("date_trunc('hour', event_time)")} AS hour, product_id, payment_status, count(*) AS events,
         count(DISTINCT customer_id) AS customers, sum(amount)::double AS revenue,
-        round(sum(amount)::double / count(amount), 4) AS avg_amount
+        round(sum(amount)::double / count(amount), 6) AS avg_amount
         FROM bronze WHERE event_time IS NOT NULL GROUP BY date_trunc('hour', event_time), product_id, payment_status"""),
     "gold_line_revenue":
         f"""SELECT {stamp("date_trunc('hour', l_shipdate)")} AS hour, l_returnflag, l_linestatus, count(*) AS events,
         count(DISTINCT l_suppkey) AS customers, sum(l_extendedprice::decimal(18,2))::double AS revenue,
-        round(sum(l_extendedprice::decimal(18,2))::double / count(*), 4) AS avg_amount
+        round(sum(l_extendedprice::decimal(18,2))::double / count(*), 6) AS avg_amount
         FROM lineitem GROUP BY date_trunc('hour', l_shipdate), l_returnflag, l_linestatus""",
     "flexible_timestamps":
         f"""SELECT event_id, {stamp('''CASE event_id % 8 WHEN 0 THEN s WHEN 1 THEN s + INTERVAL 250 MILLISECOND

@@ -507,7 +507,7 @@ def recovery_continuity(spark, sf):
 def gold_metrics(spark, sf):
     b = bronze(spark, sf).where(F.col("event_time").isNotNull())
     out = windows.gold_metrics(b, "event_time", ["product_id", "payment_status"], "amount", "customer_id")
-    return printable(out).withColumn("avg_amount", F.round("avg_amount", 4))
+    return printable(out).withColumn("avg_amount", F.round("avg_amount", 6))
 
 
 @query
@@ -515,7 +515,7 @@ def gold_line_revenue(spark, sf):
     """The same roll-up over line items, by ship day and line status."""
     li = table(spark, sf, "lineitem").withColumn("money", F.col("l_extendedprice").cast(model.MONEY))
     out = windows.gold_metrics(li, "l_shipdate", ["l_returnflag", "l_linestatus"], "money", "l_suppkey")
-    return printable(out).withColumn("avg_amount", F.round("avg_amount", 4))
+    return printable(out).withColumn("avg_amount", F.round("avg_amount", 6))
 
 
 @query
