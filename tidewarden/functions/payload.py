@@ -16,11 +16,18 @@ def once(expression: str) -> str:
     return f"explode(array({expression}))"
 
 
-def json_quote(text: Column) -> Column:
-    """JSON string literal; the slow escape runs only where it is needed."""
+def needs_escape(text: Column) -> Column:
+    return text.rlike(r'["\\\x00-\x1f]')
+
+
+def json_quote(text: Column, special: Column | None = None) -> Column:
+    """JSON string literal; the slow escape runs only where it is needed.
+
+    ``special`` may say so for several columns of a row at once.
+    """
     escaped = F.to_json(F.array(text))
     inner = F.substr(escaped, F.lit(2), F.length(escaped) - 2)
-    return F.when(text.rlike(r'["\\\x00-\x1f]'), inner) \
+    return F.when(needs_escape(text) if special is None else special, inner) \
         .otherwise(F.concat(F.lit('"'), text, F.lit('"')))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewarden import model
 from tidewarden.functions.draws import below_rate, choice, digest, draw, weighted_choice as weighted
-from tidewarden.functions.payload import digits_as_long, json_object, json_quote, negated
+from tidewarden.functions.payload import digits_as_long, json_object, json_quote, needs_escape, negated
 from tidewarden.functions.times import iso_millis
 from tidewarden.operators.ordered import BLOCK, row_index
 
@@ -91,13 +91,20 @@ def pick_mode(key: Column, rates: FaultRates, seed: int) -> Column:
 def _literals(df: DataFrame, fields: list[str]) -> dict[str, Column]:
     """JSON value text per field; nulls become the JSON null."""
     out = {}
+    special = F.col("_special") if "_special" in df.columns else None
     for name in fields:
         numeric = isinstance(df.schema[name].dataType, T.NumericType)
-        text = F.col(name).cast("string") if numeric else json_quote(F.col(name).cast("string"))
+        text = F.col(name).cast("string") if numeric else json_quote(F.col(name).cast("string"), special)
         out[name] = F.coalesce(text, F.lit("null"))
     return out
 
 
+def _marked(df: DataFrame) -> DataFrame:
+    """Notes once per row whether any text needs JSON escapes."""
+    texts = [f for f in _payload_fields(df) if not isinstance(df.schema[f].dataType, T.NumericType)]
+    return df.withColumn("_special", needs_escape(F.concat_ws("", *texts)))
+
+
 def _payload_fields(df: DataFrame) -> list[str]:
     """Contract fields in contract order, then optional extras of the frame."""
     extras = [c for c in ("device_model", "coupon_code") if c in df.columns]
@@ -173,17 +180,19 @@ def corrupt(df: DataFrame, rates: FaultRates, seed: int = 0, history: int = HIST
     of its log partition. As the current event is part of that history, the
     draw may return the event itself; it is labelled as a fault all the same.
     """
+    wanted = [*df.columns, "fault_mode", "value"]
+    df = _marked(df)
     labelled = (df.withColumn("_p", digest(F.col("event_id"), f"pick|{seed}"))
                 .withColumn("_mode", pick_mode(F.col("event_id"), rates, seed)))
     own = labelled.select("*", F.when(F.col("_mode").isNull() | (F.col("_mode") == "DUPLICATE"),
                                       clean_payload(df)).otherwise(_mutated(df, rates)).alias("value"))
     own = own.withColumnRenamed("_mode", "fault_mode")
     if rates.resolved()["DUPLICATE"] == 0:
-        return own.drop("_p")
+        return own.select(*wanted)
 
     repeats = _donor_payloads(labelled.where(F.col("_mode") == "DUPLICATE"), df, history, block)
     untouched = own.where(F.col("fault_mode").isNull() | (F.col("fault_mode") != "DUPLICATE"))
-    return untouched.drop("_p").unionByName(repeats)
+    return untouched.select(*wanted).unionByName(repeats.select(*wanted))
 
 
 def _donor_payloads(repeats: DataFrame, df: DataFrame, history: int, block: int) -> DataFrame:

@@ -12,16 +12,16 @@ from tidewarden.operators.quality import RuleOptions, check, silver_rows
 
 def unquote_number(payload: Column, name: str) -> Column:
     """Turns ``"name":"12.5"`` into ``"name":12.5``."""
-    return F.regexp_replace(payload, rf'"{name}":"(-?[0-9]+(?:\.[0-9]+)?)"', f'"{name}":$1')
+    return F.regexp_replace(payload, rf'"{name}"\s*:\s*"(-?[0-9]+(?:\.[0-9]+)?)"', f'"{name}":$1')
 
 
 def rename_key(payload: Column, old: str, new: str) -> Column:
-    return F.regexp_replace(payload, f'"{old}":', f'"{new}":')
+    return F.regexp_replace(payload, rf'"{old}"\s*:', f'"{new}":')
 
 
 def drop_key(payload: Column, name: str) -> Column:
     """Removes a key with a text value that is not the first key."""
-    return F.regexp_replace(payload, f',"{name}":"[^"]*"', "")
+    return F.regexp_replace(payload, rf',\s*"{name}"\s*:\s*"[^"]*"', "")
 
 
 def undo_schema_drift(payload: Column) -> Column:

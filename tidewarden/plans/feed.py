@@ -91,8 +91,10 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _LANDED:
         path = shared_dir(spark, "rawlog")
         events = table(spark, sf_dir, "events")
-        # As many files as the scan has splits, but enough to use every core.
+        # A table of few splits is spread over the cores before the costly part.
         width = max(spark.sparkContext.defaultParallelism, events.rdd.getNumPartitions())
-        arrivals(events).repartition(width, "partition", "offset").write.mode("overwrite").parquet(path)
+        if events.rdd.getNumPartitions() < width:
+            events = events.repartition(width, "event_id")
+        arrivals(events).write.mode("overwrite").parquet(path)
         _LANDED[key] = path
     return spark.read.parquet(_LANDED[key])
