@@ -177,7 +177,7 @@ def _legacy_payload() -> str:
 
     put("amount", "error_type = 'null_amount'", "'null'")
     put("customer_id", "error_type = 'null_customer_id'", "'null'")
-    put("amount", "error_type = 'negative_amount'", "(-abs(amount))::varchar")
+    put("amount", "error_type = 'negative_amount'", "CASE WHEN amount = 0 THEN '-1499.00' ELSE (-abs(amount))::varchar END")
     put("event_id", "error_type = 'duplicate_event_id'", _quoted("coalesce(donor, 'evt_duplicate_00001')"))
     put("currency", "error_type = 'invalid_currency'", _quoted(one_of(chaos.BAD_CURRENCIES, "u")))
     put("quantity", "error_type = 'wrong_data_type' AND u % 3 = 0", "'\"two\"'")
@@ -367,15 +367,15 @@ ORACLE: dict[str, str] = {
     "faults_by_type": over_raw(
         "SELECT fault_mode AS fault_type, count(*) AS faults FROM raw WHERE fault_mode IS NOT NULL GROUP BY 1"),
     "latency_percentiles": over_latency(
-        """SELECT count(latency) AS samples, round(avg(latency), 4) AS avg, round(quantile_cont(latency, 0.5), 4) AS p50,
-        round(quantile_cont(latency, 0.95), 4) AS p95, round(quantile_cont(latency, 0.99), 4) AS p99,
-        round(max(latency), 4) AS max FROM latency"""),
+        """SELECT count(latency) AS samples, round(avg(latency), 6) AS avg, round(quantile_cont(latency, 0.5), 6) AS p50,
+        round(quantile_cont(latency, 0.95), 6) AS p95, round(quantile_cont(latency, 0.99), 6) AS p99,
+        round(max(latency), 6) AS max FROM latency"""),
     "latency_by_source": over_latency(" UNION ALL ".join(
-        f"SELECT source, {q}::double AS quantile, round(quantile_cont(latency, {q}), 4) AS value FROM latency GROUP BY source"
+        f"SELECT source, {q}::double AS quantile, round(quantile_cont(latency, {q}), 6) AS value FROM latency GROUP BY source"
         for q in (0.5, 0.95, 0.99))),
     "shipping_delay_percentiles": " UNION ALL ".join(
         f"""SELECT o_orderpriority, {q}::double AS quantile, round(quantile_cont(
-        date_diff('day', o_orderdate, l_shipdate)::double, {q}), 4) AS value
+        date_diff('day', o_orderdate, l_shipdate)::double, {q}), 6) AS value
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""" for q in (0.05, 0.5, 0.95)),
     "latency_histogram": over_latency(" UNION ALL ".join(
         f"SELECT '{n}' AS le, count(*) FILTER (latency / 1000.0 <= {b}) AS cumulative FROM latency"
@@ -468,12 +468,12 @@ ORACLE |= {
     "gold_metrics": over_bronze(
         f"""SELECT {stamp("date_trunc('hour', event_time)")} AS hour, product_id, payment_status, count(*) AS events,
         count(DISTINCT customer_id) AS customers, sum(amount)::double AS revenue,
-        round(sum(amount)::double / count(amount), 6) AS avg_amount
+        sum(amount)::double / count(amount) AS avg_amount
         FROM bronze WHERE event_time IS NOT NULL GROUP BY date_trunc('hour', event_time), product_id, payment_status"""),
     "gold_line_revenue":
         f"""SELECT {stamp("date_trunc('hour', l_shipdate)")} AS hour, l_returnflag, l_linestatus, count(*) AS events,
         count(DISTINCT l_suppkey) AS customers, sum(l_extendedprice::decimal(18,2))::double AS revenue,
-        round(sum(l_extendedprice::decimal(18,2))::double / count(*), 6) AS avg_amount
+        sum(l_extendedprice::decimal(18,2))::double / count(*) AS avg_amount
         FROM lineitem GROUP BY date_trunc('hour', l_shipdate), l_returnflag, l_linestatus""",
     "flexible_timestamps":
         f"""SELECT event_id, {stamp('''CASE event_id % 8 WHEN 0 THEN s WHEN 1 THEN s + INTERVAL 250 MILLISECOND

@@ -89,7 +89,9 @@ def _mutated() -> str:
     for i, n in enumerate(chaos.NULL_TARGETS):
         put(n, f"fault_mode = 'NULL' AND t % 8 = {i}", "'null'")
     for i, n in enumerate(["amount", "unit_price", "quantity"]):
-        put(n, f"fault_mode = 'NEGATIVE' AND t % 3 = {i}", f"(-abs({n}))::varchar")
+        zero = {"amount": "-1499.00", "unit_price": "-749.50", "quantity": "-2"}[n]
+        put(n, f"fault_mode = 'NEGATIVE' AND t % 3 = {i}",
+            f"CASE WHEN {n} = 0 THEN '{zero}' ELSE (-abs({n}))::varchar END")
     put("payment_method", "fault_mode = 'INVALID_ENUM' AND t % 2 = 0", _quoted(one_of(chaos.BAD_METHODS, "u")))
     put("payment_status", "fault_mode = 'INVALID_ENUM' AND t % 2 = 1", _quoted(one_of(chaos.BAD_STATUSES, "u")))
     put("quantity", "fault_mode = 'TYPE_CHANGE' AND t % 3 = 0", _quoted("quantity"))
