@@ -1,7 +1,9 @@
 """Contract and quality rules on raw payloads, routing and audit rows.
 
-A payload is parsed once into a map of variants, which keeps a null, a missing
-key and a value of the wrong type apart. The contracts of all versions become
+A payload is read as a struct of variants, which keeps a null, a missing key
+and a value of the wrong type apart, as a struct of texts, which is cheaper than
+casting each variant, and as a key list, which shows what the contract does not
+know. Each is one pass, and Spark drops the passes a query does not need. The contracts of all versions become
 plain boolean conditions of the plan (a registry holds a few dozen versions),
 so checking an event against the contract of its own version needs no join and
 no loop over fields: everything compiles into one projection.
@@ -100,7 +102,7 @@ class Contracts:
                      for f, vs in self.grouped(lambda r: r[2] if r[4] else None).items()])
 
     def nulls(self) -> str:
-        return _any([f"({self.among(vs)} AND _s{self.slot(f)} = 'VOID')"
+        return _any([f"({self.among(vs)} AND is_variant_null(_v{self.slot(f)}))"
                      for f, vs in self.grouped(lambda r: r[2] if r[4] else None).items()])
 
     def mistyped(self) -> str:
@@ -121,21 +123,23 @@ class Contracts:
         known: dict = {}
         for v in self.versions:
             known.setdefault(tuple(r[2] for r in self.rows if r[0] == v), []).append(v)
-        return _any([f"({self.among(vs)} AND size(array_except(map_keys(_m), "
+        return _any([f"({self.among(vs)} AND size(array_except(_keys, "
                      f"array({', '.join(map(_text, fields))}))) > 0)" for fields, vs in known.items()])
 
 
 def parse(raw: DataFrame, contracts: Contracts) -> DataFrame:
-    """Adds per field i: the variant ``_v{i}``, its type name ``_s{i}`` and its
-    text ``_t{i}``; and ``schema_version`` with whether it is ``_known``."""
+    """Adds the payload's keys ``_keys`` (NULL unless it is a JSON object); per
+    field i the variant ``_v{i}``, its type name ``_s{i}`` and its text
+    ``_t{i}``; and ``schema_version`` with whether it is ``_known``."""
     names = contracts.fields
-    n = range(len(names))
+    quoted = ["`" + f.replace("`", "``") + "`" for f in names]
+    typed, plain = (_text(", ".join(f"{f} {kind}" for f in quoted)) for kind in ("VARIANT", "STRING"))
     keep = [f"`{c}`" for c in raw.columns]
-    out = raw.selectExpr(*keep, "from_json(value, 'map<string,variant>') AS _m")
-    out = out.selectExpr(*keep, "_m", *[f"try_element_at(_m, {_text(f)}) AS _v{i}" for i, f in enumerate(names)])
-    out = out.selectExpr(*keep, "_m", *[f"_v{i}" for i in n],
-                         *[f"schema_of_variant(_v{i}) AS _s{i}" for i in n],
-                         *[f"try_variant_get(_v{i}, '$', 'string') AS _t{i}" for i in n])
+    out = raw.selectExpr(*keep, f"from_json(value, {typed}) AS _j", f"from_json(value, {plain}) AS _x",
+                         "json_object_keys(value) AS _keys")
+    out = out.selectExpr(*keep, "_keys", *[f"_j.{f} AS _v{i}" for i, f in enumerate(quoted)],
+                         *[f"schema_of_variant(_j.{f}) AS _s{i}" for i, f in enumerate(quoted)],
+                         *[f"_x.{f} AS _t{i}" for i, f in enumerate(quoted)])
     version = f"_t{contracts.slot('source_version')}"
     known = ", ".join(map(_text, contracts.versions))
     return out.selectExpr("*", f"{version} AS schema_version", f"coalesce({version} IN ({known}), false) AS _known")
@@ -152,8 +156,8 @@ def stateless_rules(contracts: Contracts, options: RuleOptions) -> dict[str, str
     event_ts = TIME.format(x=f"_t{slot('event_time')}")
     currency = slot("currency")
     rules = {
-        "MALFORMED_JSON": "_m IS NULL",
-        "UNSUPPORTED_SCHEMA_VERSION": "_m IS NOT NULL AND NOT _known",
+        "MALFORMED_JSON": "_keys IS NULL",
+        "UNSUPPORTED_SCHEMA_VERSION": "_keys IS NOT NULL AND NOT _known",
         "MISSING_REQUIRED_FIELD": contracts.missing(),
         "NULL_REQUIRED_FIELD": contracts.nulls(),
         "INVALID_DATA_TYPE": contracts.mistyped(),
