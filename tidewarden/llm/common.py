@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewarden.session import shared_dir
 
@@ -32,3 +32,13 @@ def text_of(name: str) -> Column:
 def bucket(id_name: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``: the folds of the contracts."""
     return F.crc32(F.col(id_name).cast("string").cast("binary")) % modulus
+
+
+def sample_per_class(rows: DataFrame, id_name: str, class_name: str, most: int) -> DataFrame:
+    """(id, class) of at most ``most`` rows of each class, chosen by a hash of the id.
+
+    ``most`` is at most 1000, so that each task keeps only its own first rows of a class before the shuffle.
+    """
+    order = Window.partitionBy(class_name).orderBy(F.xxhash64(F.col(id_name), F.lit(1)), id_name)
+    return (rows.where(F.col(id_name).isNotNull() & F.col(class_name).isNotNull()).select(id_name, class_name)
+            .withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most).drop("_nth"))

@@ -2,7 +2,7 @@
 
 Two texts are equal when they are after each run of blanks became one space. The first reading keeps a length and a
 prefix hash of each text, 24 bytes a row. Rows alone with their length, then rows alone with length and prefix, are
-settled by that. Only for the surviving groups does a second reading hash whole texts. No text is shuffled.
+settled by that. Only for the surviving groups does a second reading hash whole texts.
 """
 
 from __future__ import annotations
@@ -18,11 +18,6 @@ def normal(name: str) -> Column:
     return F.regexp_replace(text_of(name), BLANKS, " ")
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that more than one row has; counted before the shuffle, so a hot key is one row per task there."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
-
-
 def exact_groups(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text",
                  digest_all: bool = False) -> DataFrame:
     """One row per document: (id, keep_id, group_size, kept, text_sha256).
@@ -34,9 +29,10 @@ def exact_groups(docs: DataFrame, id_name: str = "doc_id", text_name: str = "tex
     """
     text = normal(text_name)
     shape = [F.length(text).alias("_len"), F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("_prefix")]
-    first = settle(docs.select(*shape), "exact-shapes")
-    by_length = first.join(_repeated(first, ["_len"]), "_len", "left_semi")
-    survivors = _repeated(by_length, ["_len", "_prefix"])
+    # Counted by shape before anything else moves, so a hot length or a group of copies is one row.
+    shapes = settle(docs.select(*shape).groupBy("_len", "_prefix").agg(F.count("*").alias("_n")), "exact-shapes")
+    lengths = shapes.groupBy("_len").agg(F.sum("_n").alias("_rows")).where("_rows > 1").select("_len")
+    survivors = shapes.join(lengths, "_len", "left_semi").where("_n > 1").select("_len", "_prefix")
 
     rows = docs.select(F.col(id_name).alias("_id"), text.alias("_text"), *shape)
     digest = F.sha2(F.encode("_text", "UTF-8"), 256)

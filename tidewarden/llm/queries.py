@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewarden.llm import exact, packing, urls
-from tidewarden.llm.common import table
+from tidewarden.llm import exact, language, packing, quality, sentencepieces, tokencounts, urls
+from tidewarden.llm.common import bucket, table
 
 #: The rules of the URL filter.
 URL_RULES = "('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), " \
     "('com', '/fr/', 'allow'), ('com', '/de/', 'block')"
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.section_tokens(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), bucket("doc_id", 5) == 0
+    trees = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.predict(docs.select("doc_id", "text"), trees).select(
+        "doc_id", held_out.alias("held_out"), "quality.score", "quality.predicted")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), bucket("doc_id", 3) == 1
+    model = language.learn(docs, ~held_out)
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", "language.ambiguous")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -26,6 +50,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op3_quality": op3_quality,
+    "op5_language": op5_language,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op10_url_filter": op10_url_filter,
