@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewarden.llm import exact, language, packing, quality, sentencepieces, tokencounts, urls
+from tidewarden.llm import exact, html, language, neardup, packing, quality, sentencepieces, tokencounts, urls
 from tidewarden.llm.common import bucket, table
 
 #: The rules of the URL filter.
@@ -23,6 +23,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "quality.score", "quality.predicted")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), bucket("doc_id", 3) == 1
     model = language.learn(docs, ~held_out)
@@ -44,6 +48,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM VALUES {URL_RULES} AS t(host, path, verdict)")
     return urls.judge(table(spark, sf_dir, "pages"), rules)
@@ -52,10 +60,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
+    "op4_near_dedup": op4_near_dedup,
     "op5_language": op5_language,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
+    "op9_main_text": op9_main_text,
     "op10_url_filter": op10_url_filter,
 }
 
