@@ -29,6 +29,14 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bucket(id_name: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``: the folds of the contracts."""
     return F.crc32(F.col(id_name).cast("string").cast("binary")) % modulus

@@ -18,6 +18,11 @@ def normal(name: str) -> Column:
     return F.regexp_replace(text_of(name), BLANKS, " ")
 
 
+def digest(name: str) -> Column:
+    """sha256 of the text after its blanks became single spaces, in lower-case hex."""
+    return F.sha2(F.encode(normal(name), "UTF-8"), 256)
+
+
 def exact_groups(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text",
                  digest_all: bool = False) -> DataFrame:
     """One row per document: (id, keep_id, group_size, kept, text_sha256).
@@ -35,13 +40,13 @@ def exact_groups(docs: DataFrame, id_name: str = "doc_id", text_name: str = "tex
     survivors = shapes.join(lengths, "_len", "left_semi").where("_n > 1").select("_len", "_prefix")
 
     rows = docs.select(F.col(id_name).alias("_id"), text.alias("_text"), *shape)
-    digest = F.sha2(F.encode("_text", "UTF-8"), 256)
+    sha = F.sha2(F.encode("_text", "UTF-8"), 256)
     if digest_all:
-        hashed = settle(rows.select("_id", "_len", "_prefix", digest.alias("_sha")), "exact-hashes")
+        hashed = settle(rows.select("_id", "_len", "_prefix", sha.alias("_sha")), "exact-hashes")
         full = hashed.join(survivors, ["_len", "_prefix"], "left_semi")
     else:
         full = settle(rows.join(survivors, ["_len", "_prefix"], "left_semi")
-                      .select("_id", "_len", "_prefix", digest.alias("_sha")), "exact-hashes")
+                      .select("_id", "_len", "_prefix", sha.alias("_sha")), "exact-hashes")
     groups = full.groupBy("_len", "_prefix", "_sha").agg(
         F.min("_id").alias("_keep"), F.count("*").alias("_n")).where("_n > 1")
     if digest_all:

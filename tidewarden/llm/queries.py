@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewarden.llm import exact, html, language, neardup, packing, quality, sentencepieces, tokencounts, urls
+from tidewarden.llm import exact, html, language, neardup, packing, pivots, quality, sentencepieces, tokencounts, urls
 from tidewarden.llm.common import bucket, table
 
 #: The rules of the URL filter.
@@ -12,6 +12,10 @@ URL_RULES = "('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.
     "('com', '/fr/', 'allow'), ('com', '/de/', 'block')"
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.section_tokens(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_vectors": op1_near_vectors,
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
     "op4_near_dedup": op4_near_dedup,
