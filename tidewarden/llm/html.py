@@ -87,7 +87,7 @@ class _Blocks(HTMLParser):
             if tag not in INLINE:
                 self.flush()
             return
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in UNSEEN:
             self.flush()
             while self.open and tag in CLOSED_BY.get(self._leaf(), ()):
                 self._close(self._leaf())
@@ -123,7 +123,7 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_endtag(self, tag):
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in UNSEEN:
             self.flush()
         if self.held.get(tag):
             self._close(tag)
@@ -308,8 +308,8 @@ def training_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[str]]]:
             nav = f'<div class="{one("menu", "nav", "breadcrumbs", "topnav")}">{links(draw.randint(2, 6))}</div>'
         if draw.random() < 0.4:
             nav = f'<header><div class="logo">{words(1, 3)}</div>{nav}</header>'
-        head = f"<h1>{keep(2, 12)}</h1>"
         where = draw.random()
+        head = f"<h1>{keep(2, 12)}</h1>" if where < 0.97 else ""
         if where < 0.45:
             inner = f"<article>{head}{body()}</article>"
         elif where < 0.6:
@@ -318,15 +318,18 @@ def training_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[str]]]:
             inner = f'<main>{head}{body()}</main>'
         elif where < 0.93:
             inner = f'<div {one("class", "id")}="{one("content", "post", "story", "article-body", "main")}">{head}{body()}</div>'
-        else:
+        elif where < 0.96:
             inner = f"<div>{head}{body()}</div>"
-        if draw.random() < 0.25:
+        else:
+            inner = head + body() if draw.random() < 0.5 else f"<p>{keep(1, 30, '.')}</p>"
+        if draw.random() < 0.25 and inner.endswith(("</article>", "</main>", "</div>")):
             inner = inner.rsplit("</", 1)[0] + comments() + "</" + inner.rsplit("</", 1)[1]
         elif draw.random() < 0.25:
             inner += comments()
         foot = f"<footer>&copy; {words(1, 3)} &middot; {words(1, 20, one('.', ''))}</footer>"
         if draw.random() < 0.25:
             foot = f'<div class="{one("footer", "copyright", "legal")}"><p>{words(2, 20, one(".", ""))}</p></div>'
+        nav, foot = nav * (draw.random() < 0.85), foot * (draw.random() < 0.8)
         parts = [nav, *extras(), inner, *extras(), foot]
         title = f"<head><title>{main[0]}</title><style>p{{}}</style></head>"
         pages.append((f"<html>{title}<body>{''.join(parts)}" + ("</body></html>" if draw.random() < 0.9 else ""), main))
