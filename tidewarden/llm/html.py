@@ -279,11 +279,11 @@ def training_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[str]]]:
         def body() -> str:
             """Main blocks, now and then with a part inside that is none."""
             out = []
-            for _ in range(draw.randint(1, 9)):
+            for _ in range(draw.choice((1, 1, 2, 3, 4, 6, 9))):
                 kind = draw.random()
                 stop = one(".", ".", ".", "", "!", "?")
                 if kind < 0.62:
-                    text = keep(1, 60, stop)
+                    text = keep(1, draw.choice((5, 20, 60)), stop)
                     if draw.random() < 0.3:
                         text = f"<b>{text}<br>" if draw.random() < 0.5 else f"<em>{text}</em>"
                     out.append(f"<p>{text}" + ("</p>" if draw.random() < 0.9 else ""))
@@ -309,7 +309,7 @@ def training_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[str]]]:
         if draw.random() < 0.4:
             nav = f'<header><div class="logo">{words(1, 3)}</div>{nav}</header>'
         where = draw.random()
-        head = f"<h1>{keep(2, 12)}</h1>" if where < 0.97 else ""
+        head = f"<h1>{keep(2, 12)}</h1>" if where < 0.97 and draw.random() < 0.85 else ""
         if where < 0.45:
             inner = f"<article>{head}{body()}</article>"
         elif where < 0.6:
@@ -330,8 +330,8 @@ def training_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[str]]]:
         if draw.random() < 0.25:
             foot = f'<div class="{one("footer", "copyright", "legal")}"><p>{words(2, 20, one(".", ""))}</p></div>'
         nav, foot = nav * (draw.random() < 0.85), foot * (draw.random() < 0.8)
-        parts = [nav, *extras(), inner, *extras(), foot]
-        title = f"<head><title>{main[0]}</title><style>p{{}}</style></head>"
+        parts = [nav, *extras(), inner, *extras(), foot] if draw.random() < 0.9 else [inner]
+        title = f"<head><title>{main[0] if main else words(1, 5)}</title><style>p{{}}</style></head>"
         pages.append((f"<html>{title}<body>{''.join(parts)}" + ("</body></html>" if draw.random() < 0.9 else ""), main))
     return pages
 
