@@ -5,8 +5,8 @@ root: a node chooses one or two of the tokens (1/threshold of them on average) b
 to one child per chosen token, named by the token's value. Similar sets share children again and again, others part
 soon. Nodes of few classes are compared exhaustively; larger ones are compared with one of their classes, the centre,
 and branch again, until no large node is left. Independent trees are repeated to reach the recall wanted. A node whose
-classes are all surely linked to one centre has nothing more to tell and ends, so large groups of near copies cost no
-pairs. Candidates by the tokens are confirmed on the full sets.
+classes are all known to be connected has nothing more to tell and ends: the links to centres are confirmed at once, so
+large groups of near copies cost few pairs. All candidates by the tokens are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from tidewarden.llm.shingles import mix, shingles
 THRESHOLD = 85        # percent; linked when 100 * intersection >= THRESHOLD * union
 TOKENS = 128          # minwise tokens of a set, 16 bits each
 TREES = 8
-LEVELS = 2            # branched at once, between two looks at the sizes of nodes
+LEVELS = 2            # branched before the first look at the sizes of nodes
+MORE = 4              # branched between two later looks
 SMALL = 32            # classes of a node that is compared exhaustively
 MAYBE = 0.74          # least share of equal tokens of a candidate: 3.5 deviations under the threshold
-SURELY = 0.94         # share of equal tokens from which a class counts as told by its centre
 ROUNDS = 24           # after so many looks, what is still large is compared in blocks
 
 _MULTIPLY = mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -110,19 +110,20 @@ def _could_link(n, m):
 
 
 def _exhaustive(batches):
-    """All candidate pairs within each node; the nodes are small."""
+    """All candidate pairs within each node that are not known to be connected; the nodes are small."""
     for batch in batches:
         a, b, share = [], [], []
         for members in batch.column(0):
             members = members.as_py()
             vid = np.array([m["vid"] for m in members])
             order = np.argsort(vid)
-            n = np.array([m["n"] for m in members])[order]
+            n, hub = (np.array([m[k] for m in members])[order] for k in ("n", "hub"))
             tokens = np.frombuffer(b"".join(m["tokens"] for m in members), "<u2").reshape(-1, TOKENS)[order]
             vid = vid[order]
             for i in range(len(vid) - 1):
                 equal = (tokens[i + 1:] == tokens[i]).mean(axis=1)
-                ok = np.flatnonzero((equal >= MAYBE) & _could_link(n[i], n[i + 1:]) & (vid[i + 1:] > vid[i]))
+                ok = np.flatnonzero((equal >= MAYBE) & _could_link(n[i], n[i + 1:]) & (hub[i + 1:] != hub[i])
+                                    & (vid[i + 1:] > vid[i]))
                 a.extend([vid[i]] * len(ok))
                 b.extend(vid[i + 1 + ok])
                 share.extend(equal[ok])
@@ -135,28 +136,36 @@ def _star(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        node, vid, n, hub, cvid, cn = (batch.column(k).to_numpy() for k in ("node", "vid", "n", "hub", "c_vid", "c_n"))
+        node, vid, n, cvid, cn = (batch.column(k).to_numpy() for k in ("node", "vid", "n", "c_vid", "c_n"))
         tokens, centre = _tokens(batch.column("tokens")), _tokens(batch.column("c_tokens"))
         share = (tokens == centre).mean(axis=1)
         share[~_could_link(n, cn) | (vid == cvid)] = 0
-        hub = np.where((share >= SURELY) | (vid == cvid), cvid, hub)
-        child, row = branch(node.view(np.uint64), np.arange(len(node)), tokens, LEVELS)
+        child, row = branch(node.view(np.uint64), np.arange(len(node)), tokens, MORE)
         yield pa.RecordBatch.from_arrays(
-            [_signed(child), *[pa.array(x[row]) for x in (vid, n, hub)], batch.column("tokens").take(pa.array(row)),
-             *[pa.array(x[row]) for x in (cvid, share)]], names=["node", "vid", "n", "hub", "tokens", "c_vid", "share"])
+            [_signed(child), *[pa.array(x[row]) for x in (vid, n)], batch.column("tokens").take(pa.array(row)),
+             *[pa.array(x[row]) for x in (cvid, share)]], names=["node", "vid", "n", "tokens", "c_vid", "share"])
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, share) of vertices whose sets are probably linked, a < b; ``classes`` has (vid, n, tokens)."""
+def _with_hubs(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds the smallest vertex that each row's vertex is known to be connected with."""
+    return rows.join(roots, F.col("vid") == F.col("id"), "left").withColumn("hub", F.coalesce("root", "vid")).drop("id", "root")
+
+
+def shared_nodes(classes: DataFrame) -> DataFrame:
+    """(node, vid, n, tokens, hub, size): the classes in nodes of the first levels that more than one class reaches."""
     rows = settle(classes.select("vid", "tokens").mapInArrow(_roots, "node long, vid long"), "near-nodes")
     sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    nodes = settle(rows.join(sizes, "node").join(classes, "vid").select(
-        "node", "vid", "n", F.col("vid").alias("hub"), "tokens", "size"), "near-shared")
-    pairs = []
+    return settle(rows.join(sizes, "node").join(classes, "vid").select(
+        "node", "vid", "n", "tokens", F.col("vid").alias("hub"), "size"), "near-shared")
+
+
+def candidates(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``nodes``: candidate pairs (a, b, share), a < b, and the links (a, b) that were confirmed on the way."""
+    pairs, links = [], []
 
     def compare(some: DataFrame) -> None:
-        lists = some.groupBy("node").agg(F.collect_list(F.struct("vid", "n", "tokens")).alias("members"))
-        pairs.append(lists.select("members").mapInArrow(_exhaustive, "a long, b long, share double"))
+        lists = some.groupBy("node").agg(F.collect_list(F.struct("vid", "n", "hub", "tokens")).alias("members"))
+        pairs.append(settle(lists.select("members").mapInArrow(_exhaustive, "a long, b long, share double"), "near-pairs"))
 
     for turn in range(ROUNDS):
         compare(nodes.where(F.col("size") <= SMALL))
@@ -171,14 +180,18 @@ def candidates(classes: DataFrame) -> DataFrame:
             break
         centres = large.groupBy("node").agg(F.min_by(F.struct("vid", "n", "tokens"), "vid").alias("c")).select(
             "node", F.col("c.vid").alias("c_vid"), F.col("c.n").alias("c_n"), F.col("c.tokens").alias("c_tokens"))
-        children = settle(large.drop("size").join(centres, "node").mapInArrow(
-            _star, "node long, vid long, n long, hub long, tokens binary, c_vid long, share double"), "near-children")
-        pairs.append(children.where(F.col("share") >= MAYBE).select(
-            F.least("vid", "c_vid").alias("a"), F.greatest("vid", "c_vid").alias("b"), "share"))
+        children = settle(large.drop("size", "hub").join(centres, "node").mapInArrow(
+            _star, "node long, vid long, n long, tokens binary, c_vid long, share double"), "near-children")
+        stars = children.where(F.col("share") >= MAYBE).select(
+            F.least("vid", "c_vid").alias("a"), F.greatest("vid", "c_vid").alias("b")).distinct()
+        links.append(settle(confirmed(stars, texts), "near-stars"))
+        children = _with_hubs(children.drop("c_vid", "share"), components(reduce(DataFrame.union, links), turns=1))
         sizes = children.groupBy("node").agg(F.count("*").alias("size"), F.min("hub").alias("lo"), F.max("hub").alias("hi")) \
             .where("size > 1 AND lo < hi").select("node", "size")
-        nodes = children.drop("c_vid", "share").join(sizes, "node")
-    return reduce(DataFrame.union, pairs).groupBy("a", "b").agg(F.max("share").alias("share"))
+        nodes = settle(children.join(sizes, "node"), "near-shared")
+    found = reduce(DataFrame.union, pairs).groupBy("a", "b").agg(F.max("share").alias("share"))
+    none = found.select("a", "b").where("false")
+    return settle(found, "near-candidates"), reduce(DataFrame.union, links, none)
 
 
 def _confirm(batches):
@@ -210,27 +223,34 @@ def _vertex_texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(vids, pa.int64()), batch.column(0)], names=["vid", "text"])
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that are not known to be connected, with the roots of both sides."""
+    left = roots.select(F.col("id").alias("a"), F.col("root").alias("_a"))
+    right = roots.select(F.col("id").alias("b"), F.col("root").alias("_b"))
+    return pairs.join(left, "a", "left").join(right, "b", "left").select(
+        "a", "b", "share", F.coalesce("_a", "a").alias("ra"), F.coalesce("_b", "b").alias("rb")).where("ra <> rb")
+
+
 def roots_of(classes: DataFrame, docs: DataFrame, id_name: str, text_name: str) -> DataFrame:
     """(id, root) of each vertex that is linked with another one."""
-    maybe = settle(candidates(classes), "near-candidates")
-    wanted = maybe.select(F.col("a").alias("vid")).union(maybe.select("b")).distinct()
+    nodes = shared_nodes(classes)
+    wanted = nodes.select("vid").distinct()
     ids = classes.join(wanted, "vid", "left_semi").select("rep").distinct()
     # One row of each class is fetched; a repeated id may fetch more, so the vertex is found again and kept once.
     texts = docs.select(F.col(id_name).alias("_id"), text_of(text_name).alias("text")).join(
         ids, F.col("_id").eqNullSafe(F.col("rep")), "left_semi").select("text") \
         .mapInArrow(_vertex_texts, "vid long, text string")
     texts = settle(texts.groupBy("vid").agg(F.first("text").alias("text")), "near-texts")
-    # First the best candidate of each vertex; then only what would still join two components.
-    ends = maybe.select(F.col("a").alias("v"), "a", "b", "share").union(maybe.select("b", "a", "b", "share"))
-    best = ends.groupBy("v").agg(F.max(F.struct("share", -F.col("a"), -F.col("b"))).alias("p")).select(
-        (-F.col("p.col2")).alias("a"), (-F.col("p.col3")).alias("b")).distinct()
-    sure = settle(confirmed(best, texts), "near-links")
-    roots = settle(components(sure), "near-roots")
-    root_a = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
-    root_b = roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-    rest = maybe.join(root_a, "a", "left").join(root_b, "b", "left").where(
-        F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    return components(sure.union(settle(confirmed(rest, texts), "near-links")))
+    maybe, links = candidates(nodes, texts)
+    # First the best candidate of each component; then all that would still join two.
+    for best_only in (True, False):
+        rest = _apart(maybe, components(links))
+        if best_only:
+            rest = settle(rest, "near-apart")
+            ends = rest.select(F.col("ra").alias("v"), "a", "b", "share").union(rest.select("rb", "a", "b", "share"))
+            rest = ends.groupBy("v").agg(F.max(F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        links = settle(links.union(confirmed(rest, texts)), "near-links")
+    return components(links)
 
 
 def near_duplicates(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
