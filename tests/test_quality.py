@@ -8,7 +8,8 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidewarden import model
-from tidewarden.operators import quality, replay
+from tidewarden.operators import compatibility, quality, replay
+from tidewarden.operators.ingest import to_bronze
 from tidewarden.sources.contracts import checkout_documents, document_rows
 
 ROWS = document_rows(checkout_documents())
@@ -173,6 +174,43 @@ def test_contract_rules_match_a_plain_reading(spark, changes):
             assert set(got[i]) & contractual == want, p
 
 
-def test_registry_size_is_checked():
-    with pytest.raises(ValueError):
-        quality.Contracts(tuple(("v1", i, f"f{i}", "string", True, None) for i in range(quality.MAX_CONTRACT_FIELDS + 1)))
+def test_registries_have_no_size_limit():
+    many = quality.Contracts(tuple(("v1", i, f"f{i}", "string", True, None) for i in range(6000)))
+    assert "_v6000" in many.missing()
+
+
+BROKEN = ['{} x', '{}{}', '{"a":1},{"b":2}', '{"a":1},2],{}', '{"a":NaN}', '[1]', '1', '', ' ', 'null', None]
+
+
+def test_only_a_single_object_is_valid(spark):
+    """What follows the object is not ignored, by the rules, bronze and the observed fields alike."""
+    whole = json.dumps(event(1))
+    payloads = [whole, f" {whole}\n", whole + " x", whole + whole, whole + "," + whole, *BROKEN]
+    raw = arrivals(spark, payloads)
+    failures = {r.offset: r.failures for r in quality.assess(raw, ROWS).collect()}
+    assert failures[0] == [] and failures[1] == ["DUPLICATE_EVENT_ID"]
+    assert all(failures[i] == ["MALFORMED_JSON"] for i in range(2, len(payloads)))
+    assert to_bronze(raw).count() == 2
+    assert compatibility.payload_entries(raw, [F.col("offset").alias("o")]).select("o").distinct().count() == 2
+
+
+def test_values_must_survive_the_silver_casts(spark):
+    whole = json.dumps(event(1))
+    odd = [whole.replace('"amount": 1499.0', '"amount": 1e400'), whole.replace('"amount": 1499.0', '"amount": 12345678901234567890'),
+           whole.replace('"quantity": 2', '"quantity": 5000000000'), whole.replace('"unit_price": 749.5', '"unit_price": 1e999')]
+    assert all(o != whole for o in odd)
+    for r in quality.check(arrivals(spark, odd), ROWS).collect():
+        assert "INVALID_DATA_TYPE" in r.failures
+
+
+def test_a_repeated_key_is_one_field(spark):
+    rows = compatibility.payload_entries(arrivals(spark, ['{"a":1,"b":"x","a":"y"}']), [], whole=True).collect()
+    assert sorted((r.key or "", r.kind or "") for r in rows) == [("", ""), ("a", "string"), ("b", "string")]
+
+
+def test_enums_have_no_size_limit(spark):
+    payloads = [event(i, payment_method=f"M{i % 1001:04d}") for i in range(1001)]
+    got = compatibility.observed_contracts(arrivals(spark, payloads), F.lit("p"), ["payment_method"]).collect()
+    by_field = {r.field: r for r in got}
+    assert len(by_field["payment_method"]["enum"]) == 1001 and by_field["device"]["enum"] is None
+    assert all(r.required for r in got)

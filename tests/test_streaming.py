@@ -1,5 +1,8 @@
 """Streams against the batch operators, with restarts."""
 
+import time
+from types import SimpleNamespace
+
 import pytest
 from conftest import SF
 from pyspark.errors import StreamingQueryException
@@ -26,6 +29,8 @@ def same(a, b):
 def test_bronze_stream_equals_batch_across_a_restart(spark):
     raw, box = Q.raw_log(spark, SF), shared_dir(spark, "stream")
     clock = F.lit("2024-02-01").cast("timestamp")
+    log = ingest.ProgressLog(spark, f"{box}/progress")
+    spark.streams.addListener(log)
     for parts in ([0, 1], [2]):
         for p in parts:
             land(raw, f"{box}/in", p)
@@ -34,9 +39,23 @@ def test_bronze_stream_equals_batch_across_a_restart(spark):
         q.awaitTermination()
     out = spark.read.parquet(f"{box}/out")
     assert same(out, to_bronze(raw, clock))
-    progress = ingest.progress_table(spark, q)
-    assert progress.agg(F.sum("input_rows")).first()[0] == raw.where("offset div 400 = 2").count()
-    assert ingest.commit_counts(progress).first().commits >= 1
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    time.sleep(2)
+    spark.streams.removeListener(log)
+    progress = log.table()
+    assert progress.agg(F.sum("input_rows")).first()[0] == raw.count()
+    assert ingest.commit_counts(progress).first().commits >= 3
+
+
+def test_progress_of_all_batches_is_kept(spark):
+    """More batches than a query remembers (100)."""
+    log = ingest.ProgressLog(spark, shared_dir(spark, "progress"))
+    for i in range(250):
+        p = SimpleNamespace(name="q", batchId=i, timestamp="2024-01-01T00:00:00.000Z", numInputRows=2, processedRowsPerSecond=None,
+                            durationMs={"triggerExecution": 4}, stateOperators=[SimpleNamespace(numRowsDroppedByWatermark=1)])
+        log.onQueryProgress(SimpleNamespace(progress=p))
+    assert tuple(ingest.commit_counts(log.table()).first()) == ("q", 250, 500, 4.0)
+    assert log.table().agg(F.sum("dropped_late"), F.count("at")).first()[:] == (250, 250)
 
 
 def test_router_equals_batch_across_a_restart(spark):
@@ -51,7 +70,8 @@ def test_router_equals_batch_across_a_restart(spark):
     clock = F.lit("2024-02-01").cast("timestamp")
     a = quality.assess(raw.select(*LOG), Q.ROWS, Q.OPTIONS).persist()
     for name, want in {"silver": quality.silver_rows(a, clock), "dlq": quality.dead_letters(a),
-                       "quarantine": quality.quarantine_rows(a, detected_at=clock)}.items():
+                       "quarantine": quality.quarantine_rows(a, detected_at=clock),
+                       "audit": quality.audit_rows(a, observed_at=clock)}.items():
         assert same(sinks.read_table(spark, f"{box}/out/{name}").drop("batch_id"), want), name
     # The last batch again, as after a crash before its commit: nothing changes.
     last = sinks.snapshots(spark, f"{box}/out/silver").agg(F.max("batch_id")).first()[0]

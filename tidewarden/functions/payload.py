@@ -16,6 +16,23 @@ def once(expression: str) -> str:
     return f"explode(array({expression}))"
 
 
+def is_json_object(value: str) -> str:
+    """SQL condition: the text is one JSON object and nothing else.
+
+    The parsers stop after the first value and ignore what follows. Inside an
+    array, before and after another element, the text must be exactly one element.
+    """
+    bare = f"trim(BOTH ' \\t\\n\\r' FROM {value})"
+    return (f"(startswith({bare}, '{{') AND endswith({bare}, '}}') "
+            f"AND coalesce(json_array_length(concat('[', {value}, ',0]')) = 2, false) "
+            f"AND coalesce(json_array_length(concat('[0,', {value}, ']')) = 2, false))")
+
+
+def json_body(value: str = "value") -> str:
+    """SQL: the text if it is a JSON object, else NULL."""
+    return f"CASE WHEN {is_json_object(value)} THEN {value} END"
+
+
 def needs_escape(text: Column) -> Column:
     return text.rlike(r'["\\\x00-\x1f]')
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from tidewarden.functions.payload import value_kind, value_text
+from tidewarden.functions.payload import json_body, value_kind, value_text
 
 COMPATIBLE, BREAKING = "COMPATIBLE", "BREAKING"
 
@@ -130,13 +130,23 @@ def read_schema(contract_rows: list[tuple], version: str) -> T.StructType:
     return T.StructType([T.StructField(r[2], SPARK_TYPES[r[3]], not r[4]) for r in own])
 
 
-def payload_entries(raw: DataFrame, keep: list[Column]) -> DataFrame:
-    """One row per key of each JSON object payload: key, kind and text."""
-    m = F.from_json("value", "map<string,variant>")
+def payload_entries(raw: DataFrame, keep: list[Column], whole: bool = False) -> DataFrame:
+    """One row per key of each JSON object payload: key, kind and text.
+
+    A repeated key counts once, with its last value. ``whole`` adds a row with a
+    NULL key per payload, so that payloads can be counted in the same pass.
+    """
+    m = F.from_json(F.expr(json_body()), "map<string,variant>")
     entries = raw.select(*keep, m.alias("_m")).where(F.col("_m").isNotNull())
     entries = entries.withColumn("schema_version", value_text(F.try_element_at("_m", F.lit("source_version"))))
     names = [c for c in entries.columns if c != "_m"]
-    return entries.select(*names, F.explode("_m").alias("key", "_v")) \
+    listed = F.map_entries("_m")
+    newest = F.filter(listed, lambda e, i: F.array_position(
+        F.transform(F.slice(listed, i + 2, F.size(listed)), lambda x: x["key"]), e["key"]) == 0)
+    if whole:
+        newest = F.concat(newest, F.array(F.struct(F.lit(None).cast("string").alias("key"),
+                                                   F.lit(None).cast("variant").alias("value"))))
+    return entries.select(*names, F.explode(newest).alias("_e")).select(*names, F.col("_e.key").alias("key"), F.col("_e.value").alias("_v")) \
         .select(*names, "key", value_kind(F.col("_v")).alias("kind"), value_text(F.col("_v")).alias("text"))
 
 
@@ -168,30 +178,29 @@ def drift(observed: DataFrame, contracts: DataFrame) -> DataFrame:
                        F.coalesce("events", F.lit(0)).alias("events"), status.alias("status"))
 
 
-def observed_contracts(raw: DataFrame, period: Column, enumerated: list[str],
-                       max_values: int = 1000) -> DataFrame:
+def observed_contracts(raw: DataFrame, period: Column, enumerated: list[str]) -> DataFrame:
     """Contract table as practised: one version per period of the log.
 
     A field's type is its most frequent kind in the period (integer and float
     together count as float); it is required when every payload of the period
-    has it with a value. Fields in ``enumerated`` list their observed values;
-    values are collapsed to distinct ones before they are gathered, and a field
-    with more than ``max_values`` of them is free text, not an enum.
+    has it with a value. Fields in ``enumerated`` list their observed values,
+    which are collapsed to distinct ones before they are gathered. One pass over
+    the payloads counts (period, key, kind, enumerated value); all else comes from these counts.
     """
-    rows = payload_entries(raw, [period.alias("period")]).drop("schema_version")
-    total = raw.select(period.alias("period"), F.from_json("value", "map<string,string>").alias("_m")) \
-        .where(F.col("_m").isNotNull()).groupBy("period").agg(F.count(F.lit(1)).alias("_events"))
-    kinds = rows.where(F.col("kind") != "null").groupBy("period", "key", "kind").agg(F.count(F.lit(1)).alias("_n"))
+    enum_text = F.when(F.col("key").isin(enumerated) & (F.col("kind") == "string"), F.col("text"))
+    counts = payload_entries(raw, [period.alias("period")], whole=True) \
+        .groupBy("period", "key", "kind", enum_text.alias("text")).agg(F.count(F.lit(1)).alias("_n"))
+    kinds = counts.groupBy("period", "key", "kind").agg(
+        F.sum("_n").alias("_n"), F.array_sort(F.collect_set("text")).alias("_values"))
+    real = F.coalesce(F.col("kind") != "null", F.lit(False))
     per_key = kinds.groupBy("period", "key").agg(
-        F.sum("_n").alias("_n"), F.max_by("kind", F.struct("_n", "kind")).alias("_kind"),
-        F.bool_or(F.col("kind") == "float").alias("_float"), F.bool_or(F.col("kind") == "integer").alias("_int"))
-    values = rows.where(F.col("key").isin(enumerated) & (F.col("kind") == "string")) \
-        .groupBy("period", "key", "text").agg(F.lit(1).alias("_one"))
-    few = values.groupBy("period", "key").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") <= max_values)
-    enums = values.join(few, ["period", "key"], "left_semi").groupBy("period", "key") \
-        .agg(F.array_sort(F.collect_list("text")).alias("enum"))
+        F.sum(F.when(real, F.col("_n"))).alias("_n"), F.sum("_n").alias("_all"),
+        F.max_by(F.when(real, F.col("kind")), F.when(real, F.struct("_n", "kind"))).alias("_kind"),
+        F.coalesce(F.bool_or(F.col("kind") == "float"), F.lit(False)).alias("_float"),
+        F.max(F.when(F.col("kind") == "string", F.col("_values"))).alias("_values"))
+    total = F.max(F.when(F.col("key").isNull(), F.col("_all"))).over(W.partitionBy("period"))
     typed = F.when(F.col("_kind").isin("integer", "float") & F.col("_float"), "float").otherwise(F.col("_kind"))
-    joined = per_key.join(total, "period").join(enums, ["period", "key"], "left")
-    return joined.select(
-        F.col("period").alias("schema_version"), F.lit(0).alias("position"), F.col("key").alias("field"),
-        typed.alias("type"), (F.col("_n") == F.col("_events")).alias("required"), "enum")
+    return per_key.withColumn("_events", total).where(F.col("key").isNotNull() & (F.col("_n") > 0)).select(
+        F.col("period").alias("schema_version"), F.lit(0).alias("position"), F.col("key").alias("field"), typed.alias("type"),
+        (F.col("_n") == F.col("_events")).alias("required"),
+        F.when(F.size("_values") > 0, F.col("_values")).alias("enum"))

@@ -38,12 +38,9 @@ def flag_duplicates(df: DataFrame, id_col: str = "event_id", order: list[str] |
 def keep_first(df: DataFrame, id_col: str = "event_id", order: list[str] | None = None) -> DataFrame:
     """The first row of each id, and every row without an id.
 
-    The partial aggregate keeps one row per id and task before the shuffle.
+    Rows whose id does not repeat are not gathered; see :func:`flag_duplicates`.
     """
-    order = order or ARRIVAL
-    lone = F.when(F.col(id_col).isNull(), F.struct(*order))
-    first = F.min_by(F.struct(*df.columns), _rank(order)).alias("_row")
-    return df.groupBy(F.col(id_col).alias("_id"), lone.alias("_lone")).agg(first).select("_row.*")
+    return flag_duplicates(df, id_col, order, "_again").where("NOT _again").drop("_again")
 
 
 def duplicate_count(df: DataFrame, id_col: str = "event_id") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewarden import model
-from tidewarden.functions.payload import encode, once
+from tidewarden.functions.payload import encode, json_body, once
 from tidewarden.functions.times import prefix_time
 
 # Bronze reads these payload fields only; everything else in a payload is
@@ -24,7 +24,7 @@ def decode(raw: DataFrame, fields: list[str] = BRONZE_FIELDS) -> DataFrame:
     Missing fields and unparseable payloads give NULLs, never an error.
     """
     shape = ", ".join(f"`{f}` STRING" for f in fields)
-    return raw.selectExpr("*", f"{once(f'from_json(value, {shape!r})')} AS event")
+    return raw.selectExpr("*", f"{once(f'from_json({json_body()}, {shape!r})')} AS event")
 
 
 def money(text: Column) -> Column:

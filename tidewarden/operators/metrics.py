@@ -52,60 +52,39 @@ def faults_by_type(labelled: DataFrame, mode: str = "fault_mode") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("faults"))
 
 
-def exact_percentiles(df: DataFrame, value: str, quantiles: list[float], keys: list[str] | None = None,
-                      accuracy: int = 10_000) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, quantiles: list[float], keys: list[str] | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation: (keys, quantile, value).
 
     An exact percentile aggregate would hold every distinct value of a group in
-    one task. Here a sketch brackets each percentile between two values first
-    (its rank error is at most rows/accuracy); the rows below the bracket are
-    only counted, and just the bracket is ranked exactly.
+    one task. Here values are counted first, so a tied group is one row. The
+    counts are dealt out by range; a small table with the total of each range and
+    key says in which ranges the wanted ranks lie, and only these are ranked.
     """
     keys = keys or []
-    flat = df.where(F.col(value).isNotNull()).select(
-        *[F.col(k).alias(k) for k in keys], F.col(value).cast("double").alias("_v"), F.lit(1).alias("_one"))
-    on = keys or ["_one"]
-    margin = 2.0 / accuracy
-    lows = [max(0.0, q - margin) for q in quantiles]
-    highs = [min(1.0, q + margin) for q in quantiles]
-    small = F.col("_n") <= 2 * accuracy
-    sketch = flat.groupBy(*on).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", lows, accuracy).alias("_lo"),
-        F.percentile_approx("_v", highs, accuracy).alias("_hi"))
-    brackets = F.array(*[F.struct(
-        F.lit(i).alias("i"),
-        F.when(small, F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
-        F.when(small, F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"))
-        for i in range(len(quantiles))])
-    sketch = sketch.select(*on, "_n", brackets.alias("_b"))
-    joined = attach(flat, sketch, on, "_n" if keys else None, spread_by=["_v"])
-
-    below = joined.groupBy(*on).agg(
-        F.max("_n").alias("_n"),
-        *[F.count(F.when(F.col("_v") < F.col("_b")[i]["lo"], 1)).alias(f"_c{i}")
-          for i in range(len(quantiles))])
-    targets = below.select(*on, "_n", F.explode(F.array(*[F.struct(
-        F.lit(i).alias("i"), F.lit(float(q)).alias("quantile"), F.col(f"_c{i}").alias("skipped"))
-        for i, q in enumerate(quantiles)])).alias("_t")).select(*on, "_n", "_t.*")
-    inside = F.filter("_b", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
-    counted = joined.select(*on, "_v", F.explode(F.transform(inside, lambda b: b["i"])).alias("i")) \
-        .groupBy(*on, "i", "_v").agg(F.count(F.lit(1)).alias("_k"))
-    w = W.partitionBy(*on, "i").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_k").over(w))
-    full = ranked.join(targets, on + ["i"])
-    rank = F.col("quantile") * (F.col("_n") - 1)
-    upto = F.col("skipped") + F.col("_upto")
-    before = upto - F.col("_k")
-    picked = full.withColumn("_rank", rank).withColumn("_before", before).withColumn("_end", upto)
-
-    def at(r: Column) -> Column:
-        return F.max(F.when((F.col("_before") <= r) & (r < F.col("_end")), F.col("_v")))
-
-    low, high = at(F.floor("_rank")), at(F.ceil("_rank"))
-    out = picked.groupBy(*on, "i", "quantile").agg(low.alias("_l"), high.alias("_h"), F.max("_rank").alias("_r"))
-    return out.select(*keys, "quantile",
-                      (F.col("_l") + (F.col("_h") - F.col("_l")) * (F.col("_r") - F.floor("_r"))).alias("value"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")) \
+        .agg(F.count(F.lit(1)).alias("_k"))
+    dealt = counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id())
+    before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy(*keys, "_p").agg(F.sum("_k").alias("_s")).select(
+        *keys, "_p", "_s", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"),
+        F.sum("_s").over(W.partitionBy(*keys)).alias("_n"))
+    rank = lambda q: F.lit(float(q)) * (F.col("_n") - 1)
+    targets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("quantile"), end(rank(q)).alias("r"),
+                                           (rank(q) - F.floor(rank(q))).alias("share"))
+                                  for i, q in enumerate(quantiles) for end in (F.floor, F.ceil)]))
+    wanted = totals.withColumn("_t", targets).where((F.col("_t.r") >= F.col("_before"))
+                                                    & (F.col("_t.r") < F.col("_before") + F.col("_s"))) \
+        .groupBy(*keys, "_p", "_before").agg(F.collect_set("_t").alias("_t"))
+    wanted = wanted.select(*[F.col(k).alias(f"_w{j}") for j, k in enumerate(keys)], F.col("_p").alias("_q"), "_before", "_t")
+    same = F.col("_p") == F.col("_q")
+    for j, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_w{j}"))
+    upto = W.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = dealt.join(wanted, same).withColumn("_end", F.col("_before") + F.sum("_k").over(upto))
+    hit = F.filter("_t", lambda t: (t["r"] < F.col("_end")) & (t["r"] >= F.col("_end") - F.col("_k")))
+    found = ranked.select(*keys, "_v", F.explode(hit).alias("_t")).groupBy(*keys, "_t.i", "_t.quantile", "_t.share") \
+        .agg(F.min("_v").alias("_l"), F.max("_v").alias("_h"))
+    return found.select(*keys, "quantile", (F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("share")).alias("value"))
 
 
 def latency_summary(df: DataFrame, latency: str) -> DataFrame:
@@ -177,8 +156,7 @@ def lag_totals(lags: DataFrame) -> DataFrame:
                     F.coalesce(F.max("lag"), F.lit(0)).alias("max_lag"))
 
 
-def fault_detection(labelled: DataFrame, assessed: DataFrame) -> DataFrame:
-    """Injected fault modes against the rules that caught them."""
-    joined = assessed.select("partition", "offset", "failures").join(labelled.select("partition", "offset", "fault_mode"), ["partition", "offset"])
-    return joined.select("fault_mode", F.explode_outer("failures").alias("rule")) \
+def fault_detection(assessed: DataFrame) -> DataFrame:
+    """Injected fault modes, which the arrivals carry, against the rules that caught them."""
+    return assessed.select("fault_mode", F.explode_outer("failures").alias("rule")) \
         .groupBy("fault_mode", "rule").agg(F.count(F.lit(1)).alias("events"))

@@ -61,16 +61,32 @@ def moving_sums(sliced: DataFrame, keys: list[str], seconds: int = 60, step: int
             .withColumn("window_rate", F.col("window_bad") / F.col("window_total")))
 
 
+def fill_slices(counts: DataFrame, keys: list[str], seconds: int, count: str) -> DataFrame:
+    """One row per key and slice from the key's first slice to the newest of all keys; silent slices count zero."""
+    newest = counts.agg(F.max("slice")).scalar()
+    every = counts.groupBy(*keys).agg(F.min("slice").alias("_first")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.explode(F.sequence("_first", newest, F.lit(seconds).cast("long"))).alias("_at"))
+    same = F.col("_at") == F.col("slice")
+    for i, k in enumerate(keys):
+        same &= F.col(f"_k{i}").eqNullSafe(F.col(k))
+    return every.join(counts, same, "left").select(
+        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("_at").alias("slice"),
+        F.coalesce(count, F.lit(0)).alias(count))
+
+
 def volume_anomalies(df: DataFrame, keys: list[str], ts: str, seconds: int = 60,
                      history: int = 30, threshold: float = 3.0, min_history: int = 5) -> DataFrame:
     """Slices whose count lies far off the trailing slices of their key.
 
+    A slice without rows counts zero, so a key that falls silent is seen.
     ``z_score`` uses the mean and the sample deviation of up to ``history``
     earlier slices. It is NULL before ``min_history`` slices or when those do
     not vary, and such a slice is no anomaly.
     """
     counts = df.groupBy(*keys, slice_start(F.col(ts), seconds).alias("slice")) \
         .agg(F.count(F.lit(1)).alias("events"))
+    counts = fill_slices(counts, keys, seconds, "events")
     w = W.partitionBy(*keys).orderBy("slice").rowsBetween(-history, -1)
     scored = (counts.withColumn("_n", F.count(F.lit(1)).over(w))
               .withColumn("_mean", F.avg("events").over(w))

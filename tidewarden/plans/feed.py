@@ -6,7 +6,7 @@ contract versions and faults, so that every operator has something to find.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewarden import model
 from tidewarden.functions.draws import choice, digest, draw
@@ -68,14 +68,22 @@ def arrivals(events: DataFrame, rates: FaultRates = RATES, seed: int = SEED,
              block: int = BLOCK) -> DataFrame:
     """The raw log: (partition, offset, arrived_at, source, fault_mode, value).
 
-    About one payload in 300 is cut off in transit.
+    Of 300 payloads about one is cut off in transit, one each is followed by
+    other text or by a second object, and three hold a number that does not fit.
     """
     dirty = corrupt(checkouts(events), rates, seed, block=block)
     value = F.col("value")
-    torn = draw(digest(F.col("pos"), "torn"), 0) % 300 == 0
+    torn = draw(digest(F.col("pos"), "torn"), 0) % 300
+
+    def put(name: str, text: str) -> Column:
+        return F.regexp_replace(value, f'"{name}":[^,}}]*', f'"{name}":{text}')
+
     return dirty.select(
         "partition", F.col("pos").alias("offset"), "arrived_at", "source", "fault_mode",
-        F.when(torn, F.substr(value, F.lit(1), F.length(value) - 20)).otherwise(value).alias("value"))
+        F.when(torn == 0, F.substr(value, F.lit(1), F.length(value) - 20))
+        .when(torn == 1, F.concat(value, F.lit(" x"))).when(torn == 2, F.concat(value, value))
+        .when(torn == 3, put("amount", "1e400")).when(torn == 4, put("amount", "12345678901234567890"))
+        .when(torn == 5, put("quantity", "5000000000")).otherwise(value).alias("value"))
 
 
 _LANDED: dict[tuple[str, str], str] = {}

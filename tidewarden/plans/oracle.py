@@ -44,8 +44,9 @@ def over_slices(select: str) -> str:
 
 KIND = """CASE json_type(value, '$."' || key || '"') WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null'
    WHEN 'BIGINT' THEN 'integer' WHEN 'UBIGINT' THEN 'integer' WHEN 'BOOLEAN' THEN 'boolean'
-   WHEN 'DOUBLE' THEN CASE WHEN (value ->> ('$."' || key || '"'))::double
-        = floor((value ->> ('$."' || key || '"'))::double) THEN 'integer' ELSE 'float' END END"""
+   WHEN 'DOUBLE' THEN CASE WHEN isfinite(try_cast(value ->> ('$."' || key || '"') AS double))
+        AND try_cast(value ->> ('$."' || key || '"') AS double) = floor(try_cast(value ->> ('$."' || key || '"') AS double))
+        THEN 'integer' ELSE 'float' END END"""
 ENTRIES = f"""entries AS (
   SELECT "offset", strftime(arrived_at, '%Y-%m-%d') AS period, value ->> '$.source_version' AS schema_version,
          key, {KIND} AS kind, value ->> ('$."' || key || '"') AS text
@@ -207,10 +208,16 @@ def _histogram(bounds: list[float], group: str = "") -> str:
 RULE_ROWS = ", ".join(f"('{c}', '{s}')" for c, s in model.RULES.items())
 MODE_ROWS = ", ".join(f"('{m}', {float(r)})" for m, r in RATES.resolved().items())
 CUT = "TIMESTAMP '2024-01-16'"
-IDS = """ids AS (SELECT "partition", "offset", arrived_at, source,
+MIDDLE = f"(SELECT floor((epoch_us(min(arrived_at)) + epoch_us(max(arrived_at))) / {2 * H}000000)::bigint * {H} FROM raw)"
+IDS = """ids AS (SELECT "partition", "offset", arrived_at, source, value,
   CASE WHEN json_valid(value) THEN value ->> '$.event_id' END AS event_id,
   CASE WHEN json_valid(value) THEN value ->> '$.amount' END AS amount FROM raw)"""
 
+
+def _number_or_text(name: str) -> str:
+    return f"({name}::double)::varchar" if name in ("unit_price", "amount") else _literal(name)
+
+
 ORACLE: dict[str, str] = {
     "bronze_ingest": over_bronze(
         f"SELECT * REPLACE ({stamp('event_time')} AS event_time, amount::double AS amount, "
@@ -229,9 +236,9 @@ ORACLE: dict[str, str] = {
         "SELECT payment_status, count(*) AS events FROM bronze WHERE event_time IS NOT NULL "
         "AND customer_id IS NOT NULL AND amount IS NOT NULL GROUP BY 1"),
     "producer_records": over_checkouts(
-        """SELECT customer_id AS key, '{"event_id":"' || event_id || '","customer_id":"' || customer_id
-        || '","quantity":' || quantity || ',"coupon_code":'
-        || coalesce('"' || coupon_code || '"', 'null') || '}' AS value FROM checkouts"""),
+        f"""SELECT customer_id AS key, {_object({n: f"coalesce({_number_or_text(n)}, 'null')"
+                                                  for n in [*model.EVENT_FIELDS, 'coupon_code']})} AS value
+        FROM checkouts"""),
     "corrupted_payloads": over_raw(
         f"""SELECT "partition", "offset", source, fault_mode, value, {stamp('arrived_at')} AS arrived_at FROM raw"""),
     "mixed_stream_counts": over_raw(
@@ -273,8 +280,7 @@ ORACLE: dict[str, str] = {
     "legacy_errors": _legacy(5, 60.0, model.LEGACY_ERRORS)
     + f"""SELECT "partition", "offset", error_type, {_legacy_payload()} AS value FROM donors""",
     "typed_probe": over_raw(
-        f""", {ENTRIES} SELECT key, kind, count(*) AS events FROM entries
-        WHERE key IN ('amount', 'quantity', 'customer_id', 'event_id') GROUP BY ALL"""),
+        f""", {ENTRIES} SELECT key, kind, count(*) AS events FROM entries GROUP BY ALL"""),
     "amount_check": over_judged(
         """SELECT source, count(*) FILTER (d) AS "off", count(*) FILTER (NOT d) AS exact,
         count(*) FILTER (d IS NULL) AS unknown
@@ -283,8 +289,7 @@ ORACLE: dict[str, str] = {
         f""", {IDS} SELECT "offset", event_id, event_id IS NOT NULL
         AND row_number() OVER (PARTITION BY event_id ORDER BY "offset") > 1 AS is_duplicate FROM ids"""),
     "first_arrivals": over_raw(
-        f""", {IDS} SELECT "offset", event_id, CASE WHEN amount IS NULL THEN NULL ELSE amount END AS amount
-        FROM ids QUALIFY event_id IS NULL OR row_number() OVER (PARTITION BY event_id ORDER BY "offset") = 1"""),
+        f""", {IDS} SELECT "offset", event_id, value FROM ids QUALIFY event_id IS NULL OR row_number() OVER (PARTITION BY event_id ORDER BY "offset") = 1"""),
     "lineitem_first_per_line":
         f"""SELECT l_orderkey || '-' || l_linenumber AS line_id, {stamp('l_shipdate')} AS l_shipdate, l_partkey,
         l_suppkey, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
@@ -345,8 +350,10 @@ ORACLE: dict[str, str] = {
         ELSE 'pass' END AS gate FROM assessed a JOIN states s ON a.source = s.source
         AND s.slice = floor(epoch_us(a.arrived_at) / {H}000000)::bigint * {H}"""),
     "volume_anomalies": over_raw(
-        f""", c AS (SELECT source, floor(epoch_us(arrived_at) / {H}000000)::bigint * {H} AS slice, count(*) AS events
+        f""", k AS (SELECT source, floor(epoch_us(arrived_at) / {H}000000)::bigint * {H} AS slice, count(*) AS events
           FROM raw GROUP BY ALL),
+        every AS (SELECT source, unnest(range(min(slice), (SELECT max(slice) FROM k) + 1, {H})) AS slice FROM k GROUP BY source),
+        c AS (SELECT source, slice, coalesce(events, 0) AS events FROM every LEFT JOIN k USING (source, slice)),
         s AS (SELECT *, count(*) OVER w AS n, avg(events) OVER w AS m, stddev_samp(events) OVER w AS sd FROM c
           WINDOW w AS (PARTITION BY source ORDER BY slice ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
         z AS (SELECT source, slice, events, CASE WHEN n >= 5 AND sd > 0 THEN (events - m) / sd END AS z_score FROM s)
@@ -398,13 +405,15 @@ ORACLE: dict[str, str] = {
         GROUP BY 1"""),
     "lag_report": over_raw(
         f""", h AS (SELECT "partition", max("offset") + 1 AS high FROM raw GROUP BY 1),
-        c AS (SELECT "partition", max("offset") + 1 AS committed FROM raw WHERE arrived_at < {CUT} AND "partition" < 2
+        c AS (SELECT "partition", max("offset") + 1 AS committed FROM raw
+          WHERE epoch_us(arrived_at) < {MIDDLE} * 1000000 AND "partition" < 2
           GROUP BY 1)
         SELECT "partition", high, committed, CASE WHEN committed IS NULL THEN 0
           ELSE greatest(0, high - committed) END AS lag FROM h LEFT JOIN c USING ("partition")"""),
     "lag_totals": over_raw(
         f""", h AS (SELECT "partition", max("offset") + 1 AS high FROM raw GROUP BY 1),
-        c AS (SELECT "partition", max("offset") + 1 AS committed FROM raw WHERE arrived_at < {CUT} AND "partition" < 2
+        c AS (SELECT "partition", max("offset") + 1 AS committed FROM raw
+          WHERE epoch_us(arrived_at) < {MIDDLE} * 1000000 AND "partition" < 2
           GROUP BY 1)
         SELECT sum(greatest(0, high - committed))::bigint AS total_lag, max(greatest(0, high - committed)) AS max_lag
         FROM h JOIN c USING ("partition")"""),
@@ -420,7 +429,9 @@ ORACLE: dict[str, str] = {
 
 _POLLS = f""", per AS (SELECT source, floor(epoch_us(arrived_at) / {H}000000)::bigint * {H} AS "at", count(*) AS n
   FROM raw GROUP BY ALL),
-polls AS (SELECT source, "at", (sum(n) OVER (PARTITION BY source ORDER BY "at"))::bigint AS count FROM per),
+every AS (SELECT source, unnest(range(min("at"), (SELECT max("at") FROM per) + 1, {H})) AS "at" FROM per GROUP BY source),
+polls AS (SELECT source, "at", (sum(coalesce(n, 0)) OVER (PARTITION BY source ORDER BY "at"))::bigint AS count
+  FROM every LEFT JOIN per USING (source, "at")),
 daily AS (SELECT source, "at", (sum(n) OVER (PARTITION BY source, "at" // 86400 ORDER BY "at"))::bigint AS count FROM per)"""
 
 _SYNTH = {x: f"md5(event_id || '|synth-{x}|1')" for x in "abc"}
@@ -462,9 +473,11 @@ ORACLE |= {
         SELECT source, "at", count, round(CASE WHEN count >= last THEN count - last WHEN last IS NOT NULL THEN count END
           / ("at" - prev), 8) AS rate FROM d"""),
     "recovery_continuity": over_raw(
-        """, s AS (SELECT source, count(*) FILTER (arrived_at < TIMESTAMP '2024-01-10') AS b,
-          count(*) FILTER (arrived_at < TIMESTAMP '2024-01-11') AS l FROM raw GROUP BY 1)
-        SELECT source, b AS before, b AS after, l AS later, l > b AS continuous FROM s"""),
+        f""", m AS (SELECT {MIDDLE} AS cut), s AS (SELECT source, hour(arrived_at) AS hour,
+          count(*) FILTER (epoch_us(arrived_at) < cut * 1000000) AS b,
+          count(*) FILTER (epoch_us(arrived_at) < (cut + {H}) * 1000000) AS a,
+          count(*) FILTER (epoch_us(arrived_at) < (cut + {12 * H}) * 1000000) AS l FROM raw, m GROUP BY ALL)
+        SELECT source, hour, b AS before, a AS after, l AS later, l > a AND a >= b AS continuous FROM s"""),
     "gold_metrics": over_bronze(
         f"""SELECT {stamp("date_trunc('hour', event_time)")} AS hour, product_id, payment_status, count(*) AS events,
         count(DISTINCT customer_id) AS customers, sum(amount)::double AS revenue,

@@ -112,6 +112,10 @@ def _mutated() -> str:
     return _object(x)
 
 
+def _put(name: str, text: str) -> str:
+    return f"""regexp_replace(whole, '"{name}":[^,}}]*', '"{name}":{text}')"""
+
+
 RAW = CHECKOUTS + f""",
 digests AS (
   SELECT *, md5(event_id || '|mode-a|{SEED}') AS ma, md5(event_id || '|mode-b|{SEED}') AS mb,
@@ -131,8 +135,10 @@ dirty AS (
        AND b.idx = a.idx - a.t % least(a.idx, {chaos.HISTORY})),
 raw AS (
   SELECT "partition", "offset", arrived_at, source, fault_mode, t,
-         CASE WHEN {hx("md5(" + '"offset"' + " || '|torn')", 0)} % 300 = 0
-              THEN substr(whole, 1, length(whole) - 20) ELSE whole END AS value
+         CASE {hx("md5(" + '"offset"' + " || '|torn')", 0)} % 300
+              WHEN 0 THEN substr(whole, 1, length(whole) - 20) WHEN 1 THEN whole || ' x' WHEN 2 THEN whole || whole
+              WHEN 3 THEN {_put('amount', '1e400')} WHEN 4 THEN {_put('amount', '12345678901234567890')}
+              WHEN 5 THEN {_put('quantity', '5000000000')} ELSE whole END AS value
   FROM dirty)"""
 
 
@@ -148,7 +154,9 @@ def _contract_rows() -> str:
 CONTRACT = _contract_rows()
 
 _TS = "try_strptime(substr(value ->> '$.event_time', 1, 19), '%Y-%m-%dT%H:%M:%S')"
-_NUM = {n: f"try_cast(value ->> '$.{n}' AS double)" for n in NUMERIC}
+_NUM = {n: f"CASE WHEN isfinite(try_cast(value ->> '$.{n}' AS double)) THEN (value ->> '$.{n}')::double END" for n in NUMERIC}
+_CASTS = {"amount": "try_cast(try_cast(text AS double) AS decimal(18,2))", "quantity": "try_cast(try_cast(text AS double) AS int)",
+          "unit_price": "CASE WHEN isfinite(try_cast(text AS double)) THEN 1 END"}
 _IDENT = '"partition", "offset"'
 
 ASSESSED = RAW + ", " + CONTRACT + f""",
@@ -169,7 +177,8 @@ per_event AS (
       WHEN type = 'string' THEN kind <> 'VARCHAR'
       WHEN type = 'timestamp' THEN kind <> 'VARCHAR' OR try_strptime(substr(text, 1, 19), '%Y-%m-%dT%H:%M:%S') IS NULL
       WHEN type = 'integer' THEN kind NOT IN ('BIGINT', 'UBIGINT')
-      WHEN type = 'float' THEN kind NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE') END) AS mistyped,
+      WHEN type = 'float' THEN kind NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE') END)
+      OR bool_or(kind <> 'NULL' AND CASE field {" ".join(f"WHEN '{n}' THEN {c} IS NULL" for n, c in _CASTS.items())} END) AS mistyped,
     bool_or(kind = 'VARCHAR' AND enum IS NOT NULL AND NOT list_contains(enum, text)) AS bad_enum
   FROM fieldwise GROUP BY ALL),
 extra AS (

@@ -112,8 +112,9 @@ def required_enforced(spark, sf):
 
 @query
 def producer_records(spark, sf):
-    fields = ["event_id", "customer_id", "quantity", "coupon_code"]
-    return ingest.producer_frame(checkouts(table(spark, sf, "events")).select(*fields), fields)
+    """All payload fields; the prices as double, as every JSON writer prints these alike."""
+    rows = checkouts(table(spark, sf, "events")).withColumns({c: F.col(c).cast("double") for c in ("unit_price", "amount")})
+    return ingest.producer_frame(rows, [*model.EVENT_FIELDS, "coupon_code"])
 
 
 @query
@@ -141,11 +142,10 @@ def event_failures(spark, sf):
 
 @query
 def failures_by_rule(spark, sf):
-    rules = F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.lit(s).alias("severity"))
+    counts = assessed(spark, sf).agg(*[F.count_if(F.array_contains("failures", c)).alias(c) for c in model.RULES])
+    rules = F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.lit(s).alias("severity"), F.col(c).alias("events"))
                                 for c, s in model.RULES.items()])).alias("r")
-    failed = F.array_contains("failures", F.col("r.rule"))
-    return assessed(spark, sf).select("failures", rules).groupBy("r.rule", "r.severity") \
-        .agg(F.count_if(failed).alias("events"))
+    return counts.select(rules).select("r.*")
 
 
 @query
@@ -183,7 +183,7 @@ def quality_score_by_source(spark, sf):
 
 @query
 def fault_detection(spark, sf):
-    return metrics.fault_detection(raw_log(spark, sf), assessed(spark, sf))
+    return metrics.fault_detection(assessed(spark, sf))
 
 
 @query
@@ -205,9 +205,7 @@ def legacy_errors(spark, sf):
 
 @query
 def typed_probe(spark, sf):
-    return compatibility.payload_entries(raw_log(spark, sf), []).where(
-        F.col("key").isin("amount", "quantity", "customer_id", "event_id")) \
-        .groupBy("key", "kind").agg(F.count(F.lit(1)).alias("events"))
+    return compatibility.payload_entries(raw_log(spark, sf), []).groupBy("key", "kind").agg(F.count(F.lit(1)).alias("events"))
 
 
 @query
@@ -229,7 +227,7 @@ def duplicates_flagged(spark, sf):
 
 @query
 def first_arrivals(spark, sf):
-    e = ingest.decode(raw_log(spark, sf), ["event_id", "amount"]).select("offset", "event.*")
+    e = ingest.decode(raw_log(spark, sf), ["event_id"]).select("offset", "event.*", "value")
     return dedupe.keep_first(e, "event_id", ["offset"])
 
 
@@ -261,14 +259,9 @@ def new_since_landed(spark, sf):
 
 @query
 def late_events(spark, sf):
-    raw = raw_log(spark, sf)
-    e = raw.select("partition", "offset", "arrived_at",
-                   F.get_json_object("value", "$.event_time").alias("event_time"))
-    e = e.withColumn("event_ts", times.prefix_time(F.col("event_time")))
-    credible = F.when(F.col("event_ts") <= F.col("arrived_at") + F.expr("interval 5 minutes"), F.col("event_ts"))
-    marked = ordered.running_max_before(e, ["partition"], "offset", credible, "mark")
-    return marked.select("partition", "offset", stamp(F.col("mark")).alias("mark"), F.coalesce(
-        F.col("event_ts") < F.col("mark") - F.expr("interval 5 seconds"), F.lit(False)).alias("is_late"))
+    marked = quality.with_marks(quality.positions(raw_log(spark, sf), OPTIONS), OPTIONS)
+    return marked.select("partition", "offset", stamp(F.col("mark")).alias("mark"),
+                         quality.is_late(F.col("mark"), OPTIONS).alias("is_late"))
 
 
 @query
@@ -376,9 +369,9 @@ def faults_by_type(spark, sf):
 
 
 def latencies(spark, sf) -> DataFrame:
-    raw = raw_log(spark, sf)
-    ts = times.prefix_time(F.get_json_object("value", "$.event_time"))
-    return raw.select("source", "offset", times.latency_ms(F.col("arrived_at"), ts).alias("latency"))
+    e = ingest.decode(raw_log(spark, sf), ["event_time"])
+    ts = times.prefix_time(F.col("event.event_time"))
+    return e.select("source", "offset", times.latency_ms(F.col("arrived_at"), ts).alias("latency"))
 
 
 @query
@@ -436,12 +429,19 @@ def ingestion_delay(spark, sf):
         F.round(F.max(delay), 4).alias("max_ms"))
 
 
+def middle(raw: DataFrame) -> Column:
+    """The full hour (epoch seconds) in the middle of the log's time range."""
+    us = F.unix_micros("arrived_at")
+    return raw.agg((F.floor((F.min(us) + F.max(us)) / F.lit(2 * HOUR * 1_000_000)) * HOUR).alias("cut")).scalar()
+
+
 def committed_offsets(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """High watermarks per log partition; commits of a reader that stopped at
-    mid-January and never committed partition 2."""
+    """High watermarks per log partition; commits of a reader that stopped in
+    the middle of the log and never committed partition 2."""
     raw = raw_log(spark, sf)
+    read = F.unix_micros("arrived_at") < middle(raw) * 1_000_000
     high = raw.groupBy("partition").agg((F.max("offset") + 1).alias("high"))
-    seen = raw.where((F.col("arrived_at") < F.lit("2024-01-16").cast("timestamp")) & (F.col("partition") < 2))
+    seen = raw.where(read & (F.col("partition") < 2))
     return high, seen.groupBy("partition").agg((F.max("offset") + 1).alias("committed"))
 
 
@@ -463,9 +463,10 @@ def throughput(spark, sf):
 
 
 def polls(spark, sf) -> DataFrame:
-    """Row counts per source as an hourly poll would see them."""
-    per = raw_log(spark, sf).groupBy("source", windows.slice_start(F.col("arrived_at"), HOUR).alias("at")) \
+    """Row counts per source as an hourly poll would see them, also in hours without rows."""
+    per = raw_log(spark, sf).groupBy("source", windows.slice_start(F.col("arrived_at"), HOUR).alias("slice")) \
         .agg(F.count(F.lit(1)).alias("n"))
+    per = windows.fill_slices(per, ["source"], HOUR, "n").withColumnRenamed("slice", "at")
     w = W.partitionBy("source").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     return per.select("source", "at", F.sum("n").over(w).alias("count"))
 
@@ -493,14 +494,16 @@ def interval_rate(spark, sf):
 
 @query
 def recovery_continuity(spark, sf):
-    """Counts before, right after and some time after a stop on 10 January."""
+    """Counts of each source and hour of day before a stop in the middle of the
+    log, one hour and twelve hours after it; hours of the other half day do not grow."""
     raw = raw_log(spark, sf)
-    upto = lambda day: F.count_if(F.col("arrived_at") < F.lit(day).cast("timestamp"))
-    counts = raw.groupBy("source").agg(upto("2024-01-10").alias("b"), upto("2024-01-10").alias("a"),
-                                       upto("2024-01-11").alias("l"))
-    samples = counts.select("source", F.expr(
+    cut, at = middle(raw), F.unix_micros("arrived_at")
+    hour = F.hour("arrived_at").cast("long").alias("hour")
+    upto = lambda hours: F.count_if(at < (cut + F.lit(hours * HOUR)) * 1_000_000)
+    counts = raw.groupBy("source", hour).agg(upto(0).alias("b"), upto(1).alias("a"), upto(12).alias("l"))
+    samples = counts.select("source", "hour", F.expr(
         "stack(3, 'before', b, 'after', a, 'later', l) as (phase, count)"))
-    return windows.recovery_continuity(samples, ["source"])
+    return windows.recovery_continuity(samples, ["source", "hour"])
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,10 +36,13 @@ def build_session(app: str = "tidewarden", master: str | None = None,
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's checkpoint folder.
 
-    The setting comes from the session. Only where it is unset (local tests)
-    does a temporary folder stand in for it.
+    The setting comes from the session. Only in local mode, where driver and
+    executors are one process, may it be unset; a temporary folder stands in for
+    it there. On a cluster a machine's own folder would lose rows, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"tidewarden-{name}-")
     return os.path.join(root, f"{name}-{os.urandom(8).hex()}")

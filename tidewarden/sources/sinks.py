@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewarden.operators import quality
 
-# Tasks that share the rows of one day when a day partition is written.
-WRITERS_PER_DAY = 32
-
 
 def append(df: DataFrame, identifier: str) -> None:
     """Appends rows to a catalog table by column position."""
@@ -46,12 +43,10 @@ def read_table(spark: SparkSession, path: str, as_of: int | None = None) -> Data
     return data.join(done, "batch_id", "left_semi")
 
 
-def write_by_day(df: DataFrame, path: str, time_column: str, spread: str,
-                 writers: int = WRITERS_PER_DAY, mode: str = "append") -> None:
-    """Writes day partitions; the rows of a day are shared by several tasks."""
-    day = F.to_date(F.col(time_column))
-    salt = F.pmod(F.xxhash64(spread), F.lit(writers))
-    (df.withColumn("day", day).repartition("day", salt)
+def write_by_day(df: DataFrame, path: str, time_column: str, mode: str = "append") -> None:
+    """Writes day partitions. Days are gathered, and a day is shared by as many
+    tasks as its size needs (spark.sql.adaptive.advisoryPartitionSizeInBytes)."""
+    (df.withColumn("day", F.to_date(F.col(time_column))).hint("rebalance", "day")
      .write.mode(mode).partitionBy("day").parquet(path))
 
 
@@ -77,7 +72,6 @@ def write_routes(assessed: DataFrame, root: str, batch_id: int, clock=None) -> N
         write_batch(quality.silver_rows(kept, clock), f"{root}/silver", batch_id)
         write_batch(quality.quarantine_rows(kept, detected_at=clock), f"{root}/quarantine", batch_id)
         write_batch(quality.dead_letters(kept), f"{root}/dlq", batch_id)
-        write_batch(quality.audit_rows(kept.where(F.size("failures") > 0), observed_at=clock)
-                    .where("status = 'FAILED'"), f"{root}/audit", batch_id)
+        write_batch(quality.audit_rows(kept, observed_at=clock), f"{root}/audit", batch_id)
     finally:
         kept.unpersist()

@@ -6,12 +6,13 @@ sink exactly-once. Micro-batches are serial, so there is one commit at a time.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidewarden.operators.ingest import to_bronze
 
@@ -40,13 +41,6 @@ def start_bronze(arrivals: DataFrame, path: str, checkpoint: str, once: bool = F
     return triggered(writer, once).start()
 
 
-def start_bronze_table(arrivals: DataFrame, table: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """The same into a catalog table."""
-    writer = (to_bronze(arrivals).writeStream.outputMode("append")
-              .option("checkpointLocation", checkpoint))
-    return triggered(writer, once).toTable(table)
-
-
 def supervise(start: Callable[[], StreamingQuery], attempts: int = RESTART_ATTEMPTS,
               delay: float = RESTART_DELAY, sleep: Callable[[float], None] = time.sleep) -> int:
     """Runs a query to its end and starts it again after a failure.
@@ -65,20 +59,52 @@ def supervise(start: Callable[[], StreamingQuery], attempts: int = RESTART_ATTEM
     return attempts
 
 
-PROGRESS = ("query STRING, batch_id BIGINT, at TIMESTAMP, input_rows BIGINT, rows_per_second DOUBLE, "
+PROGRESS = ("query STRING, batch_id BIGINT, at STRING, input_rows BIGINT, rows_per_second DOUBLE, "
             "batch_ms BIGINT, dropped_late BIGINT")
 
 
-def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Recent progress of a query: rate, duration and rows dropped as late."""
-    rows = []
-    for p in query.recentProgress:
-        dropped = sum(int(op["numRowsDroppedByWatermark"]) for op in p["stateOperators"])
-        rows.append((p["name"], int(p["batchId"]), p["timestamp"], int(p["numInputRows"]),
-                     float(p["processedRowsPerSecond"]) if p["processedRowsPerSecond"] is not None else None,
-                     int(p["durationMs"].get("triggerExecution", 0)), dropped))
-    raw = PROGRESS.replace("at TIMESTAMP", "at STRING")
-    return spark.createDataFrame(rows, raw).withColumn("at", F.try_to_timestamp("at"))
+class ProgressLog(StreamingQueryListener):
+    """Appends the progress of every batch of all queries of a session to a table.
+
+    A query itself remembers its last batches only. Rows are written in portions
+    and when a query ends, or by :meth:`flush`.
+    """
+
+    PORTION = 100
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.rows, self.lock = spark, path, [], threading.Lock()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        rate = p.processedRowsPerSecond
+        with self.lock:
+            self.rows.append((p.name, int(p.batchId), p.timestamp, int(p.numInputRows), None if rate is None else float(rate),
+                              int(p.durationMs.get("triggerExecution", 0)),
+                              sum(int(op.numRowsDroppedByWatermark) for op in p.stateOperators)))
+            full = len(self.rows) >= self.PORTION
+        if full:
+            self.flush()
+
+    def onQueryTerminated(self, event) -> None:
+        self.flush()
+
+    def flush(self) -> None:
+        with self.lock:
+            rows, self.rows = self.rows, []
+        if rows:
+            self.spark.createDataFrame(rows, PROGRESS).coalesce(1).write.mode("append").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        """Rate, duration and rows dropped as late, one row per batch."""
+        self.flush()
+        return self.spark.read.schema(PROGRESS).parquet(self.path).withColumn("at", F.try_to_timestamp("at"))
 
 
 def commit_counts(progress: DataFrame) -> DataFrame:

@@ -10,15 +10,12 @@ batches before n, so a retried batch gives the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewarden.functions.times import prefix_time
 from tidewarden.operators import quality
 from tidewarden.operators.dedupe import flag_duplicates
-from tidewarden.operators.ordered import running_max_before
 from tidewarden.operators.skew import attach
 from tidewarden.sources import sinks
 from tidewarden.streaming.ingest import triggered
@@ -43,7 +40,7 @@ class StreamRouter:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
         try:
-            narrow = self._narrow(kept).persist()
+            narrow = quality.positions(kept, self.options).persist()
             assessed = self._assess(kept, narrow, batch_id)
             sinks.write_routes(assessed, self.root, batch_id, self.clock() if self.clock else None)
             self._write_state(narrow, batch_id)
@@ -51,14 +48,6 @@ class StreamRouter:
         finally:
             kept.unpersist()
 
-    def _narrow(self, batch: DataFrame) -> DataFrame:
-        e = batch.select("partition", "offset", "arrived_at",
-                         F.from_json("value", "event_id STRING, event_time STRING").alias("_e"))
-        ts = prefix_time(F.col("_e.event_time"))
-        limit = F.col("arrived_at") + F.expr(f"interval {self.options.max_skew}")
-        return e.select("partition", "offset", "arrived_at", F.col("_e.event_id").alias("event_id"),
-                        ts.alias("event_ts"), F.when(ts <= limit, ts).alias("credible"))
-
     def _state(self, spark: SparkSession, name: str, schema: str, batch_id: int) -> DataFrame:
         """Rows written by the batches before this one; none at the start."""
         if batch_id == 0:
@@ -70,11 +59,10 @@ class StreamRouter:
         spark = batch.sparkSession
         marks = self._state(spark, "marks", MARKS, batch_id).groupBy("partition") \
             .agg(F.max("mark").alias("_old"))
-        lateness = F.expr(f"interval {self.options.lateness}")
-        run = running_max_before(narrow, ["partition"], "offset", F.col("credible"), "_mark", self.options.block)
+        run = quality.with_marks(narrow, self.options)
         # One row per log partition of the topic: a fixed, small number.
         run = attach(run, marks, ["partition"], None)
-        late = run.where(F.col("event_ts") < F.greatest("_old", "_mark") - lateness) \
+        late = run.where(quality.is_late(F.greatest("_old", "mark"), self.options)) \
             .select("partition", "offset", F.lit("LATE_EVENT").alias("code"))
 
         flagged = flag_duplicates(narrow.where(F.col("event_id").isNotNull()), "event_id",
@@ -107,8 +95,3 @@ def start_routing(arrivals: DataFrame, router: StreamRouter, checkpoint: str,
                   once: bool = False) -> StreamingQuery:
     writer = arrivals.writeStream.foreachBatch(router).option("checkpointLocation", checkpoint)
     return triggered(writer, once).start()
-
-
-def in_single_log(options: quality.RuleOptions) -> quality.RuleOptions:
-    """Options for a log whose offsets are unique across partitions."""
-    return replace(options, dedupe_order=("offset",))
