@@ -78,6 +78,9 @@ def test_router_equals_batch_across_a_restart(spark):
     router(raw.where("offset div 400 > 0").select(*LOG), last)
     assert same(sinks.read_table(spark, f"{box}/out/silver").drop("batch_id"), quality.silver_rows(a, clock))
     a.unpersist()
+    # A new checkpoint starts at batch 0 again; what is landed is not overwritten.
+    with pytest.raises(ValueError):
+        router(raw.select(*LOG), 0)
 
 
 def test_breaker_stream_equals_batch(spark):

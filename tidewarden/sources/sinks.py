@@ -34,6 +34,14 @@ def snapshots(spark: SparkSession, path: str) -> DataFrame:
         .parquet(f"{path}/ledger").select("batch_id", "committed_at", "rows")
 
 
+def newest_batch(spark: SparkSession, path: str) -> int | None:
+    """The last committed batch; None before the first."""
+    ledger = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ledger")
+    if not ledger.getFileSystem(spark._jsc.hadoopConfiguration()).exists(ledger):
+        return None
+    return snapshots(spark, path).agg(F.max("batch_id")).first()[0]
+
+
 def read_table(spark: SparkSession, path: str, as_of: int | None = None) -> DataFrame:
     """Rows of the committed batches, up to ``as_of`` for an earlier state."""
     done = snapshots(spark, path).select("batch_id")

@@ -38,6 +38,9 @@ class StreamRouter:
         self.dedupe_hours, self.clock = dedupe_hours, clock
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        newest = sinks.newest_batch(batch.sparkSession, f"{self.root}/audit")
+        if newest is not None and newest > batch_id:   # the audit is written last
+            raise ValueError(f"batch {batch_id} under {self.root} is followed by batch {newest}: a new checkpoint needs a new root")
         kept = batch.persist()
         try:
             narrow = quality.positions(kept, self.options).persist()
