@@ -26,7 +26,7 @@ THRESHOLD = 85        # percent; linked when 100 * intersection >= THRESHOLD * u
 TOKENS = 128          # minwise tokens of a set, 16 bits each
 TREES = 8
 LEVELS = 2            # branched before the first look at the sizes of nodes
-MORE = 4              # branched between two later looks
+MORE = 6              # branched between two later looks
 SMALL = 32            # classes of a node that is compared exhaustively
 MAYBE = 0.74          # least share of equal tokens of a candidate: 3.5 deviations under the threshold
 ROUNDS = 24           # after so many looks, what is still large is compared in blocks
@@ -146,6 +146,14 @@ def _star(batches):
              *[pa.array(x[row]) for x in (cvid, share)]], names=["node", "vid", "n", "tokens", "c_vid", "share"])
 
 
+def _nearer(links: DataFrame) -> DataFrame:
+    """(id, root): for each vertex in ``links`` the smallest vertex at most two links away."""
+    ends = links.union(links.select("b", "a"))
+    one = ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root"))
+    two = ends.join(one, F.col("b") == F.col("id")).select("a", "root").union(one)
+    return two.groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "id")
+
+
 def _with_hubs(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Adds the smallest vertex that each row's vertex is known to be connected with."""
     return rows.join(roots, F.col("vid") == F.col("id"), "left").withColumn("hub", F.coalesce("root", "vid")).drop("id", "root")
@@ -161,11 +169,11 @@ def shared_nodes(classes: DataFrame) -> DataFrame:
 
 def candidates(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of ``nodes``: candidate pairs (a, b, share), a < b, and the links (a, b) that were confirmed on the way."""
-    pairs, links = [], []
+    pairs, links, known = [], [], None
 
     def compare(some: DataFrame) -> None:
         lists = some.groupBy("node").agg(F.collect_list(F.struct("vid", "n", "hub", "tokens")).alias("members"))
-        pairs.append(settle(lists.select("members").mapInArrow(_exhaustive, "a long, b long, share double"), "near-pairs"))
+        pairs.append(lists.select("members").mapInArrow(_exhaustive, "a long, b long, share double"))
 
     for turn in range(ROUNDS):
         compare(nodes.where(F.col("size") <= SMALL))
@@ -185,7 +193,9 @@ def candidates(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
         stars = children.where(F.col("share") >= MAYBE).select(
             F.least("vid", "c_vid").alias("a"), F.greatest("vid", "c_vid").alias("b")).distinct()
         links.append(settle(confirmed(stars, texts), "near-stars"))
-        children = _with_hubs(children.drop("c_vid", "share"), components(reduce(DataFrame.union, links), turns=1))
+        near = links[-1] if known is None else links[-1].union(known.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        known = settle(_nearer(near), "near-known")
+        children = _with_hubs(children.drop("c_vid", "share"), known)
         sizes = children.groupBy("node").agg(F.count("*").alias("size"), F.min("hub").alias("lo"), F.max("hub").alias("hi")) \
             .where("size > 1 AND lo < hi").select("node", "size")
         nodes = settle(children.join(sizes, "node"), "near-shared")
@@ -244,7 +254,7 @@ def roots_of(classes: DataFrame, docs: DataFrame, id_name: str, text_name: str)
     maybe, links = candidates(nodes, texts)
     # First the best candidate of each component; then all that would still join two.
     for best_only in (True, False):
-        rest = _apart(maybe, components(links))
+        rest = _apart(maybe, components(links, turns=2))
         if best_only:
             rest = settle(rest, "near-apart")
             ends = rest.select(F.col("ra").alias("v"), "a", "b", "share").union(rest.select("rb", "a", "b", "share"))
