@@ -200,7 +200,9 @@ def observed_contracts(raw: DataFrame, period: Column, enumerated: list[str]) ->
         F.max(F.when(F.col("kind") == "string", F.col("_values"))).alias("_values"))
     total = F.max(F.when(F.col("key").isNull(), F.col("_all"))).over(W.partitionBy("period"))
     typed = F.when(F.col("_kind").isin("integer", "float") & F.col("_float"), "float").otherwise(F.col("_kind"))
-    return per_key.withColumn("_events", total).where(F.col("key").isNotNull() & (F.col("_n") > 0)).select(
-        F.col("period").alias("schema_version"), F.lit(0).alias("position"), F.col("key").alias("field"), typed.alias("type"),
+    place = F.row_number().over(W.partitionBy("period").orderBy("key")) - 1   # the fields of a period are few
+    fields = per_key.withColumn("_events", total).where(F.col("key").isNotNull() & (F.col("_n") > 0))
+    return fields.select(
+        F.col("period").alias("schema_version"), place.alias("position"), F.col("key").alias("field"), typed.alias("type"),
         (F.col("_n") == F.col("_events")).alias("required"),
         F.when(F.size("_values") > 0, F.col("_values")).alias("enum"))

@@ -198,7 +198,9 @@ def positions(raw: DataFrame, options: RuleOptions = RuleOptions()) -> DataFrame
     e = F.from_json(F.expr(json_body()), "event_id STRING, event_time STRING")
     ts = prefix_time(F.col("_e.event_time"))
     limit = F.col("arrived_at") + F.expr(f"interval {options.max_skew}")
-    return raw.select("partition", "offset", "arrived_at", e.alias("_e")).select(
+    # Flags find their rows by position, so rows without one are refused.
+    place = F.coalesce("offset", F.raise_error(F.lit("an arrival has no log position")).cast("long")).alias("offset")
+    return raw.select("partition", place, "arrived_at", e.alias("_e")).select(
         "partition", "offset", "arrived_at", F.col("_e.event_id").alias("event_id"), ts.alias("event_ts"),
         F.when(ts <= limit, ts).alias("credible"))
 

@@ -502,7 +502,7 @@ ORACLE |= {
         """SELECT old_version, new_version, field, change_type, old_value, new_value,
         CASE WHEN breaking THEN 'BREAKING' ELSE 'COMPATIBLE' END AS classification,
         CASE WHEN breaking THEN 'BREAKING' ELSE 'INFO' END AS severity, description,
-        row_number() OVER (PARTITION BY old_version, new_version ORDER BY phase, step, field) AS seq FROM change_rows"""),
+        row_number() OVER (PARTITION BY old_version, new_version ORDER BY phase, field, step) AS seq FROM change_rows"""),
     "contract_verdicts": over_daily(
         """, n AS (SELECT p.old_version, p.new_version, count(c.field) AS changes,
           count(*) FILTER (c.breaking) AS breaking FROM pairs p LEFT JOIN change_rows c
