@@ -27,7 +27,7 @@ TOKENS = 128          # minwise tokens of a set, 16 bits each
 TREES = 8
 LEVELS = 2            # branched before the first look at the sizes of nodes
 MORE = 6              # branched between two later looks
-SMALL = 32            # classes of a node that is compared exhaustively
+SMALL = 64            # classes of a node that is compared exhaustively
 MAYBE = 0.74          # least share of equal tokens of a candidate: 3.5 deviations under the threshold
 ROUNDS = 24           # after so many looks, what is still large is compared in blocks
 
@@ -60,7 +60,8 @@ def branch(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, levels: int) -
         turn = mix(node ^ np.uint64(0x5851F42D4C957F2D))
         places, rows, nodes = [(turn % np.uint64(TOKENS))], [row], [node]
         more = mix(turn) < second
-        places.append((mix(turn[more] + np.uint64(1)) % np.uint64(TOKENS)))
+        other = mix(turn[more] + np.uint64(1)) % np.uint64(TOKENS - 1) + np.uint64(1)   # never the same token twice
+        places.append((turn[more] + other) % np.uint64(TOKENS))
         rows.append(row[more])
         nodes.append(node[more])
         place, row, node = (np.concatenate(x) for x in (places, rows, nodes))
@@ -136,10 +137,11 @@ def _star(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        node, vid, n, cvid, cn = (batch.column(k).to_numpy() for k in ("node", "vid", "n", "c_vid", "c_n"))
+        node, vid, n, hub, cvid, cn, chub = (batch.column(k).to_numpy()
+                                             for k in ("node", "vid", "n", "hub", "c_vid", "c_n", "c_hub"))
         tokens, centre = _tokens(batch.column("tokens")), _tokens(batch.column("c_tokens"))
         share = (tokens == centre).mean(axis=1)
-        share[~_could_link(n, cn) | (vid == cvid)] = 0
+        share[~_could_link(n, cn) | (hub == chub)] = 0
         child, row = branch(node.view(np.uint64), np.arange(len(node)), tokens, MORE)
         yield pa.RecordBatch.from_arrays(
             [_signed(child), *[pa.array(x[row]) for x in (vid, n)], batch.column("tokens").take(pa.array(row)),
@@ -186,9 +188,10 @@ def candidates(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
             met = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             compare(met.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))))
             break
-        centres = large.groupBy("node").agg(F.min_by(F.struct("vid", "n", "tokens"), "vid").alias("c")).select(
-            "node", F.col("c.vid").alias("c_vid"), F.col("c.n").alias("c_n"), F.col("c.tokens").alias("c_tokens"))
-        children = settle(large.drop("size", "hub").join(centres, "node").mapInArrow(
+        # Any class may be the centre; a hash gives the nodes of a group different ones.
+        centres = large.groupBy("node").agg(F.min_by(F.struct("vid", "n", "tokens", "hub"), F.xxhash64("vid", "node")).alias("c")) \
+            .select("node", *[F.col(f"c.{k}").alias(f"c_{k}") for k in ("vid", "n", "tokens", "hub")])
+        children = settle(large.drop("size").join(centres, "node").mapInArrow(
             _star, "node long, vid long, n long, tokens binary, c_vid long, share double"), "near-children")
         stars = children.where(F.col("share") >= MAYBE).select(
             F.least("vid", "c_vid").alias("a"), F.greatest("vid", "c_vid").alias("b")).distinct()
