@@ -366,6 +366,29 @@ def test_main_text_of_small_pages(page, text):
     assert html.main_text(page, html.trained()) == text
 
 
+@pytest.mark.parametrize("head", [
+    "<html><head><title>T</title><body>", "<head><meta charset=x><script>x()</script>", "<head><noscript><img src=x></noscript><title>T</title>",
+    "<head><noscript><style>p{}</style><body>", "<html><head><title>T</title></head><body>"])
+def test_a_head_without_an_end_tag_hides_no_text(head):
+    page = f"{head}<article><h1>Name</h1><p>One two three.</p><p>Four five six.</p></article>"
+    assert html.main_text(page, html.trained()) == "Name\nOne two three.\nFour five six."
+
+
+def test_what_ends_a_head():
+    def found(page):
+        return [text for text, _, _ in html.blocks(page)]
+    assert found("<head><title>T</title>bare text") == ["bare text"]
+    assert found("<head><title>T</title><a href=x>link</a> text<p>more") == ["link text", "more"]
+    assert found("<head><title>T</title> <style>p{}</style>\n<link href=x></head><p>one") == ["one"]
+
+
+def test_formulas_are_text():
+    page = ("<article><p>Here <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow>"
+            "<annotation encoding='application/x-tex'>x=2</annotation></semantics></math> holds.</p></article>")
+    assert html.main_text(page, html.trained()) == "Here x=2 holds."
+    assert [t for t, _, _ in html.blocks("<p><math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr></mtable></math>")] == ["1 2"]
+
+
 # ---- 7, 10: SQL; pipeline ---------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", ["op7_exact_dedup", "op10_url_filter"])

@@ -21,9 +21,14 @@ from tidewarden.llm.common import text_of
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object svg math title textarea select datalist".split())
+UNSEEN = frozenset("head script style template noscript iframe object svg title textarea select datalist annotation "
+                   "annotation-xml mphantom".split())
+HEAD_HOLDS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())   # all else ends it
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt "
-                   "ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+                   "ruby s samp small span strike strong sub sup time tt u var wbr br "
+                   "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mprescripts mroot mrow ms "
+                   "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+SPACED = frozenset("br mspace mtd mtr".split())   # inline, but what is on both sides does not run together
 CLOSED_BY = {   # an open element of the key ends where one of these begins
     "p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hr main nav ol p pre section table ul".split()),
@@ -80,8 +85,14 @@ class _Blocks(HTMLParser):
                                 features | {f"near:{holder}", f"tag:{tag if tag in TAGS else 'other'}"}))
         self.parts, self.linked = [], 0
 
+    def _in_head(self) -> bool:
+        """Whether a head is the innermost open element: its end tag may be missing."""
+        return bool(self.open) and self.open[-1][0] == "head"
+
     def handle_starttag(self, tag, attrs):
-        if tag == "br":
+        if self.held.get("head") and (tag == "body" or self._in_head() and tag not in HEAD_HOLDS):
+            self._close("head")
+        if tag in SPACED:
             self.parts.append(" ")
         if tag in VOID:
             if tag not in INLINE:
@@ -129,6 +140,8 @@ class _Blocks(HTMLParser):
             self._close(tag)
 
     def handle_data(self, data):
+        if self._in_head() and data.strip():
+            self._close("head")
         if any(self.held.get(t) for t in UNSEEN):
             return
         self.parts.append(data)
