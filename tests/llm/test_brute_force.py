@@ -225,6 +225,49 @@ def test_large_groups_of_near_copies(spark, monkeypatch, rounds):
     assert len({want[i] for i in range(150)}) < 100 and len({got[i] for i in range(150, 300)}) == 150
 
 
+def loosely_alike(n, planted, loose, seed, size=300):
+    """Minwise tokens of sets that are ``loose`` alike, and of a copy of each of the first ones at 0.852 to 0.88; the pairs."""
+    rng = np.random.default_rng(seed)
+
+    def changed(found, k):
+        out = found.copy()
+        out[rng.choice(size, k, replace=False)] = rng.integers(0, 2 ** 63, k, dtype=np.uint64)
+        return out
+    base = rng.integers(0, 2 ** 63, size, dtype=np.uint64)
+    sets = [changed(base, round(size * (1 - (2 * loose / (1 + loose)) ** 0.5))) for _ in range(n)]
+    for i in range(planted):
+        j = rng.uniform(0.8525, 0.88)
+        sets.append(changed(sets[i], int(size * (1 - j) / (1 + j))))
+    return np.stack([neardup.minwise(s) for s in sets]), [(i, n + i) for i in range(planted)]
+
+
+def met_in_tree(tokens, pairs, tree):
+    """The pairs that one tree brings together, in a small node or as a centre; rounds as in ``candidates``."""
+    other = {a: b for p in pairs for a, b in (p, p[::-1])}
+    root = shingles.mix(np.array([tree + 1], np.uint64))
+    node, row = neardup.branch(np.repeat(root, len(tokens)), np.arange(len(tokens)), tokens, neardup.LEVELS)
+    met = set()
+    while len(row):
+        order = np.lexsort((shingles.mix(row.astype(np.uint64) ^ node), node))
+        node, row = node[order], row[order]
+        large = np.zeros(len(row), bool)
+        for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(node.view(np.int64))) + 1):
+            here = row[part].tolist()
+            large[part] = len(here) > neardup.SMALL
+            inside = set(here)
+            met.update(tuple(sorted((r, other[r]))) for r in (here[:1] if large[part[0]] else here) if other.get(r) in inside)
+        node, row = neardup.branch(node[large], row[large], tokens, neardup.MORE)
+    return met
+
+
+@pytest.mark.parametrize("loose", [0.75, 0.8])
+def test_recall_in_a_group_of_loosely_similar_sets(loose):
+    tokens, pairs = loosely_alike(2000, 1000, loose, seed=5)
+    found = set().union(*(met_in_tree(tokens, pairs, tree) for tree in range(neardup.TREES)))
+    found = [(a, b) for a, b in found if (tokens[a] == tokens[b]).mean() >= neardup.MAYBE]
+    assert len(found) >= neardup.RECALL * len(pairs)
+
+
 def test_shingles_are_the_plain_sets(texts):
     for text in [*list(texts.values())[:40], "", " ", "One", "one  TWO", "É é ß", "a b c d", "a b c d e"]:
         assert len(shingles.shingles(text)) == len(plain_set(text))
