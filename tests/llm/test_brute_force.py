@@ -197,6 +197,17 @@ def test_near_duplicates_match_brute_force(spark, texts):
             len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
 
 
+@pytest.mark.parametrize("threshold", [70, 80])
+def test_other_thresholds_match_brute_force(spark, documents, texts, threshold):
+    sets, at_85 = plain_components(texts)
+    ids = [i for i in sets if sets[i]]
+    links = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
+    want = union(links, sets)
+    assert want != at_85
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents, threshold=threshold).collect()}
+    assert got == want
+
+
 def near_copies(n, seed=1):
     """Copies of one text with a few words changed each, a looser group, and texts that share a passage."""
     draw = random.Random(seed)
@@ -264,7 +275,7 @@ def met_in_tree(tokens, pairs, tree):
 def test_recall_in_a_group_of_loosely_similar_sets(loose):
     tokens, pairs = loosely_alike(2000, 1000, loose, seed=5)
     found = set().union(*(met_in_tree(tokens, pairs, tree) for tree in range(neardup.TREES)))
-    found = [(a, b) for a, b in found if (tokens[a] == tokens[b]).mean() >= neardup.MAYBE]
+    found = [(a, b) for a, b in found if (tokens[a] == tokens[b]).mean() >= neardup.maybe_from(85)]
     assert len(found) >= neardup.RECALL * len(pairs)
 
 

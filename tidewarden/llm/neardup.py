@@ -12,7 +12,7 @@ large groups of near copies cost few pairs. All candidates by the tokens are con
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,14 @@ from tidewarden.llm.common import settle, text_of
 from tidewarden.llm.components import components
 from tidewarden.llm.shingles import mix, shingles
 
-THRESHOLD = 85        # percent; linked when 100 * intersection >= THRESHOLD * union
+THRESHOLD = 85        # percent; linked when 100 * intersection >= threshold * union
 TOKENS = 128          # minwise tokens of a set, 16 bits each
 TREES = 16            # one tree finds about half of the links at 0.85 to 0.88 within a group that is 0.75 to 0.8 alike
 RECALL = 0.998        # wanted of those links
 LEVELS = 2            # branched before the first look at the sizes of nodes
 MORE = 6              # branched between two later looks
 SMALL = 128           # classes of a node that is compared exhaustively
-MAYBE = 0.74          # least share of equal tokens of a candidate: 3.5 deviations under the threshold
+SURE = 3.5            # deviations under the threshold down to which the share of equal tokens makes a candidate
 ROUNDS = 24           # after so many looks, what is still large is compared in blocks
 
 _MULTIPLY = mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -54,9 +54,16 @@ def _digest(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.astype("<u8").tobytes(), digest_size=8).digest(), "little") >> 1
 
 
-def branch(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+def maybe_from(threshold: int) -> float:
+    """Least share of equal tokens of a candidate."""
+    t = threshold / 100
+    return t - SURE * (t * (1 - t) / TOKENS) ** 0.5
+
+
+def branch(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, levels: int,
+           threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Children after ``levels`` levels: (node, row), for nodes of rows of ``tokens``."""
-    second = np.uint64(int((100 / THRESHOLD - 1) * 2 ** 64))
+    second = np.uint64(int((100 / threshold - 1) * 2 ** 64))
     for _ in range(levels):
         turn = mix(node ^ np.uint64(0x5851F42D4C957F2D))
         places, rows, nodes = [(turn % np.uint64(TOKENS))], [row], [node]
@@ -98,21 +105,23 @@ def described(docs: DataFrame, id_name: str, text_name: str) -> DataFrame:
     return rows.mapInArrow(describe, f"_id {kind}, n long, vid long, tokens binary")
 
 
-def _roots(batches):
+def _roots(batches, threshold):
     for batch in batches:
         if batch.num_rows:
             tokens = _tokens(batch.column(1))
             trees = mix(np.arange(1, TREES + 1, dtype=np.uint64))
-            node, row = branch(np.repeat(trees, batch.num_rows), np.tile(np.arange(batch.num_rows), TREES), tokens, LEVELS)
+            node, row = branch(np.repeat(trees, batch.num_rows), np.tile(np.arange(batch.num_rows), TREES), tokens, LEVELS,
+                               threshold)
             yield pa.RecordBatch.from_arrays([_signed(node), batch.column(0).take(pa.array(row))], names=["node", "vid"])
 
 
-def _could_link(n, m):
-    return 100 * np.minimum(n, m) >= THRESHOLD * np.maximum(n, m)
+def _could_link(n, m, threshold):
+    return 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
 
 
-def _exhaustive(batches):
+def _exhaustive(batches, threshold):
     """All candidate pairs within each node that are not known to be connected; the nodes are small."""
+    least = maybe_from(threshold)
     for batch in batches:
         a, b, share = [], [], []
         for members in batch.column(0):
@@ -124,7 +133,7 @@ def _exhaustive(batches):
             vid = vid[order]
             for i in range(len(vid) - 1):
                 equal = (tokens[i + 1:] == tokens[i]).mean(axis=1)
-                ok = np.flatnonzero((equal >= MAYBE) & _could_link(n[i], n[i + 1:]) & (hub[i + 1:] != hub[i])
+                ok = np.flatnonzero((equal >= least) & _could_link(n[i], n[i + 1:], threshold) & (hub[i + 1:] != hub[i])
                                     & (vid[i + 1:] > vid[i]))
                 a.extend([vid[i]] * len(ok))
                 b.extend(vid[i + 1 + ok])
@@ -133,7 +142,7 @@ def _exhaustive(batches):
                                          names=["a", "b", "share"])
 
 
-def _star(batches):
+def _star(batches, threshold):
     """Compares the classes of large nodes with the centre and branches them."""
     for batch in batches:
         if not batch.num_rows:
@@ -142,8 +151,8 @@ def _star(batches):
                                              for k in ("node", "vid", "n", "hub", "c_vid", "c_n", "c_hub"))
         tokens, centre = _tokens(batch.column("tokens")), _tokens(batch.column("c_tokens"))
         share = (tokens == centre).mean(axis=1)
-        share[~_could_link(n, cn) | (hub == chub)] = 0
-        child, row = branch(node.view(np.uint64), np.arange(len(node)), tokens, MORE)
+        share[~_could_link(n, cn, threshold) | (hub == chub)] = 0
+        child, row = branch(node.view(np.uint64), np.arange(len(node)), tokens, MORE, threshold)
         yield pa.RecordBatch.from_arrays(
             [_signed(child), *[pa.array(x[row]) for x in (vid, n)], batch.column("tokens").take(pa.array(row)),
              *[pa.array(x[row]) for x in (cvid, share)]], names=["node", "vid", "n", "tokens", "c_vid", "share"])
@@ -162,21 +171,21 @@ def _with_hubs(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, F.col("vid") == F.col("id"), "left").withColumn("hub", F.coalesce("root", "vid")).drop("id", "root")
 
 
-def shared_nodes(classes: DataFrame) -> DataFrame:
+def shared_nodes(classes: DataFrame, threshold: int) -> DataFrame:
     """(node, vid, n, tokens, hub, size): the classes in nodes of the first levels that more than one class reaches."""
-    rows = settle(classes.select("vid", "tokens").mapInArrow(_roots, "node long, vid long"), "near-nodes")
+    rows = settle(classes.select("vid", "tokens").mapInArrow(partial(_roots, threshold=threshold), "node long, vid long"), "near-nodes")
     sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
     return settle(rows.join(sizes, "node").join(classes, "vid").select(
         "node", "vid", "n", "tokens", F.col("vid").alias("hub"), "size"), "near-shared")
 
 
-def candidates(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(nodes: DataFrame, texts: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Of ``nodes``: candidate pairs (a, b, share), a < b, and the links (a, b) that were confirmed on the way."""
     pairs, links, known = [], [], None
 
     def compare(some: DataFrame) -> None:
         lists = some.groupBy("node").agg(F.collect_list(F.struct("vid", "n", "hub", "tokens")).alias("members"))
-        pairs.append(lists.select("members").mapInArrow(_exhaustive, "a long, b long, share double"))
+        pairs.append(lists.select("members").mapInArrow(partial(_exhaustive, threshold=threshold), "a long, b long, share double"))
 
     for turn in range(ROUNDS):
         compare(nodes.where(F.col("size") <= SMALL))
@@ -193,10 +202,10 @@ def candidates(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
         centres = large.groupBy("node").agg(F.min_by(F.struct("vid", "n", "tokens", "hub"), F.xxhash64("vid", "node")).alias("c")) \
             .select("node", *[F.col(f"c.{k}").alias(f"c_{k}") for k in ("vid", "n", "tokens", "hub")])
         children = settle(large.drop("size").join(centres, "node").mapInArrow(
-            _star, "node long, vid long, n long, tokens binary, c_vid long, share double"), "near-children")
-        stars = children.where(F.col("share") >= MAYBE).select(
+            partial(_star, threshold=threshold), "node long, vid long, n long, tokens binary, c_vid long, share double"), "near-children")
+        stars = children.where(F.col("share") >= maybe_from(threshold)).select(
             F.least("vid", "c_vid").alias("a"), F.greatest("vid", "c_vid").alias("b")).distinct()
-        links.append(settle(confirmed(stars, texts), "near-stars"))
+        links.append(settle(confirmed(stars, texts, threshold), "near-stars"))
         near = links[-1] if known is None else links[-1].union(known.select(F.col("id").alias("a"), F.col("root").alias("b")))
         known = settle(_nearer(near), "near-known")
         children = _with_hubs(children.drop("c_vid", "share"), known)
@@ -208,7 +217,7 @@ def candidates(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
     return settle(found, "near-candidates"), reduce(DataFrame.union, links, none)
 
 
-def _confirm(batches):
+def _confirm(batches, threshold):
     for batch in batches:
         a, b = [], []
         last, known = None, None
@@ -217,18 +226,18 @@ def _confirm(batches):
                 last, known = left, shingles(left)
             other = shingles(right.as_py())
             both = len(np.intersect1d(known, other, assume_unique=True))
-            if 100 * both >= THRESHOLD * (len(known) + len(other) - both):
+            if 100 * both >= threshold * (len(known) + len(other) - both):
                 a.append(u.as_py())
                 b.append(v.as_py())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets; ``texts`` has one text per vertex."""
     left = texts.select(F.col("vid").alias("a"), F.col("text").alias("_left"))
     right = texts.select(F.col("vid").alias("b"), F.col("text").alias("_right"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_left", "_right") \
-        .mapInArrow(_confirm, "a long, b long")
+        .mapInArrow(partial(_confirm, threshold=threshold), "a long, b long")
 
 
 def _vertex_texts(batches):
@@ -245,9 +254,9 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         "a", "b", "share", F.coalesce("_a", "a").alias("ra"), F.coalesce("_b", "b").alias("rb")).where("ra <> rb")
 
 
-def roots_of(classes: DataFrame, docs: DataFrame, id_name: str, text_name: str) -> DataFrame:
+def roots_of(classes: DataFrame, docs: DataFrame, id_name: str, text_name: str, threshold: int) -> DataFrame:
     """(id, root) of each vertex that is linked with another one."""
-    nodes = shared_nodes(classes)
+    nodes = shared_nodes(classes, threshold)
     wanted = nodes.select("vid").distinct()
     ids = classes.join(wanted, "vid", "left_semi").select("rep").distinct()
     # One row of each class is fetched; a repeated id may fetch more, so the vertex is found again and kept once.
@@ -255,7 +264,7 @@ def roots_of(classes: DataFrame, docs: DataFrame, id_name: str, text_name: str)
         ids, F.col("_id").eqNullSafe(F.col("rep")), "left_semi").select("text") \
         .mapInArrow(_vertex_texts, "vid long, text string")
     texts = settle(texts.groupBy("vid").agg(F.first("text").alias("text")), "near-texts")
-    maybe, links = candidates(nodes, texts)
+    maybe, links = candidates(nodes, texts, threshold)
     # First the best candidate of each component; then all that would still join two.
     for best_only in (True, False):
         rest = _apart(maybe, components(links, turns=2))
@@ -263,14 +272,15 @@ def roots_of(classes: DataFrame, docs: DataFrame, id_name: str, text_name: str)
             rest = settle(rest, "near-apart")
             ends = rest.select(F.col("ra").alias("v"), "a", "b", "share").union(rest.select("rb", "a", "b", "share"))
             rest = ends.groupBy("v").agg(F.max(F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        links = settle(links.union(confirmed(rest, texts)), "near-links")
+        links = settle(links.union(confirmed(rest, texts, threshold)), "near-links")
     return components(links)
 
 
-def near_duplicates(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text",
+                    threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: (id, n_shingles, component_id, kept).
 
-    Two texts are linked when their sets of 5-word shingles overlap by at least ``THRESHOLD`` percent of their union;
+    Two texts are linked when their sets of 5-word shingles overlap by at least ``threshold`` percent of their union;
     sets are of 64-bit hashes. A null text and one without words have the empty set and are linked with nothing: each
     is a component of its own. The component's id is the smallest id in it (nulls last), and the documents with that
     id are kept; rows that repeat an id count each. Other columns are ignored; an empty table gives no rows.
@@ -279,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_name: str = "doc_id", text_name: str = "
     full = rows.where("vid IS NOT NULL")
     classes = settle(full.groupBy("vid").agg(F.min("_id").alias("rep"), F.first("n").alias("n"),
                                              F.first("tokens").alias("tokens")), "near-classes")
-    roots = settle(roots_of(classes, docs, id_name, text_name), "near-roots")
+    roots = settle(roots_of(classes, docs, id_name, text_name, threshold), "near-roots")
     linked = classes.select("vid", "rep").join(roots, F.col("vid") == F.col("id"), "left").select(
         "vid", "rep", F.coalesce("root", "vid").alias("root"))
     named = linked.groupBy("root").agg(F.min("rep").alias("component"))
