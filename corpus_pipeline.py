@@ -2,8 +2,8 @@
 
 Each stage works on all that the one before it kept. All but the last return the columns of ``documents``, whatever
 these are, of the rows that stay. Rows with a null or empty text go at the first stage, as no language is found in
-them; rows that repeat an id are judged each by its text, but near duplicates by the id: they stay together. An empty
-table runs through to an empty result.
+them; rows that repeat an id are judged each by its text: of rows with the same id and text one stays, and of near copies one,
+whatever their ids. An empty table runs through to an empty result.
 """
 
 from __future__ import annotations
@@ -37,14 +37,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup (7): of equal texts the smallest id stays."""
+    """Exact dedup (7): of equal texts the smallest id stays, in one row."""
     groups = exact.exact_groups(docs, digest_all=True)
-    return _only(docs, groups.where("kept"), {"doc_id": docs["doc_id"], "text_sha256": exact.digest("text")})
+    kept = _only(docs, groups.where("kept"), {"doc_id": docs["doc_id"], "text_sha256": exact.digest("text")})
+    sha = unused(docs, "_sha")
+    return kept.withColumn(sha, exact.digest("text")).dropDuplicates(["doc_id", sha]).drop(sha)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup (4): one document of each group stays."""
-    return _only(docs, neardup.near_duplicates(docs).where("kept"), {"doc_id": docs["doc_id"]})
+    return _only(docs, neardup.survivors(docs), {"doc_id": docs["doc_id"], "text_sha256": exact.digest("text")})
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

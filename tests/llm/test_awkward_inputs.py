@@ -86,3 +86,20 @@ def test_stages_bear_awkward_rows(spark, awkward):
             assert out.columns == docs.columns
             out.collect()
     assert corpus_pipeline.STAGES[-1][1](spark, awkward.where("false"), SF).collect() == []
+
+
+def test_stages_keep_one_row_where_ids_repeat(spark):
+    words = [f"w{i}" for i in range(200)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(reversed(words))
+    rows = [(1, text), (1, text), (2, near), (2, other), (2, other), (3, "lone words"), (3, near + " y"), (None, "no id"), (None, "no id"),
+            (4, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _sha")
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["exact dedup"](spark, docs, SF)
+    assert once.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in once.collect()]
+    assert len(got) == len(set(got)) and set(got) == set(rows)
+    kept = [(r["doc_id"], r["text"]) for r in stages["MinHash near-dedup"](spark, once, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(1, text), (2, other), (3, "lone words"), (None, "no id"), (4, "")], key=str)
+    twice = spark.createDataFrame([(5, text), (5, near)], "doc_id long, text string")
+    assert stages["MinHash near-dedup"](spark, twice, SF).count() == 1

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewarden.llm.common import settle, text_of
 from tidewarden.llm.components import components
+from tidewarden.llm.exact import digest
 from tidewarden.llm.shingles import mix, shingles
 
 THRESHOLD = 85        # percent; linked when 100 * intersection >= threshold * union
@@ -86,9 +87,13 @@ def _signed(nodes: np.ndarray) -> pa.Array:
     return pa.array(nodes.view(np.int64))
 
 
-def described(docs: DataFrame, id_name: str, text_name: str) -> DataFrame:
-    """(id, n_shingles, vid, tokens) of each document; a document without words has a null vid and tokens."""
-    rows = docs.select(F.col(id_name).alias("_id"), text_of(text_name).alias("_text"))
+def described(docs: DataFrame, id_name: str, text_name: str, digests: bool = False) -> DataFrame:
+    """(id, sha, n_shingles, vid, tokens) of each document; a document without words has a null vid and tokens.
+
+    ``sha`` is the digest of exact dedup, null unless ``digests``.
+    """
+    sha = digest(text_name) if digests else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_name).alias("_id"), text_of(text_name).alias("_text"), sha.alias("sha"))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def describe(batches):
@@ -99,10 +104,11 @@ def described(docs: DataFrame, id_name: str, text_name: str) -> DataFrame:
                 n.append(len(found))
                 vid.append(_digest(found) if len(found) else None)
                 tokens.append(minwise(found).astype("<u2").tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(vid, pa.int64()),
-                                              pa.array(tokens, pa.binary())], names=["_id", "n", "vid", "tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2).cast(pa.string()), pa.array(n, pa.int64()), pa.array(vid, pa.int64()),
+                 pa.array(tokens, pa.binary())], names=["_id", "sha", "n", "vid", "tokens"])
 
-    return rows.mapInArrow(describe, f"_id {kind}, n long, vid long, tokens binary")
+    return rows.mapInArrow(describe, f"_id {kind}, sha string, n long, vid long, tokens binary")
 
 
 def _roots(batches, threshold):
@@ -276,6 +282,24 @@ def roots_of(classes: DataFrame, docs: DataFrame, id_name: str, text_name: str,
     return components(links)
 
 
+def _judged(docs: DataFrame, id_name: str, text_name: str, threshold: int, digests: bool = False) -> DataFrame:
+    """(_id, sha, n, root, component) of each document; without words, root is null and the component its own id."""
+    rows = settle(described(docs, id_name, text_name, digests), "near-described")
+    full = rows.where("vid IS NOT NULL")
+    classes = settle(full.groupBy("vid").agg(F.min("_id").alias("rep"), F.first("n").alias("n"),
+                                             F.first("tokens").alias("tokens")), "near-classes")
+    roots = settle(roots_of(classes, docs, id_name, text_name, threshold), "near-roots")
+    linked = classes.select("vid", "rep").join(roots, F.col("vid") == F.col("id"), "left").select(
+        "vid", "rep", F.coalesce("root", "vid").alias("root"))
+    named = linked.groupBy("root").agg(F.min("rep").alias("component"))
+    # A class of one row that is linked with nothing needs no join; the others are few.
+    component = linked.join(named, "root").select("vid", "root", "component")
+    return full.select("_id", "sha", "n", "vid").join(component, "vid", "left").select(
+        "_id", "sha", "n", "root", "component").unionByName(
+        rows.where("vid IS NULL").select("_id", "sha", "n", F.lit(None).cast("long").alias("root"),
+                                         F.col("_id").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text",
                     threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: (id, n_shingles, component_id, kept).
@@ -285,17 +309,17 @@ def near_duplicates(docs: DataFrame, id_name: str = "doc_id", text_name: str = "
     is a component of its own. The component's id is the smallest id in it (nulls last), and the documents with that
     id are kept; rows that repeat an id count each. Other columns are ignored; an empty table gives no rows.
     """
-    rows = settle(described(docs, id_name, text_name), "near-described")
-    full = rows.where("vid IS NOT NULL")
-    classes = settle(full.groupBy("vid").agg(F.min("_id").alias("rep"), F.first("n").alias("n"),
-                                             F.first("tokens").alias("tokens")), "near-classes")
-    roots = settle(roots_of(classes, docs, id_name, text_name, threshold), "near-roots")
-    linked = classes.select("vid", "rep").join(roots, F.col("vid") == F.col("id"), "left").select(
-        "vid", "rep", F.coalesce("root", "vid").alias("root"))
-    named = linked.groupBy("root").agg(F.min("rep").alias("component"))
-    # A class of one row that is linked with nothing needs no join; the others are few.
-    component = linked.join(named, "root").select("vid", "component")
-    out = full.select("_id", "n", "vid").join(component, "vid", "left").select("_id", "n", "component").unionByName(
-        rows.where("vid IS NULL").select("_id", "n", F.col("_id").alias("component")))
+    out = _judged(docs, id_name, text_name, threshold)
     return out.select(F.col("_id").alias(id_name), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
                       F.col("component").eqNullSafe(F.col("_id")).alias("kept"))
+
+
+def survivors(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """(id, text_sha256) of one document of each component of ``near_duplicates``, also where ids repeat.
+
+    It has the smallest id of the component, and the smallest digest of those with this id.
+    """
+    kept = _judged(docs, id_name, text_name, threshold, digests=True).where(F.col("component").eqNullSafe(F.col("_id")))
+    one = kept.where("root IS NOT NULL").groupBy("root").agg(F.first("_id").alias("_id"), F.min("sha").alias("sha"))
+    return one.select("_id", "sha").union(kept.where("root IS NULL").select("_id", "sha")).select(
+        F.col("_id").alias(id_name), F.col("sha").alias("text_sha256"))
