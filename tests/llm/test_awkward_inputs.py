@@ -103,3 +103,14 @@ def test_stages_keep_one_row_where_ids_repeat(spark):
     assert sorted(kept, key=str) == sorted([(1, text), (2, other), (3, "lone words"), (None, "no id"), (4, "")], key=str)
     twice = spark.createDataFrame([(5, text), (5, near)], "doc_id long, text string")
     assert stages["MinHash near-dedup"](spark, twice, SF).count() == 1
+
+
+def test_samples_are_bounded_where_ids_repeat(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("if(id < 200, 0, id) AS doc_id", "concat('some words ', id) AS text", "'en' AS lang")
+    seen = []
+    for module in (language, quality):
+        real = module.fit
+        monkeypatch.setattr(module, "fit", lambda x, *rest, real=real: seen.append(len(x)) or real(x, *rest))
+    language.learn(docs, docs["doc_id"].isNotNull(), most=101)
+    quality.learn(docs, labels_of(spark, docs.select("doc_id").distinct()), docs["doc_id"].isNotNull(), most=51)
+    assert seen == [101, 101]   # the ids: 0 and 200 to 299

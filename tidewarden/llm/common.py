@@ -43,10 +43,16 @@ def bucket(id_name: str, modulus: int) -> Column:
 
 
 def sample_per_class(rows: DataFrame, id_name: str, class_name: str, most: int) -> DataFrame:
-    """(id, class) of at most ``most`` rows of each class, chosen by a hash of the id.
+    """(id, class) of at most ``most`` ids of each class, chosen by a hash of the id.
 
     ``most`` is at most 1000, so that each task keeps only its own first rows of a class before the shuffle.
     """
     order = Window.partitionBy(class_name).orderBy(F.xxhash64(F.col(id_name), F.lit(1)), id_name)
-    return (rows.where(F.col(id_name).isNotNull() & F.col(class_name).isNotNull()).select(id_name, class_name)
+    return (rows.where(F.col(id_name).isNotNull() & F.col(class_name).isNotNull()).select(id_name, class_name).distinct()
             .withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most).drop("_nth"))
+
+
+def one_of_each(rows: DataFrame, keys: list[str], text_name: str) -> DataFrame:
+    """One row per key, chosen by a hash of its text; each task keeps one of each before the shuffle."""
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64(text_name), text_name)
+    return rows.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= 1).drop("_nth")

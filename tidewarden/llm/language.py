@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewarden.llm.common import sample_per_class, text_of
+from tidewarden.llm.common import one_of_each, sample_per_class, text_of
 
 FEATURES = 1 << 13
 SAMPLE_PER_LANGUAGE = 400    # texts learned from, of each language
@@ -96,9 +96,9 @@ def learn(docs: DataFrame, usable: Column, id_name: str = "doc_id", text_name: s
     """A model from at most ``most`` whole texts of each language among the usable rows; None if there are none.
 
     The sample is bounded by ``most`` times the number of languages, so its ids are broadcast and its features come
-    to the driver.
+    to the driver; of rows that repeat an id in a language one is learned from.
     """
-    picked = sample_per_class(docs.where(usable), id_name, lang_name, most).select(id_name).distinct()
+    picked = sample_per_class(docs.where(usable), id_name, lang_name, most).select(id_name, F.col(lang_name).alias("_lang"))
     rows = docs.where(usable & F.col(lang_name).isNotNull()).select(id_name, F.col(lang_name).alias("_lang"),
                                                                    text_of(text_name).alias("_text"))
 
@@ -112,7 +112,8 @@ def learn(docs: DataFrame, usable: Column, id_name: str = "doc_id", text_name: s
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(vectors, pa.binary())],
                                              names=["lang", "x"])
 
-    got = rows.join(F.broadcast(picked), id_name, "left_semi").select("_lang", "_text") \
+    sample = one_of_each(rows.join(F.broadcast(picked), [id_name, "_lang"], "left_semi"), [id_name, "_lang"], "_text")
+    got = sample.select("_lang", "_text") \
         .mapInArrow(describe, "lang string, x binary").collect()
     got.sort()   # the order of partitions must not matter
     if not got:

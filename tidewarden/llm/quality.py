@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewarden.llm.common import sample_per_class, text_of
+from tidewarden.llm.common import one_of_each, sample_per_class, text_of
 
 SAMPLE_PER_LABEL = 1000     # labelled rows learned from, of each label
 TREES = 60
@@ -131,13 +131,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_name: str = "do
           label_name: str = "quality", most: int = SAMPLE_PER_LABEL) -> Trees | None:
     """Trees from at most ``most`` labelled whole texts of each label (0, 1) among the usable labels; None without any.
 
-    ``usable`` is a condition on the id. The sample's ids are broadcast: at most twice ``most``. The labels keep their
-    share: rows weigh as the counts of their label among all usable ones do.
+    ``usable`` is a condition on the id. The sample's ids are broadcast: at most twice ``most``; of rows that repeat an
+    id one is learned from. The labels keep their share: rows weigh as the counts of their label among all usable ones do.
     """
     labels = labels.where(usable & F.col(label_name).isin(0, 1)).select(id_name, F.col(label_name).alias("_label"))
     shares = {r[0]: r[1] for r in labels.groupBy("_label").count().collect()}   # at most two rows
     picked = sample_per_class(labels, id_name, "_label", most).dropDuplicates([id_name])
-    rows = docs.select(id_name, text_of(text_name).alias("_text")).join(F.broadcast(picked), id_name)
+    rows = one_of_each(docs.select(id_name, text_of(text_name).alias("_text")).join(F.broadcast(picked), id_name), [id_name], "_text")
 
     def describe(batches):
         for batch in batches:
