@@ -4,7 +4,8 @@ import pytest
 from awkward_inputs import SF, awkward  # noqa: F401
 
 import corpus_pipeline
-from tidewarden.llm import (exact, html, language, neardup, packing, pivots, quality, sentencepieces, tokencounts, urls)
+from tidewarden.llm import (codes, exact, html, language, neardup, packing, pivots, quality, rules, sentencepieces, spelling,
+                            tokencounts, urls)
 
 
 def labels_of(spark, docs):
@@ -19,6 +20,7 @@ OPERATORS = {
     "exact_all": lambda d: exact.exact_groups(d, digest_all=True),
     "packing": packing.pack,
     "language": lambda d: language.predict(d, language.learn(d, d["doc_id"].isNotNull())),
+    "rules": lambda d: rules.judge(d, labels_of(d.sparkSession, d)),
     "quality": lambda d: quality.predict(d, quality.learn(d, labels_of(d.sparkSession, d), d["doc_id"].isNotNull())),
 }
 
@@ -114,3 +116,40 @@ def test_samples_are_bounded_where_ids_repeat(spark, monkeypatch):
     language.learn(docs, docs["doc_id"].isNotNull(), most=101)
     quality.learn(docs, labels_of(spark, docs.select("doc_id").distinct()), docs["doc_id"].isNotNull(), most=51)
     assert seen == [101, 101]   # the ids: 0 and 200 to 299
+
+
+def test_spelling_of_awkward_rows(spark, awkward):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "12 34"), (None, "Schwarz schwarzer"), (None, "SCHWARZ schwarz schwarzer"), (4, "x" * 200_000),
+                                  (4, "x" * 200_000), (5, "x" * 199_999 + "y"), (6, "x" * 199_999 + "y")],
+                                 "doc_id long, text string").selectExpr("*", "'a' AS word", "1 AS n", "'b' AS form", "'c' AS _run", "2 AS _h")
+    got = {r["word"]: (r["n"], r["n_near"], r["form"], r["root"] == r["word"]) for r in spelling.variants(docs).collect()}
+    assert got == {"schwarz": (3, 0, None, True), "schwarzer": (2, 0, None, True), "x" * 200_000: (2, 1, None, True),
+                   "x" * 199_999 + "y": (2, 1, None, True)}
+    assert spelling.variants(docs.where("false")).collect() == []
+    assert {r["word"] for r in spelling.variants(awkward).collect()} <= {"straße"}   # ids of 7 letters there: none twice
+
+
+def test_codes_of_awkward_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    ok = [float(k) / 7 for k in range(16)]
+    rows = [(1, None, 1), (2, [], 1), (3, ok[:8], 1), (4, [None, *ok[1:]], 1), (5, [nan, *ok[1:]], 1), (6, [*ok[1:], inf], 1), (7, [1e200, *ok[1:]], 1),
+            (0, ok, 1), (8, [-x for x in ok], None), (8, ok, None), (8, ok, 2), (None, ok, 2), (9, ok[:7], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr(
+        "*", "'x' AS code", "1 AS id", "2 AS error", "3 AS distance", "4 AS sums")
+    got = sorted(((-1 if r[0] is None else r[0], r[1], r[2], r[3]) for r in codes.coded(df).collect()))
+    # the codebooks start as the kept vectors by id: 0; 8 with the negated one first; 8; 8; the one without an id
+    assert got == [(-1, "00" * 8, 0, 0), (0, "00" * 8, 0, 0), (8, "00" * 8, 0, 0), (8, "00" * 8, 0, 0), (8, "00" + "01" * 7, 0, 0)]
+    assert codes.coded(df.where("false")).collect() == []
+    assert codes.coded(df.where("vec_id < 3 AND vec_id > 0")).collect() == []
+
+
+def test_rules_of_awkward_texts(spark):
+    texts = [None, "", "   ", "a b c d e f g h i j", "one two three four five six seven eight nine", "a b c d e " * 4, "w\nw\n\n \n \nw x\nw x",
+             "#*$%&|<> é\u00a0ü\x1f", " ".join(f"w{k}" for k in range(50_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").selectExpr("*", "1 AS counts", "2 AS id", "3 AS score")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = {r[0]: (*r[1:6], r["base_failed"], r["kept"]) for r in rules.judge(docs, none).collect()}
+    assert got == {0: (0, 0, 0, 0, 0, True, False), 1: (0, 0, 0, 0, 0, True, False), 2: (0, 0, 0, 0, 0, True, False),
+                   3: (10, 10, 0, 0, 0, False, True), 4: (9, 36, 0, 0, 0, True, False), 5: (20, 20, 0, 0, 20, True, False),
+                   6: (6, 6, 0, 2, 0, True, False), 7: (2, 12, 8, 0, 0, True, False),
+                   8: (50_000, len(texts[8].replace(" ", "")), 0, 0, 0, False, True)}

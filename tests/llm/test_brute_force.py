@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import permutations
 
 import numpy as np
 import public_tokenizers
@@ -15,8 +16,8 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from tidewarden.llm import (components, exact, html, language, neardup, packing, pivots, quality, sentencepieces, shingles, tokencounts,
-                            wordwise)
+from tidewarden.llm import (codes, components, exact, html, language, neardup, packing, pivots, quality, rules, sentencepieces, shingles,
+                            spelling, tokencounts, wordwise)
 
 
 @pytest.fixture(scope="session")
@@ -443,9 +444,9 @@ def test_formulas_are_text():
     assert [t for t, _, _ in html.blocks("<p><math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr></mtable></math>")] == ["1 2"]
 
 
-# ---- 7, 10: SQL; pipeline ---------------------------------------------------------------------------------------
+# ---- 7, 10, 11, 13: SQL; pipeline ---------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("name", ["op7_exact_dedup", "op10_url_filter"])
+@pytest.mark.parametrize("name", ["op7_exact_dedup", "op10_url_filter", "op11_spelling_variants", "op13_vector_codes"])
 def test_sql(spark, name):
     from compare import difference, duck
     assert difference(query(spark, name), duck(SF), __spark_entry__.oracle_sql()[name]) is None
@@ -507,3 +508,162 @@ def test_pipeline_keeps_what_a_plain_version_keeps(spark, documents, texts):
     kept = {i: texts[i] for i in ids["MinHash near-dedup"]}
     rows = query(spark, "pipeline").collect()
     assert check_packing(rows, kept, Tokenizer.from_file(packing.TOKENIZER)) > 0.97
+
+
+# ---- 11: spelling variants -------------------------------------------------------------------------------------
+
+def plainly_near(a, b):
+    """By the definition, with all single edits written out."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1:] == a for k in range(len(b)))
+
+
+def plain_variants(counts):
+    near = {w: [x for x in counts if plainly_near(w, x)] for w in counts}
+    best = {w: min(near[w], key=lambda x: (-counts[x], x), default=None) for w in counts}
+    form = {w: x if x is not None and counts[x] >= spelling.FACTOR * counts[w] else None for w, x in best.items()}
+    root = {}
+    for w in counts:
+        x = w
+        while form[x] is not None:
+            x = form[x]
+        root[w] = x
+    return {w: (form[w], root[w], counts[w], len(near[w]), counts[form[w]] if form[w] else None) for w in counts}
+
+
+def misspelt(n, seed):
+    """Words and their single and double edits over few letters, so that trie nodes are full and chains of forms exist."""
+    draw = random.Random(seed)
+    counts = {}
+    for _ in range(n):
+        word, size = "".join(draw.choice("etianzéÉ") for _ in range(draw.randint(7, 9))), draw.choice((2, 30, 500, 9000))
+        counts[word] = size
+        for _ in range(6):
+            k, c = draw.randrange(len(word)), draw.choice("etianzéÿ")
+            edit = draw.choice((word[:k] + word[k + 1:], word[:k] + c + word[k:], word[:k] + c + word[k + 1:]))
+            counts.setdefault(edit, max(2, size // draw.choice((5, 10, 100))))
+            word = edit if draw.random() < 0.5 else word
+    return counts
+
+
+@pytest.mark.parametrize("node_rows", [spelling.NODE_ROWS, 300, 12])
+def test_variants_match_brute_force(spark, monkeypatch, node_rows):
+    """With small nodes, the trie is parted level by level down to blocks of its leaves."""
+    monkeypatch.setattr(spelling, "NODE_ROWS", node_rows)
+    counts = misspelt(160, 4)
+    counts |= {"".join(p): 2 for p in permutations("aeintzé", 7) if p[0] in "ae" and p[1] in "in"}   # full leaves
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    monkeypatch.setattr(spelling, "words_of", lambda *a: words)
+    got = {r["word"]: tuple(r)[1:] for r in spelling.variants(None).collect()}
+    want = plain_variants(counts)
+    assert got == want
+    assert any(want[want[w][1]][2] >= 100 * want[w][2] for w in want if want[w][0] != want[w][1])   # chains of two
+
+
+def test_near_is_one_edit():
+    draw = random.Random(6)
+    for _ in range(4000):
+        a, b = ("".join(draw.choice("ab") for _ in range(draw.randint(0, 5))) for _ in range(2))
+        assert spelling.is_near(a, b) == plainly_near(a, b)
+
+
+def test_words_match_a_plain_count(spark, documents, texts):
+    counts = defaultdict(int)
+    for i, text in texts.items():
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{i}:{run}".encode())
+            if h % 31 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            if len(run) >= 7:
+                counts[run] += 1
+    assert {r["word"]: r["n"] for r in spelling.words_of(documents).collect()} == {w: n for w, n in counts.items() if n >= 2}
+
+
+# ---- 12: quality rules -----------------------------------------------------------------------------------------
+
+def plain_counts(text):
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    windows = defaultdict(list)
+    for k in range(len(words) - 4):
+        windows[tuple(words[k:k + 5])].append(k)
+    lines, seen = 0, set()
+    for line in text.split("\n"):
+        if re.search("[^\x20\x09-\x0d]", line):
+            lines += line in seen
+            seen.add(line)
+    return [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), lines,
+            len({k + j for at in windows.values() if len(at) > 1 for k in at for j in range(5)})]
+
+
+def test_rule_counts_match_plain_ones(texts):
+    draw = random.Random(2)
+    odd = ["".join(draw.choice("ab \n\t\r\x0b\x0c#<é\u00a0\u2003") for _ in range(draw.randint(0, 300))) for _ in range(500)]
+    for text in [*odd, *[t or "" for t in texts.values()]]:
+        assert rules.counts_of(text)[:5] == plain_counts(text)
+
+
+def test_rules_keep_good_documents_and_drop_others(spark, texts):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = {r["doc_id"]: r for r in query(spark, "op12_quality_rules").collect()}
+    assert set(rows) == set(texts)
+    for i, r in rows.items():
+        n, *_, repeated = counts = plain_counts(texts[i] or "")
+        assert list(r)[1:6] == counts
+        assert r["base_failed"] == (n < 10 or 100 * repeated > 20 * n) and not (r["base_failed"] and r["kept"])
+    passed = [i for i in labels if not rows[i]["base_failed"]]
+    good, bad = ([rows[i]["kept"] for i in passed if labels[i] == q] for q in (1, 0))
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.2 * len(bad)
+
+
+def test_forest_is_walked_like_plain_trees():
+    draw = np.random.default_rng(3)
+    good, bad = draw.normal(size=(600, 4)), draw.normal(size=(40, 4)) * 0.3 + 6
+    forest = rules.grow(good, bad)
+
+    def walk(x, t):
+        node, depth = 0, 0
+        while depth < rules.HEIGHT:
+            node, depth = 2 * node + 1 + int(x[forest.feature[t, node]] > forest.value[t, node]), depth + 1
+        return forest.length[t, node - (2 ** rules.HEIGHT - 1)]
+
+    some = np.vstack([good[:5], bad[:5]])
+    want = [2 ** (-np.mean([walk(x, t) for t in range(rules.TREES)]) / forest.usual) for x in some]
+    assert np.allclose(forest.score(some), want)
+    assert forest.score(bad).min() > np.quantile(forest.score(good), 0.9)
+    assert abs(float(rules.usual_path(256)) - 2 * sum(1 / k for k in range(1, 256)) + 2 * 255 / 256) < 0.01
+
+
+def test_threshold_is_the_best_that_spares_good_rows():
+    good, bad = np.zeros(rules.BINS, int), np.zeros(rules.BINS, int)
+    good[100:140], good[500] = 50, 5
+    bad[300:310], bad[520] = 3, 10
+    assert rules.threshold_of(good, bad) == (140 + 300) // 2 / rules.BINS   # 5 of 2005 good rows are lost
+    good[500] = 50
+    assert rules.threshold_of(good, bad) == (501 + 520) // 2 / rules.BINS
+
+
+# ---- 13: vector codes ------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("spread", [2, 4000])
+def test_active_entries_give_the_same_as_comparing_all(spread):
+    """With small numbers there are ties everywhere."""
+    draw = np.random.default_rng(spread)
+    x = draw.integers(-spread, spread, size=(3000, 3))
+    book, code, distance = x[:16].copy(), None, None
+    moved = None
+    for _ in range(8):
+        code, distance = codes.assign(x, book, code, distance, moved)
+        every = ((x[:, None] - book[None]) ** 2).sum(axis=2)
+        assert (code == every.argmin(axis=1)).all() and (distance == every.min(axis=1)).all()
+        sums, counts = np.zeros((1, 16, 3), np.int64), np.bincount(code, minlength=16)[None]
+        np.add.at(sums[0], code, x)
+        after = codes.moved_book(book[None], sums, counts)[0]
+        moved, book = (after != book).any(axis=1), after
+
+
+def test_entries_move_to_floors_and_unused_ones_stay():
+    book = np.array([[[5, 5], [7, 7]]])
+    assert codes.moved_book(book, np.array([[[-3, 3], [0, 0]]]), np.array([[2, 0]])).tolist() == [[[-2, 1], [7, 7]]]

@@ -19,9 +19,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
     It cuts lineage: what a lost executor held is read again and not computed again.
     """
+    return settle_at(df, name)[0]
+
+
+def settle_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``settle``, with the folder, for ``forget``."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ``settle_at`` whose rows nothing reads any more, so that rounds do not add up on disk."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def text_of(name: str) -> Column:
