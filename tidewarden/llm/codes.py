@@ -167,7 +167,7 @@ def compress(vectors: DataFrame, id_name: str = "vec_id", vec_name: str = "embed
     and the final codebooks, parts x entries x components.
 
     A component x counts as floor(4096 x). Codebooks start as the parts of the vectors with the smallest ids (nulls last;
-    of repeated ids the smaller vector first); with fewer vectors there are as many entries. Left out are vectors that are
+    rows of one id by the bytes of their integers); with fewer vectors there are as many entries. Left out are vectors that are
     null or empty or hold a null or non-finite component or, scaled, one beyond 2^27, and those that have another length
     than the first one kept or one that ``parts`` does not divide. An empty table gives no rows and no entries.
     """

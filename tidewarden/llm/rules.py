@@ -141,7 +141,7 @@ def threshold_of(good: np.ndarray, bad: np.ndarray) -> float:
     worth = np.where(lost <= CLEAN_LOSS, caught - lost, -1.0)
     best = np.flatnonzero(worth == worth.max())
     run = best[:int(np.argmin(np.append(np.diff(best) == 1, False))) + 1]  # the first of the equal stretches
-    return float(run[len(run) // 2]) / BINS
+    return float(run[(len(run) - 1) // 2]) / BINS
 
 
 def counted(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
