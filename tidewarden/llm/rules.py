@@ -25,7 +25,8 @@ TREES = 200
 TREE_ROWS = 256           # rows of one tree
 HEIGHT = 8
 SAMPLE = 4000             # labelled rows that the trees draw from, at most, of good ones;
-BAD_SHARE = 0.05          # with so many bad ones among a tree's rows
+BAD_SHARE = 0.02          # with so many bad ones among a tree's rows
+PLAIN = 40                # plain words of 4.2 letters that are added to each text, so that ratios of short texts vary less
 CLEAN_LOSS = 0.005        # share of good labelled rows that may be dropped
 BINS = 2000               # of the histogram of scores
 
@@ -72,8 +73,9 @@ def features(counts: np.ndarray) -> np.ndarray:
     Repeated windows and lines are left to the fixed rule: a quoted line is no anomaly.
     """
     of = dict(zip(COUNTS, counts.T.astype(float)))
-    words = np.maximum(of["n_words"], 1)
-    return np.stack([np.log1p(of["word_chars"] / words), np.sqrt(of["n_symbols"] / words), of["n_upper"] / np.maximum(of["n_letters"], 1),
+    words = of["n_words"] + PLAIN
+    return np.stack([np.log1p((of["word_chars"] + 4.2 * PLAIN) / words), np.sqrt(of["n_symbols"] / words),
+                     of["n_upper"] / (of["n_letters"] + 4.2 * PLAIN),
                      np.sqrt(of["n_marked"] / words), np.sqrt(of["n_same"] / words)], axis=1)
 
 
