@@ -142,3 +142,102 @@ def test_sliding_rates_against_brute_force(spark):
             n, b = want.get((k, start), (0, 0))
             want[k, start] = (n + 1, b + bad)
     assert got == want and not any(math.isnan(t) for t, _ in got.values())
+
+
+def test_percentiles_do_not_rely_on_reused_exchanges(spark):
+    """A tied hot group, negative, tiny, huge and nearly equal values, with each branch of the plan computed on its own."""
+    rnd = random.Random(3)
+    data = [("hot", 0.25)] * 4000 + [("hot", rnd.gauss(0, 1e3)) for _ in range(2000)]
+    data += [("near", 1.0 + k * 2.0 ** -52) for k in range(500)] + [("near", -1.0 - k * 2.0 ** -40) for k in range(500)]
+    data += [("odd", v) for v in (-0.0, 0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 2.5)] + [(None, 3.0), (None, 4.0)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(7)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {(r.k, r.quantile): r.value for r in metrics.exact_percentiles(df, "v", qs, ["k"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert len(got) == 4 * len(qs)
+    for (k, q), value in got.items():
+        own = sorted(v for g, v in data if g == k)
+        at = q * (len(own) - 1)
+        low, high = own[math.floor(at)], own[math.ceil(at)]
+        assert value == low + (high - low) * (at - math.floor(at))
+
+
+def test_ordered_bits_sort_like_the_values(spark):
+    values = [float("-inf"), -1e300, -1.5, -1.0, -5e-324, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e300, float("inf"), float("nan")]
+    bits = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(metrics.ordered_bits(F.col("v"))).collect()]
+    assert bits == sorted(bits) and len(set(bits)) == len(values)
+    zero = spark.createDataFrame([(-0.0,), (0.0,)], "v double").select(metrics.ordered_bits(F.col("v"))).distinct().count()
+    assert zero == 1
+
+
+def plain_increase(samples, at, seconds):
+    own = [(t, c) for t, c in samples if at - seconds < t <= at]
+    if len(own) < 2:
+        return None
+    grown, length = 0.0, own[-1][0] - own[0][0]
+    for (_, a), (_, b) in zip(own, own[1:]):
+        grown += b - a if b >= a else b
+    mean = length / (len(own) - 1)
+    front, back = own[0][0] - (at - seconds), at - own[-1][0]
+    front, back = (x if x < mean * 1.1 else mean / 2 for x in (front, back))
+    if grown > 0:
+        front = min(front, length * own[0][1] / grown)
+    return grown * (length + front + back) / length
+
+
+def test_counter_increase_with_resets_and_gaps(spark):
+    rnd, rows = random.Random(8), []
+    for k in ("a", "b", None):
+        t, c = 7, rnd.randint(0, 5)
+        for _ in range(120):
+            t += rnd.choice([5, 5, 5, 6, 40, 200])          # 200: windows stay empty
+            c = rnd.randint(0, 3) if rnd.random() < 0.1 else c + rnd.randint(0, 9)
+            rows.append((k, t, c))
+    df = spark.createDataFrame(rows, "k string, at bigint, count bigint").repartition(5)
+    for seconds, step in ((30, 10), (30, 30), (10, 45)):
+        got = {(r.k, r["at"]): r.increase for r in metrics.counter_increase(df, ["k"], seconds, step).collect()}
+        want = {}
+        for k in ("a", "b", None):
+            own = [(t, c) for g, t, c in rows if g == k]
+            for at in range(0, own[-1][0] + seconds + step, step):
+                x = plain_increase(own, at, seconds)
+                if x is not None:
+                    want[k, at] = x
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+
+
+def test_quantiles_of_increase_ignore_what_was_counted_before(spark):
+    """Two counters that start high; one is reset inside the window. Only the growth of the window counts."""
+    rows = [("x", 1.0, 10, 1000), ("x", 1.0, 20, 1010), ("x", 1.0, 30, 1020), ("x", float("inf"), 10, 2000), ("x", float("inf"), 20, 2020), ("x", float("inf"), 30, 2040),
+            ("y", 1.0, 10, 50), ("y", 1.0, 20, 0), ("y", 1.0, 30, 10), ("y", float("inf"), 10, 50), ("y", float("inf"), 20, 0), ("y", float("inf"), 30, 10)]
+    df = spark.createDataFrame(rows, "source string, le double, at bigint, count bigint")
+    got = metrics.quantiles_of_increase(df, [0.3], [], 30, 30, per=["source"]).collect()
+    assert [(r["at"], r.quantile) for r in got] == [(30, 0.3)]
+    # by 30 s: 20 + 10 of 40 + 10 are up to 1 s, each extended by 9 s at the front of 20 s (mean distance 10)
+    assert got[0].value == pytest.approx(1000 * 0.3 * 50 / 30)
+
+
+def test_lag_over_time(spark):
+    polls = spark.createDataFrame([("t", 0, 10, 100), ("t", 0, 20, 200), ("t", 0, 99, 300), ("t", 1, 20, 5)],
+                                  "topic string, partition int, at bigint, high bigint")
+    commits = spark.createDataFrame([("t", 0, "g", 15, 90), ("t", 0, "g", 20, 150), ("t", 0, "g", 20, 140), ("t", 0, "g", 300, 999),
+                                     ("t", 1, "g", 3, 9), ("t", 0, "h", 11, -1)],
+                                    "topic string, partition int, group string, at bigint, committed bigint")
+    members = spark.createDataFrame([("t", "g"), ("t", "h"), ("other", "g")], "topic string, group string")
+    for block in (7, 86_400):
+        got = {(r.partition, r.group, r["at"]): (r.committed, r.lag) for r in metrics.lag_over_time(polls, commits, members, block).collect()}
+        assert got == {(0, "g", 10): (None, 0), (0, "g", 20): (150, 50), (0, "g", 99): (150, 150), (1, "g", 20): (9, 0),
+                       (0, "h", 10): (None, 0), (0, "h", 20): (-1, 0), (0, "h", 99): (-1, 0), (1, "h", 20): (None, 0)}
+
+
+def test_throughput_has_no_window_over_all_intervals(spark):
+    df = spark.range(3000).selectExpr("timestamp_seconds(id * 7 % 5000) AS ts", "id % 9 = 0 AS bad")
+    got = {r.slice: r for r in windows.throughput(df, "ts", F.col("bad"), 1, block=64).collect()}
+    total = errors = 0
+    for at in sorted(got):
+        total, errors = total + got[at].total, errors + sum(1 for i in range(3000) if i * 7 % 5000 == at and i % 9 == 0)
+        assert (got[at].generated, got[at].errors) == (total, errors)
+        assert got[at].average_rate == pytest.approx(total / (at + 1 - min(got)))

@@ -93,3 +93,29 @@ def test_not_landed(spark):
     new = spark.createDataFrame([("a",), ("b",), ("b",)], "event_id string")
     old = spark.createDataFrame([("a",)], "event_id string")
     assert [r.event_id for r in dedupe.not_landed(new, old).collect()] == ["b", "b"]
+
+
+@pytest.mark.parametrize("block", [3, 64, 1 << 20])
+def test_running_sums(frame, log, block):
+    got = {r.pos: (r.s, r.p) for r in ordered.running_sums(frame.withColumn("one", F.lit(1)), ["k"], "pos", {"s": "v", "p": "one"}, block).collect()}
+    seen = {}
+    for k, pos, v in log:
+        s, n = seen.get(k, (0, 0))
+        seen[k] = (s + (v or 0), n + 1)
+        assert (got[pos][0] or 0, got[pos][1]) == seen[k]
+    assert len(got) == len(log)
+
+
+@pytest.mark.parametrize("block", [1, 10, 10_000])
+def test_asof_join(spark, block):
+    rnd = random.Random(4)
+    left = [(rnd.choice(["a", "a", "b", None]), rnd.choice([None, *range(0, 400, 3)]), i) for i in range(300)]
+    right = [(rnd.choice(["a", "b", "c", None]), rnd.choice([None, *range(0, 400, 9)]), rnd.choice([None, 1, 2, 3])) for i in range(80)]
+    lf = spark.createDataFrame(left, "k string, at bigint, id int").repartition(4)
+    rf = spark.createDataFrame(right, "k string, at bigint, v int").repartition(3)
+    got = {r.id: r.v for r in ordered.asof(lf, rf, ["k"], "at", ["v"], block).collect()}
+    assert len(got) == len(left)
+    for k, at, i in left:
+        known = [(t, -1 if v is None else v) for g, t, v in right if g == k and t is not None and at is not None and t <= at]
+        want = max(known)[1] if known else None
+        assert got[i] == (None if want == -1 else want)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewarden import model
+from tidewarden.operators.ordered import asof
 from tidewarden.operators.skew import attach
 
 # Histogram bounds in seconds.
@@ -52,37 +53,61 @@ def faults_by_type(labelled: DataFrame, mode: str = "fault_mode") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("faults"))
 
 
+# The 64 bits of a value are read from the top: 24 bits, 20 more, and the rest. A digit has at most 2^24 values.
+DIGITS = (40, 20)
+
+
+def ordered_bits(value: Column) -> Column:
+    """The bits of a double as a long that sorts like it; NaN comes last."""
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(2 ** 63 - 1))).otherwise(bits)
+
+
+def _holding(sums: DataFrame, by: list[str]) -> DataFrame:
+    """The digits ``_p`` in which wanted ranks ``_t`` lie, each with its ranks counted from the digit's first value."""
+    before = F.coalesce(F.sum("_s").over(W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.transform(F.filter("_t", lambda t: (t["r"] >= F.col("_before")) & (t["r"] < F.col("_before") + F.col("_s"))),
+                         lambda t: F.struct(t["i"].alias("i"), t["quantile"].alias("quantile"), (t["r"] - F.col("_before")).alias("r"),
+                                            t["share"].alias("share")))
+    return sums.withColumn("_before", before).withColumn("_t", inside).where(F.size("_t") > 0)
+
+
+def _within(counts: DataFrame, wanted: DataFrame, keys: list[str], shift: int) -> DataFrame:
+    """The counted values whose bits from ``shift`` on are wanted, with the wanted ranks."""
+    names = [f"_w{j}" for j in range(len(keys))]
+    right = wanted.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_p").alias("_in"), "_t")
+    same = F.shiftright("_b", shift) == F.col("_in")
+    for k, n in zip(keys, names):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    return counts.join(right, same).drop(*names)
+
+
 def exact_percentiles(df: DataFrame, value: str, quantiles: list[float], keys: list[str] | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation: (keys, quantile, value).
 
     An exact percentile aggregate would hold every distinct value of a group in
-    one task. Here values are counted first, so a tied group is one row. The
-    counts are dealt out by range; a small table with the total of each range and
-    key says in which ranges the wanted ranks lie, and only these are ranked.
+    one task. Here the values are counted, so a tied group is one row, and the
+    wanted ranks are found by radix selection: the counts are summed by the
+    values' first bits, then, only where a wanted rank lies, by the next bits,
+    and only the values that share these are ranked. Which bits a value has
+    depends on nothing but the value, so each step may be computed anew.
     """
     keys = keys or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")) \
-        .agg(F.count(F.lit(1)).alias("_k"))
-    dealt = counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id())
-    before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    totals = dealt.groupBy(*keys, "_p").agg(F.sum("_k").alias("_s")).select(
-        *keys, "_p", "_s", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"),
-        F.sum("_s").over(W.partitionBy(*keys)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_k")).withColumn("_b", ordered_bits(F.col("_v")))
     rank = lambda q: F.lit(float(q)) * (F.col("_n") - 1)
-    targets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("quantile"), end(rank(q)).alias("r"),
-                                           (rank(q) - F.floor(rank(q))).alias("share"))
-                                  for i, q in enumerate(quantiles) for end in (F.floor, F.ceil)]))
-    wanted = totals.withColumn("_t", targets).where((F.col("_t.r") >= F.col("_before"))
-                                                    & (F.col("_t.r") < F.col("_before") + F.col("_s"))) \
-        .groupBy(*keys, "_p", "_before").agg(F.collect_set("_t").alias("_t"))
-    wanted = wanted.select(*[F.col(k).alias(f"_w{j}") for j, k in enumerate(keys)], F.col("_p").alias("_q"), "_before", "_t")
-    same = F.col("_p") == F.col("_q")
-    for j, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"_w{j}"))
-    upto = W.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = dealt.join(wanted, same).withColumn("_end", F.col("_before") + F.sum("_k").over(upto))
-    hit = F.filter("_t", lambda t: (t["r"] < F.col("_end")) & (t["r"] >= F.col("_end") - F.col("_k")))
-    found = ranked.select(*keys, "_v", F.explode(hit).alias("_t")).groupBy(*keys, "_t.i", "_t.quantile", "_t.share") \
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("quantile"), end(rank(q)).alias("r"),
+                               (rank(q) - F.floor(rank(q))).alias("share"))
+                      for i, q in enumerate(quantiles) for end in (F.floor, F.ceil)])
+    sums = counts.groupBy(*keys, F.shiftright("_b", DIGITS[0]).alias("_p")).agg(F.sum("_k").alias("_s"))
+    wanted = _holding(sums.withColumn("_n", F.sum("_s").over(W.partitionBy(*keys))).withColumn("_t", ranks), keys)
+    for above, shift in zip(DIGITS, DIGITS[1:]):
+        sums = _within(counts, wanted, keys, above).groupBy(*keys, "_in", F.shiftright("_b", shift).alias("_p")) \
+            .agg(F.sum("_k").alias("_s"), F.first("_t").alias("_t"))
+        wanted = _holding(sums, [*keys, "_in"])
+    values = _within(counts, wanted, keys, DIGITS[-1]).select(*keys, "_in", F.col("_v").alias("_p"), F.col("_k").alias("_s"), "_t")
+    hit = _holding(values, [*keys, "_in"])
+    found = hit.select(*keys, F.col("_p").alias("_v"), F.explode("_t").alias("_t")).groupBy(*keys, "_t.i", "_t.quantile", "_t.share") \
         .agg(F.min("_v").alias("_l"), F.max("_v").alias("_h"))
     return found.select(*keys, "quantile", (F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("share")).alias("value"))
 
@@ -139,6 +164,51 @@ def histogram_quantile(buckets: DataFrame, quantiles: list[float], keys: list[st
     return first.select(*keys, "quantile", (value * scale).alias("value"))
 
 
+def counter_increase(samples: DataFrame, keys: list[str], seconds: int, step: int, ts: str = "at", count: str = "count") -> DataFrame:
+    """Increase of counters over windows: (keys, at, increase), one row per key and window end.
+
+    ``samples`` has one row per key and poll, with the epoch second ``ts``. A window holds the samples after ``at - seconds`` up
+    to ``at``, a multiple of ``step``. Where a counter falls it was reset, and what it had before is added. The increase between the first and the last
+    sample is extended to the window's edges: by the distance to the edge, or by half the mean distance of samples where the edge
+    is 1.1 such distances away or more; at the front not beyond the point where the counter would be zero. A
+    window with fewer than two samples has no row.
+    """
+    series = W.partitionBy(*keys).orderBy(ts)
+    last = F.lag(count).over(series)
+    steps = samples.select(*keys, F.col(ts).alias("_ts"), F.col(count).cast("double").alias("_c"), F.lag(ts).over(series).alias("_prev"),
+                           F.when(F.col(count) < last, last.cast("double")).otherwise(0.0).alias("_lost"))
+    first_end = F.ceil(F.col("_ts") / step).cast("long") * step
+    last_end = (F.ceil((F.col("_ts") + seconds) / step).cast("long") - 1) * step     # a sample is in no window from ts + seconds on
+    windows = steps.where(first_end <= last_end).withColumn("at", F.explode(F.sequence(first_end, last_end, F.lit(step).cast("long"))))
+    lost = F.sum(F.when(F.col("_prev") > F.col("at") - seconds, F.col("_lost")).otherwise(0.0))
+    w = windows.groupBy(*keys, "at").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_ts").alias("_from"), F.max("_ts").alias("_to"), F.min_by("_c", "_ts").alias("_first"),
+        F.max_by("_c", "_ts").alias("_last"), lost.alias("_lost")).where(F.col("_n") > 1)
+    grown = F.col("_last") - F.col("_first") + F.col("_lost")
+    length = (F.col("_to") - F.col("_from")).cast("double")
+    mean = length / (F.col("_n") - 1)
+
+    def reach(to_edge: Column) -> Column:
+        return F.when(to_edge < mean * 1.1, to_edge.cast("double")).otherwise(mean / 2)
+
+    front = reach(F.col("_from") - (F.col("at") - seconds))
+    to_zero = F.when((grown > 0) & (F.col("_first") >= 0), length * F.col("_first") / grown)
+    front = F.least(front, F.coalesce(to_zero, front))
+    return w.select(*keys, "at", (grown * (length + front + reach(F.col("at") - F.col("_to"))) / length).alias("increase"))
+
+
+def quantiles_of_increase(buckets: DataFrame, quantiles: list[float], keys: list[str], seconds: int, step: int,
+                          per: list[str]) -> DataFrame:
+    """Quantiles over time, (keys, at, quantile, value), from polled bucket counters (per, keys, le, at, count).
+
+    Each counter's increase over the window is taken first, then the counters of all ``per`` are added, then the quantile is
+    read from the buckets. A window without increase has no row.
+    """
+    grown = counter_increase(buckets, [*per, *[k for k in keys if k not in per], "le"], seconds, step)
+    summed = grown.groupBy(*keys, "at", "le").agg(F.sum("increase").alias("cumulative"))
+    return histogram_quantile(summed, quantiles, [*keys, "at"])
+
+
 def consumer_lag(partitions: DataFrame, committed: DataFrame) -> DataFrame:
     """Lag per (topic, partition): high watermark minus committed offset.
 
@@ -151,6 +221,20 @@ def consumer_lag(partitions: DataFrame, committed: DataFrame) -> DataFrame:
     return joined.select(*on, "high", "committed", lag.cast("long").alias("lag"))
 
 
+def lag_over_time(watermarks: DataFrame, commits: DataFrame, members: DataFrame, block: int = 86_400) -> DataFrame:
+    """Lag of each group at each poll: (topic, partition, group, at, high, committed, lag).
+
+    ``watermarks`` are polls (topic, partition, at, high), ``commits`` (topic, partition, group, at, committed), times in epoch
+    seconds, and ``members`` (topic, group) the groups that read a topic. A poll counts the newest commit not after it; a group
+    that has not committed yet, or a negative offset, has lag 0. Time is cut into blocks of ``block`` seconds, so that a busy
+    partition's polls and commits are dealt out.
+    """
+    polls = watermarks.join(members, "topic").select("topic", "partition", "group", "at", "high")
+    joined = asof(polls, commits, ["topic", "partition", "group"], "at", ["committed"], block)
+    lag = F.when(F.coalesce("committed", F.lit(-1)) < 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("high") - F.col("committed")))
+    return joined.select("topic", "partition", "group", "at", "high", "committed", lag.cast("long").alias("lag"))
+
+
 def lag_totals(lags: DataFrame) -> DataFrame:
     return lags.agg(F.coalesce(F.sum("lag"), F.lit(0)).alias("total_lag"),
                     F.coalesce(F.max("lag"), F.lit(0)).alias("max_lag"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidewarden.operators.ordered import running_sums
 from tidewarden.operators.skew import attach
 
 
@@ -154,22 +155,25 @@ def recovery_continuity(samples: DataFrame, keys: list[str], ts: str = "at",
                           & (F.col("later") > F.col("after")))
 
 
-def throughput(df: DataFrame, ts: str, bad: Column | str, seconds: int = 1) -> DataFrame:
+THROUGHPUT_BLOCK = 1 << 16   # intervals that are added up by one task
+
+
+def throughput(df: DataFrame, ts: str, bad: Column | str, seconds: int = 1, block: int = THROUGHPUT_BLOCK) -> DataFrame:
     """Per interval: current rate, average rate since the start, error percent.
 
-    The running sums go over the interval table, one row per interval.
+    The running sums go over the interval table, one row per interval, in two
+    levels: ``block`` intervals at a time, and one row per block.
     """
     base = slices(df, [], ts, bad, seconds)
     first = base.agg(F.min("slice").alias("_start"))
     base = attach(base.withColumn("_one", F.lit(1)), first.withColumn("_one", F.lit(1)), ["_one"], None)
-    run = W.partitionBy("_one").orderBy("slice").rowsBetween(W.unboundedPreceding, 0)
-    generated, errors = F.sum("total").over(run), F.sum("bad").over(run)
+    run = running_sums(base, [], "slice", {"generated": "total", "errors": "bad"}, block * seconds)
     elapsed = F.greatest(F.lit(0.001), (F.col("slice") + seconds - F.col("_start")).cast("double"))
-    return base.select(
-        "slice", "total", generated.alias("generated"), errors.alias("errors"),
+    return run.select(
+        "slice", "total", "generated", "errors",
         (F.col("total") / F.lit(float(seconds))).alias("current_rate"),
-        (generated / elapsed).alias("average_rate"),
-        (errors / generated * 100.0).alias("error_pct"))
+        (F.col("generated") / elapsed).alias("average_rate"),
+        (F.col("errors") / F.col("generated") * 100.0).alias("error_pct"))
 
 
 def gold_metrics(df: DataFrame, ts: str, keys: list[str], amount: str, customer: str) -> DataFrame:

@@ -62,6 +62,10 @@ def over_latency(select: str) -> str:
     return over_raw(", " + LATENCY + " " + select)
 
 
+def over_latency_at(select: str) -> str:
+    return over_raw(", " + LATENCY.replace("SELECT source, greatest", "SELECT source, arrived_at, greatest") + " " + select)
+
+
 BREAKER = SLICES + f""",
 numbered_slices AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY slice) AS rn,
@@ -218,6 +222,22 @@ def _number_or_text(name: str) -> str:
     return f"({name}::double)::varchar" if name in ("unit_price", "amount") else _literal(name)
 
 
+# Each window's own samples, with the fall of a counter found among them.
+_INCREASES = f""", polled AS (SELECT source, le, "at", sum(n) OVER (PARTITION BY source, le, "at" // 86400 ORDER BY "at")::double AS c FROM (
+    SELECT source, le, floor(epoch_us(arrived_at) / {H}000000)::bigint * {H} AS "at", count(*) FILTER (latency / 1000.0 <= le) AS n
+    FROM latency, (SELECT unnest({metrics.CONSUMER_BOUNDS} || ['inf'::double])::double AS le) GROUP BY ALL)),
+  ends AS (SELECT unnest(range(min("at") // {3 * H} * {3 * H}, max("at") + {9 * H}, {3 * H})) AS "end" FROM polled),
+  members AS (SELECT source, le, "end", "at", c, lag(c) OVER (PARTITION BY source, le, "end" ORDER BY "at") AS before
+    FROM polled JOIN ends ON "at" > "end" - {6 * H} AND "at" <= "end"),
+  spans AS (SELECT source, le, "end", count(*) AS n, min("at") AS a, max("at") AS b, arg_min(c, "at") AS first,
+      arg_max(c, "at") - arg_min(c, "at") + coalesce(sum(before) FILTER (c < before), 0) AS grown FROM members GROUP BY ALL HAVING count(*) > 1),
+  reach AS (SELECT *, (b - a)::double AS length, (b - a) / (n - 1)::double AS mean, a - ("end" - {6 * H}) AS lead, "end" - b AS tail FROM spans),
+  fronts AS (SELECT *, CASE WHEN lead < mean * 1.1 THEN lead ELSE mean / 2 END AS front,
+      CASE WHEN tail < mean * 1.1 THEN tail ELSE mean / 2 END AS back FROM reach),
+  grown AS (SELECT source, le, "end" AS "at", grown * (length + back
+      + CASE WHEN grown > 0 AND first >= 0 THEN least(front, length * first / grown) ELSE front END) / length AS increase FROM fronts)"""
+
+
 ORACLE: dict[str, str] = {
     "bronze_ingest": over_bronze(
         f"SELECT * REPLACE ({stamp('event_time')} AS event_time, amount::double AS amount, "
@@ -399,6 +419,27 @@ ORACLE: dict[str, str] = {
           QUALIFY row_number() OVER (PARTITION BY source, q ORDER BY le) = 1)
         SELECT source, q AS quantile, round(1000 * CASE WHEN isinf(le) THEN lo
           ELSE lo + (le - lo) * (r - prev) / (cumulative - prev) END, 4) AS value FROM f"""),
+    "bucket_increases": over_latency_at(
+        f"""{_INCREASES} SELECT source, CASE WHEN isfinite(le) THEN le END AS le, "at", round(increase, 6) AS increase FROM grown"""),
+    "quantiles_over_time": over_latency_at(
+        f"""{_INCREASES}, c AS (SELECT "at", le, sum(increase) AS cumulative FROM grown GROUP BY ALL),
+        e AS (SELECT *, coalesce(lag(cumulative) OVER w, 0) AS prev, coalesce(lag(le) OVER w, 0) AS lo,
+          max(cumulative) OVER (PARTITION BY "at") AS total FROM c WINDOW w AS (PARTITION BY "at" ORDER BY le)),
+        f AS (SELECT *, q * total AS r FROM e, (VALUES (0.5::double), (0.95::double), (0.99::double)) v(q)
+          WHERE cumulative >= q * total AND total > 0
+          QUALIFY row_number() OVER (PARTITION BY "at", q ORDER BY le) = 1)
+        SELECT "at", q AS quantile, round(1000 * CASE WHEN isinf(le) THEN lo WHEN cumulative = prev THEN le
+          ELSE lo + (le - lo) * (r - prev) / (cumulative - prev) END, 4) AS value FROM f"""),
+    "lag_over_time": over_raw(
+        f""", p AS (SELECT "partition", floor(epoch_us(arrived_at) / {H}000000)::bigint * {H} + {H} AS "at", max("offset") + 1 AS h
+          FROM raw GROUP BY ALL),
+        polls AS (SELECT "partition", "at", max(h) OVER (PARTITION BY "partition" ORDER BY "at") AS high FROM p),
+        g AS (FROM (VALUES ('bronze-writer', 3), ('audit-reader', 7), ('idle-reader', NULL)) g("group", every)),
+        commits AS (SELECT "partition", "group", "at" + {H} AS "at", high AS committed FROM polls, g
+          WHERE "at" % (every * {H}) = 0 AND ("group" <> 'audit-reader' OR "partition" < 2))
+        SELECT 'checkout-events' AS topic, "partition", "group", "at", high, committed,
+          greatest(0, coalesce(high - committed, 0)) AS lag
+        FROM (SELECT polls.*, "group" FROM polls, g) l ASOF LEFT JOIN commits c USING ("partition", "group", "at")"""),
     "ingestion_delay": over_bronze(
         """SELECT payment_status, count(d) AS events, round(min(d), 4) AS min_ms, round(max(d), 4) AS max_ms
         FROM (SELECT payment_status, (epoch_us(ingestion_time) - epoch_us(event_time)) / 1000.0 AS d FROM bronze)

@@ -368,10 +368,10 @@ def faults_by_type(spark, sf):
     return metrics.faults_by_type(raw_log(spark, sf))
 
 
-def latencies(spark, sf) -> DataFrame:
+def latencies(spark, sf, more: list[Column] = []) -> DataFrame:
     e = ingest.decode(raw_log(spark, sf), ["event_time"])
     ts = times.prefix_time(F.col("event.event_time"))
-    return e.select("source", "offset", times.latency_ms(F.col("arrived_at"), ts).alias("latency"))
+    return e.select("source", "offset", *more, times.latency_ms(F.col("arrived_at"), ts).alias("latency"))
 
 
 @query
@@ -420,6 +420,29 @@ def histogram_quantiles(spark, sf):
         .withColumn("value", F.round("value", 4))
 
 
+def polled_buckets(spark, sf) -> DataFrame:
+    """Latency buckets per source as an hourly poll would see them; the counters start anew every day, and hours without
+    latencies were not polled."""
+    seconds = latencies(spark, sf, [windows.slice_start(F.col("arrived_at"), HOUR).alias("at")]) \
+        .where(F.col("latency").isNotNull()).withColumn("seconds", F.col("latency") / 1000.0)
+    hourly = metrics.histogram(seconds, "seconds", metrics.CONSUMER_BOUNDS, ["source", "at"])
+    w = W.partitionBy("source", "le", F.floor(F.col("at") / 86400)).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    return hourly.select("source", "le", "at", F.sum("cumulative").over(w).alias("count"))
+
+
+@query
+def bucket_increases(spark, sf):
+    out = metrics.counter_increase(polled_buckets(spark, sf), ["source", "le"], 6 * HOUR, 3 * HOUR)
+    return out.select("source", F.when(F.col("le") < float("inf"), F.col("le")).alias("le"), "at", dbl("increase", 6))
+
+
+@query
+def quantiles_over_time(spark, sf):
+    """Latency quantiles of all sources over the last six hours, every three hours."""
+    out = metrics.quantiles_of_increase(polled_buckets(spark, sf), [0.5, 0.95, 0.99], [], 6 * HOUR, 3 * HOUR, per=["source"])
+    return out.withColumn("value", F.round("value", 4))
+
+
 @query
 def ingestion_delay(spark, sf):
     b = bronze(spark, sf)
@@ -455,6 +478,32 @@ def lag_totals(spark, sf):
     return metrics.lag_totals(metrics.consumer_lag(*committed_offsets(spark, sf)))
 
 
+TOPIC = "checkout-events"
+GROUPS = {"bronze-writer": 3, "audit-reader": 7, "idle-reader": 0}   # hours between commits; 0: never commits
+
+
+def offsets_over_time(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hourly high watermarks per partition, the commits of the groups, and which group reads the topic.
+
+    A group commits what it saw up to an hour before; the audit reader does not read partition 2.
+    """
+    hour = windows.slice_start(F.col("arrived_at"), HOUR) + HOUR
+    hourly = raw_log(spark, sf).groupBy("partition", hour.alias("at")).agg((F.max("offset") + 1).alias("high"))
+    upto = W.partitionBy("partition").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    polls = hourly.select(F.lit(TOPIC).alias("topic"), "partition", "at", F.max("high").over(upto).alias("high"))
+    takes = [(F.col("at") % (every * HOUR) == 0) & (F.lit(group != "audit-reader") | (F.col("partition") < 2))
+             for group, every in GROUPS.items() if every]
+    who = F.explode(F.array_compact(F.array(*[F.when(t, F.lit(g)) for t, (g, every) in zip(takes, (x for x in GROUPS.items() if x[1]))])))
+    commits = polls.select("topic", "partition", who.alias("group"), (F.col("at") + HOUR).alias("at"), F.col("high").alias("committed"))
+    members = polls.select("topic").distinct().select("topic", F.explode(F.array(*map(F.lit, GROUPS))).alias("group"))
+    return polls, commits, members
+
+
+@query
+def lag_over_time(spark, sf):
+    return metrics.lag_over_time(*offsets_over_time(spark, sf))
+
+
 @query
 def throughput(spark, sf):
     out = windows.throughput(raw_log(spark, sf), "arrived_at", F.col("fault_mode").isNotNull(), HOUR)
