@@ -21,6 +21,7 @@ from dataclasses import asdict, dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tidewarden.operators.ordered import asof
 from tidewarden.operators.skew import attach
 from tidewarden.operators.windows import slice_start
 
@@ -160,6 +161,22 @@ def gate(events: DataFrame, states: DataFrame, ts: str, source: str = "source",
     return joined.withColumn("gate", verdict).drop("_slice", "state_before", "_total")
 
 
+def released(events: DataFrame, states: DataFrame, ts: str, source: str = "source", options: BreakerOptions = BreakerOptions(),
+             spread_by: list[str] | None = None, block: int = 1 << 12) -> DataFrame:
+    """Diverted events, with their ``slice`` and ``released_at``: the slice at which their source closed next.
+
+    The end of an open time is looked up per open slice, not per event. Events whose source has not closed since are left out.
+    """
+    at = lambda c: (-F.col(c)).alias("_at")   # the next closing is the last one, seen backwards
+    open_slices = states.where(F.col("state_before") == OPEN).select("source", "slice", "total", at("slice"))
+    closings = states.where((F.col("state") == CLOSED) & (F.col("state_before") != CLOSED)).select(
+        "source", F.col("slice").alias("released_at"), at("slice"))
+    until = asof(open_slices, closings, ["source"], "_at", ["released_at"], block * options.step).select(
+        F.col("source").alias(source), "slice", F.col("total").alias("_total"), "released_at")
+    placed = events.withColumn("slice", slice_start(F.col(ts), options.step))
+    return attach(placed, until, [source, "slice"], "_total", spread_by=spread_by).where(F.col("released_at").isNotNull()).drop("_total")
+
+
 def incident_context(incident_rows: DataFrame, sliced: DataFrame) -> DataFrame:
     """Incidents with the slice totals at which they happened."""
     at = F.timestamp_seconds("slice").cast("timestamp_ntz")

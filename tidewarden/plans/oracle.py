@@ -369,6 +369,11 @@ ORACLE: dict[str, str] = {
         f"""SELECT a.source, a."offset", CASE s.state_before WHEN 'OPEN' THEN 'divert' WHEN 'HALF_OPEN' THEN 'probe'
         ELSE 'pass' END AS gate FROM assessed a JOIN states s ON a.source = s.source
         AND s.slice = floor(epoch_us(a.arrived_at) / {H}000000)::bigint * {H}"""),
+    "released_events": over_breaker(
+        f"""SELECT a.source, a."offset", s.slice, (SELECT min(c.slice) FROM states c WHERE c.source = s.source AND c.slice > s.slice
+          AND c.state = 'CLOSED' AND c.state_before <> 'CLOSED') AS released_at
+        FROM assessed a JOIN states s ON a.source = s.source AND s.slice = floor(epoch_us(a.arrived_at) / {H}000000)::bigint * {H}
+        WHERE s.state_before = 'OPEN' AND released_at IS NOT NULL"""),
     "volume_anomalies": over_raw(
         f""", k AS (SELECT source, floor(epoch_us(arrived_at) / {H}000000)::bigint * {H} AS slice, count(*) AS events
           FROM raw GROUP BY ALL),

@@ -340,6 +340,15 @@ def gated_events(spark, sf):
     return gated.select("source", "offset", "gate")
 
 
+@query
+def released_events(spark, sf):
+    """Events diverted while their source was open, and when it closed."""
+    c = checked(spark, sf)
+    states = breaker.breaker_states(windows.slices(c, ["source"], "arrived_at", BAD, HOUR), BREAKER)
+    return breaker.released(raw_log(spark, sf).select("source", "offset", "arrived_at"), states, "arrived_at", options=BREAKER,
+                            spread_by=["offset"]).select("source", "offset", "slice", "released_at")
+
+
 @query
 def volume_anomalies(spark, sf):
     out = windows.volume_anomalies(raw_log(spark, sf), ["source"], "arrived_at", HOUR, history=24, threshold=2.5)

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewarden.operators import quality
 from tidewarden.plans import oracle
 from tidewarden.plans.feed import raw_log
-from tidewarden.plans.queries import OPTIONS, ROWS, printable
+from tidewarden.plans.queries import BREAKER, HOUR, OPTIONS, ROWS, printable
 from tidewarden.session import shared_dir
 from tidewarden.sources import sinks, streams
-from tidewarden.streaming import ingest, routing
+from tidewarden.streaming import gate, ingest, routing
 
 LOG = ["partition", "offset", "arrived_at", "value"]
 SLICES = 3
@@ -20,13 +21,17 @@ DEDUPE_HOURS = 24 * 62     # the whole span of the test log
 _ROUTED: dict[tuple[str, str], str] = {}
 
 
-def arriving(spark: SparkSession, sf_dir: str, box: str, start) -> None:
+HEARTBEAT = "heartbeat"    # the source of rows that only carry the time on
+_CONTROLLED: dict[tuple[str, str], str] = {}
+
+
+def arriving(spark: SparkSession, sf_dir: str, box: str, start, more: list[str] = []) -> None:
     """Lands the log slice by slice, in the order of its offsets; ``start`` is run to its end after each."""
-    raw = raw_log(spark, sf_dir).select(*LOG)
+    raw = raw_log(spark, sf_dir).select(*LOG, *more)
     nth = F.floor(F.col("offset") * SLICES / (raw.agg(F.max("offset")).scalar() + 1))
     for i in range(SLICES):
         raw.where(nth == i).write.mode("append").parquet(f"{box}/in")
-        start(streams.parquet_stream(spark, f"{box}/in")).awaitTermination()
+        start(streams.parquet_stream(spark, f"{box}/in", more=", ".join(f"{c} STRING" for c in more))).awaitTermination()
 
 
 def stream_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +68,81 @@ def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed(spark, sf_dir, "audit")
 
 
-STREAMS = {f.__name__: f for f in (stream_bronze, stream_silver, stream_quarantine, stream_dead_letters, stream_audit)}
+def _beat(spark: SparkSession, sf_dir: str, box: str, start) -> None:
+    """A row of a source of its own, two days after the log's end: it closes all windows of the log."""
+    raw_log(spark, sf_dir).agg((F.max("arrived_at") + F.expr("interval 2 days")).alias("arrived_at")).select(
+        F.lit(-1).alias("partition"), F.lit(-1).cast("bigint").alias("offset"), "arrived_at", F.lit("{}").alias("value"),
+        F.lit(HEARTBEAT).alias("source")).write.mode("append").parquet(f"{box}/in")
+    start(streams.parquet_stream(spark, f"{box}/in", more="source STRING")).awaitTermination()
+
+
+def controlled(spark: SparkSession, sf_dir: str) -> str:
+    """Runs the breaker and the gate over the arriving log; gives their folder. They run once per session and log."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CONTROLLED:
+        box = shared_dir(spark, "stream-gate")
+
+        def both(source):
+            gate.start_breaker(quality.check(source, ROWS, OPTIONS), f"{box}/out", f"{box}/breaker", BREAKER, "0 seconds", once=True).awaitTermination()
+            return gate.start_gate(source, gate.state_stream(spark, f"{box}/out"), f"{box}/gated", f"{box}/gate", BREAKER, "0 seconds",
+                                   keep=24 * HOUR, once=True, shards=4)
+        arriving(spark, sf_dir, box, both, more=["source"])
+        _beat(spark, sf_dir, box, both)
+        _CONTROLLED[key] = box
+    return _CONTROLLED[key]
+
+
+def _control(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return sinks.read_table(spark, f"{controlled(spark, sf_dir)}/out/{name}").drop("batch_id").where(F.col("source") != HEARTBEAT)
+
+
+def stream_breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _control(spark, sf_dir, "states")
+
+
+def stream_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return printable(_control(spark, sf_dir, "incidents").withColumn("error_rate", F.round("error_rate", 6)))
+
+
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return printable(_control(spark, sf_dir, "alerts"))
+
+
+def stream_control_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return printable(_control(spark, sf_dir, "pipeline_control"))
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(gate.GATED).parquet(f"{controlled(spark, sf_dir)}/gated").where(F.col("source") != HEARTBEAT)
+
+
+def stream_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gated(spark, sf_dir).where("gate <> 'release'").select("source", "offset", "gate")
+
+
+def stream_released(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held events and the slice in which their source closed again."""
+    return _gated(spark, sf_dir).where("gate = 'release'").select("source", "offset", "slice", "released_at")
+
+
+def stream_error_rate_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = shared_dir(spark, "stream-sliding")
+
+    def start(source):
+        rates = gate.sliding_rate_stream(quality.check(source, ROWS, OPTIONS), 6 * HOUR, HOUR, "0 seconds")
+        return ingest.triggered(rates.writeStream.format("parquet").option("path", f"{box}/out").option("checkpointLocation", f"{box}/checkpoint"),
+                                once=True).start()
+    arriving(spark, sf_dir, box, start, more=["source"])
+    _beat(spark, sf_dir, box, start)
+    return spark.read.parquet(f"{box}/out").where(F.col("source") != HEARTBEAT).withColumn("error_rate", F.round("error_rate", 6))
+
+
+STREAMS = {f.__name__: f for f in (stream_bronze, stream_silver, stream_quarantine, stream_dead_letters, stream_audit, stream_breaker_states,
+                                   stream_incidents, stream_alerts, stream_control_signals, stream_gated, stream_released,
+                                   stream_error_rate_sliding)}
 STREAM_ORACLE = {"stream_bronze": oracle.ORACLE["bronze_ingest"], "stream_silver": oracle.ORACLE["silver_rows"],
                  "stream_quarantine": oracle.ORACLE["quarantine_rows"], "stream_dead_letters": oracle.ORACLE["dead_letters"],
-                 "stream_audit": oracle.ORACLE["audit_rows"]}
+                 "stream_audit": oracle.ORACLE["audit_rows"], "stream_breaker_states": oracle.ORACLE["breaker_states"],
+                 "stream_incidents": oracle.ORACLE["incidents"], "stream_alerts": oracle.ORACLE["alert_feed"],
+                 "stream_control_signals": oracle.ORACLE["control_signals"], "stream_gated": oracle.ORACLE["gated_events"],
+                 "stream_released": oracle.ORACLE["released_events"], "stream_error_rate_sliding": oracle.ORACLE["error_rate_sliding"]}

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pyspark.sql.types import StructType
+
 from tidewarden import model
 
 
@@ -46,9 +48,10 @@ def _start(start: str) -> str:
     return start
 
 
-def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of arrival files."""
-    reader = spark.readStream.schema(model.ARRIVAL)
+def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, more: str = "") -> DataFrame:
+    """Stream of arrival files; ``more`` declares columns beyond those of an arrival."""
+    declared = StructType.fromDDL(more).fields if more else []
+    reader = spark.readStream.schema(StructType([*model.ARRIVAL.fields, *declared]))
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
