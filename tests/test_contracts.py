@@ -197,3 +197,34 @@ def test_drift(spark):
     assert out[("v1", "color", "UNKNOWN_FIELD")] == 1 and out[("v1", "device", "NULL_VALUE")] == 1
     assert out[("v9", "event_id", "UNKNOWN_VERSION")] == 1
     assert not [k for k in out if k[2] == "NEVER_SEEN" or k[0] == "v2"]
+
+
+def test_any_pair_by_lifetimes_is_the_pairwise_comparison(spark):
+    """Versions whose fields come, go, come back and change; all pairs, both ways round."""
+    import random
+    rnd, rows = random.Random(9), []
+    state = {}
+    for v in range(12):
+        for name in "abcdefg":
+            if rnd.random() < 0.3:
+                state[name] = rnd.choice([None, ("string", True, None), ("string", False, ["x", "y"]), ("string", True, ["y", "x"]),
+                                          ("integer", True, None), ("float", True, None)])
+        rows += [(f"v{v:02d}", k, name, *state[name]) for k, name in enumerate(rnd.sample("abcdefg", 7)) if state.get(name)]
+    df = spark.createDataFrame(rows, "schema_version string, position int, field string, type string, required boolean, enum array<string>")
+    versions = sorted({r[0] for r in rows})
+    every = spark.createDataFrame([(a, b) for a in versions for b in versions], "old_version string, new_version string")
+    want, got = (sorted(map(str, f(df, every).select("old_version", "new_version", "seq", "field", "change_type", "old_value", "new_value").collect()))
+                 for f in (compat.compare, compat.compare_any))
+    assert got == want and len(want) > 100
+    joins = compat.compare_any(df, every)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in joins
+    life = compat.lifetimes(df).collect()
+    assert sum(r.versions for r in life) == len(rows)
+    assert {(a, b) for a in versions for b in versions if a < b} == {tuple(r) for r in compat.all_pairs(df).collect()}
+
+
+def test_single_quoted_payloads_are_no_json(spark):
+    texts = ["{'a':1}", '{"a":\'b\'}', '{"a":1, \'b\':2}', '{"a":"it\'s"}', '{"a":"\'"}{}', '{"a":1}']
+    from tidewarden.functions.payload import is_json_object
+    df = spark.createDataFrame([(t,) for t in texts], "value string").selectExpr("value", f"{is_json_object('value')} AS ok")
+    assert {r.value for r in df.where("ok").collect()} == {'{"a":"it\'s"}', '{"a":1}'}

@@ -21,11 +21,14 @@ def is_json_object(value: str) -> str:
 
     The parsers stop after the first value and ignore what follows. Inside an
     array, before and after another element, the text must be exactly one element.
+    They also take single quotes for double ones; the variant parser does not, and
+    is asked only about texts that hold one.
     """
     bare = f"trim(BOTH ' \\t\\n\\r' FROM {value})"
     return (f"(startswith({bare}, '{{') AND endswith({bare}, '}}') "
             f"AND coalesce(json_array_length(concat('[', {value}, ',0]')) = 2, false) "
-            f"AND coalesce(json_array_length(concat('[0,', {value}, ']')) = 2, false))")
+            f"AND coalesce(json_array_length(concat('[0,', {value}, ']')) = 2, false) "
+            f"AND (instr({value}, '\\'') = 0 OR try_parse_json({value}) IS NOT NULL))")
 
 
 def json_body(value: str = "value") -> str:

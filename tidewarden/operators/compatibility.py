@@ -8,6 +8,27 @@ from tidewarden.functions.payload import json_body, value_kind, value_text
 
 COMPATIBLE, BREAKING = "COMPATIBLE", "BREAKING"
 
+# The wording of change descriptions and summaries, which readers of change rows match on.
+TEXTS = {
+    "removed_required": "Removed required field '%s'",
+    "removed_optional": "Removed optional field '%s'",
+    "added_required": "Added required field '%s' without default",
+    "added_optional": "Added optional field '%s'",
+    "promoted": "Safe type promotion for field '%s' (%s -> %s)",
+    "retyped": "Incompatible type change for field '%s' (%s -> %s)",
+    "tightened": "Field '%s' changed from optional to required",
+    "relaxed": "Field '%s' relaxed from required to optional",
+    "enum_gained": "Enum field '%s' expanded with new value(s): %s",
+    "enum_lost": "Enum field '%s' removed value(s): %s",
+    "identical": "Schema %s and %s are identical.",
+    "compatible": "Schema evolution from %s to %s is COMPATIBLE (%d change(s) detected).",
+    "breaking": "Schema evolution from %s to %s is BREAKING (%d breaking change(s) detected out of %d total).",
+}
+
+
+def _worded(text: str, *values: Column) -> Column:
+    return F.format_string(TEXTS[text], *values)
+
 
 def type_compatible(old: Column, new: Column) -> Column:
     """Same type, or an integer widened to a float."""
@@ -40,6 +61,68 @@ def compare(contracts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     both = side("old_version", "o").join(side("new_version", "n"),
                                          ["old_version", "new_version", "field"], "full_outer")
+    return _changes(both)
+
+
+def lifetimes(contracts: DataFrame) -> DataFrame:
+    """Intervals of versions in which a field keeps its definition: (field, nth, first_version, last_version, versions, type, required, enum).
+
+    Versions are taken in text order. A field that is absent for a version, or has another type, required flag or enum,
+    begins a new interval afterwards. ``nth`` counts the intervals of a field.
+    """
+    return _islands(contracts).groupBy("field", "nth").agg(
+        F.min("schema_version").alias("first_version"), F.max("schema_version").alias("last_version"), F.count(F.lit(1)).alias("versions"),
+        *[F.any_value(c).alias(c) for c in ("type", "required", "enum")])
+
+
+def _islands(contracts: DataFrame) -> DataFrame:
+    """The contract rows with the number ``nth`` of their field's interval."""
+    order = contracts.select("schema_version").distinct().select(
+        F.col("schema_version").alias("_version"), F.row_number().over(W.orderBy("schema_version")).alias("_at"))
+    series = W.partitionBy("field").orderBy("_at")
+    definition = F.struct("type", "required", F.array_sort("enum").alias("enum"))
+    rows = contracts.join(order, F.col("schema_version") == F.col("_version")).drop("_version").withColumn("_definition", definition)
+    follows = (F.lag("_at").over(series) == F.col("_at") - 1) & F.lag("_definition").over(series).eqNullSafe(F.col("_definition"))
+    return rows.withColumn("_new", F.when(follows, 0).otherwise(1)) \
+        .withColumn("nth", F.sum("_new").over(series.rowsBetween(W.unboundedPreceding, 0))).drop("_new", "_definition", "_at")
+
+
+def all_pairs(contracts: DataFrame) -> DataFrame:
+    """(old_version, new_version) of each version with every later one; a registry holds few versions."""
+    listed = contracts.agg(F.array_sort(F.collect_set("schema_version")).alias("v"))
+    return listed.select("v", F.posexplode("v").alias("_i", "old_version")).select(
+        "old_version", F.explode(F.slice("v", F.col("_i") + 2, F.size("v"))).alias("new_version"))
+
+
+def compare_any(contracts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Change rows of any version pairs, as :func:`compare` gives them, by way of the fields' lifetimes.
+
+    A version is a list of intervals, one per field. Two versions differ at most in the fields whose interval differs, so a pair
+    takes two lookups by version and a comparison of two lists; definitions are fetched for the differing intervals only.
+    """
+    islands = _islands(contracts)
+    whole = islands.groupBy("schema_version").agg(F.collect_list(F.struct("field", "nth")).alias("intervals"),
+                                                  F.map_from_entries(F.collect_list(F.struct("field", "position"))).alias("places"))
+    side = lambda version, name: whole.select(F.col("schema_version").alias(version), F.struct("intervals", "places").alias(name))
+    both = pairs.join(side("old_version", "_old"), "old_version", "left").join(side("new_version", "_new"), "new_version", "left")
+    old, new = (F.coalesce(F.col(s)["intervals"], F.array().cast("array<struct<field:string,nth:bigint>>")) for s in ("_old", "_new"))
+    both = both.withColumns({"_gone": F.array_except(old, new), "_come": F.array_except(new, old)})
+    names = F.array_distinct(F.concat(F.col("_gone")["field"], F.col("_come")["field"]))
+    nth = lambda side: F.try_element_at(F.filter(side, lambda x: x["field"] == F.col("field")), F.lit(1))["nth"]
+    place = lambda side: F.try_element_at(F.col(side)["places"], F.col("field"))
+    changed = both.withColumn("field", F.explode(names)).select(
+        "old_version", "new_version", "field", nth("_gone").alias("_o"), nth("_come").alias("_n"), place("_old").alias("_op"), place("_new").alias("_np"))
+    known = islands.groupBy("field", "nth").agg(*[F.any_value(c).alias(c) for c in ("type", "required", "enum")])
+    for number, position, name in (("_o", "_op", "o"), ("_n", "_np", "n")):
+        defined = known.select(F.col("field").alias("_f"), F.col("nth").alias("_k"), "type", "required", "enum")
+        changed = changed.join(defined, (F.col("field") == F.col("_f")) & (F.col(number) == F.col("_k")), "left").withColumn(
+            name, F.when(F.col("_f").isNotNull(), F.struct("type", "required", "enum", F.col(position).alias("position")))) \
+            .drop("_f", "_k", "type", "required", "enum")
+    return _changes(changed)
+
+
+def _changes(both: DataFrame) -> DataFrame:
+    """Change rows of (old_version, new_version, field, o, n), the field's definitions on both sides."""
     o, n, name = F.col("o"), F.col("n"), F.col("field")
     kept = o.isNotNull() & n.isNotNull()
     empty = F.array().cast("array<string>")
@@ -50,8 +133,6 @@ def compare(contracts: DataFrame, pairs: DataFrame) -> DataFrame:
     flag = lambda c: c.cast("string")
     shape = lambda c: F.to_json(F.struct(c["type"].alias("type"), c["required"].alias("required")))
     listed = lambda c: F.to_json(c)
-    quoted = F.concat(F.lit("'"), name, F.lit("'"))
-    arrow = F.concat(F.lit("("), o["type"], F.lit(" -> "), n["type"], F.lit(")"))
     none = F.lit(None).cast("string")
 
     def change(when: Column, phase: int, pos: Column, step: int, kind: str, old: Column, new: Column,
@@ -67,27 +148,21 @@ def compare(contracts: DataFrame, pairs: DataFrame) -> DataFrame:
     tightened = ~o["required"] & n["required"]
     changes = F.array_compact(F.array(
         change(n.isNull(), 1, o["position"], 0, "FIELD_REMOVED", shape(o), none, F.lit(True),
-               F.concat(F.lit("Removed "), F.when(o["required"], "required").otherwise("optional"),
-                        F.lit(" field "), quoted)),
+               F.when(o["required"], _worded("removed_required", name)).otherwise(_worded("removed_optional", name))),
         change(o.isNull(), 2, n["position"], 0, "FIELD_ADDED", none, shape(n), n["required"],
-               F.when(n["required"], F.concat(F.lit("Added required field "), quoted, F.lit(" without default")))
-               .otherwise(F.concat(F.lit("Added optional field "), quoted))),
+               F.when(n["required"], _worded("added_required", name)).otherwise(_worded("added_optional", name))),
         change(kept & (o["type"] != n["type"]), 3, o["position"], 1, "FIELD_TYPE_CHANGED",
                text(o["type"]), text(n["type"]), ~widened,
-               F.concat(F.when(widened, "Safe type promotion for field ")
-                        .otherwise("Incompatible type change for field "), quoted, F.lit(" "), arrow)),
+               F.when(widened, _worded("promoted", name, o["type"], n["type"])).otherwise(_worded("retyped", name, o["type"], n["type"]))),
         change(kept & (o["required"] != n["required"]), 3, o["position"], 2, "FIELD_REQUIRED_CHANGED",
                flag(o["required"]), flag(n["required"]), tightened,
-               F.concat(F.lit("Field "), quoted, F.when(tightened, " changed from optional to required")
-                        .otherwise(" relaxed from required to optional"))),
+               F.when(tightened, _worded("tightened", name)).otherwise(_worded("relaxed", name))),
         change(kept & has_enum & (F.size(gained) > 0), 3, o["position"], 3, "ENUM_VALUE_ADDED",
                listed(oe), listed(ne), F.lit(False),
-               F.concat(F.lit("Enum field "), quoted, F.lit(" expanded with new value(s): "),
-                        F.array_join(gained, ", "))),
+               _worded("enum_gained", name, F.array_join(gained, ", "))),
         change(kept & has_enum & (F.size(lost) > 0), 3, o["position"], 4, "ENUM_VALUE_REMOVED",
                listed(oe), listed(ne), F.lit(True),
-               F.concat(F.lit("Enum field "), quoted, F.lit(" removed value(s): "),
-                        F.array_join(lost, ", ")))))
+               _worded("enum_lost", name, F.array_join(lost, ", ")))))
     rows = both.select("old_version", "new_version", "field", F.explode(changes).alias("c")) \
         .select("old_version", "new_version", "field", "c.*")
     w = W.partitionBy("old_version", "new_version").orderBy("at", "field")
@@ -99,14 +174,10 @@ def verdicts(pairs: DataFrame, changes: DataFrame) -> DataFrame:
     counts = changes.groupBy("old_version", "new_version").agg(
         F.count(F.lit(1)).alias("changes"), F.count_if(F.col("classification") == BREAKING).alias("breaking"))
     v = pairs.join(counts, ["old_version", "new_version"], "left").na.fill(0, ["changes", "breaking"])
-    summary = (F.when(F.col("changes") == 0, F.format_string(
-        "Schema %s and %s are identical.", "old_version", "new_version"))
-        .when(F.col("breaking") == 0, F.format_string(
-            "Schema evolution from %s to %s is COMPATIBLE (%d change(s) detected).",
-            "old_version", "new_version", "changes"))
-        .otherwise(F.format_string(
-            "Schema evolution from %s to %s is BREAKING (%d breaking change(s) detected out of %d total).",
-            "old_version", "new_version", "breaking", "changes")))
+    old, new = F.col("old_version"), F.col("new_version")
+    summary = F.when(F.col("changes") == 0, _worded("identical", old, new)) \
+        .when(F.col("breaking") == 0, _worded("compatible", old, new, F.col("changes"))) \
+        .otherwise(_worded("breaking", old, new, F.col("breaking"), F.col("changes")))
     return v.withColumn("classification", F.when(F.col("breaking") > 0, BREAKING).otherwise(COMPATIBLE)) \
         .withColumn("summary", summary)
 

@@ -69,7 +69,8 @@ def arrivals(events: DataFrame, rates: FaultRates = RATES, seed: int = SEED,
     """The raw log: (partition, offset, arrived_at, source, fault_mode, value).
 
     Of 300 payloads about one is cut off in transit, one each is followed by
-    other text or by a second object, and three hold a number that does not fit.
+    other text or by a second object, or written with single quotes, and three
+    hold a number that does not fit.
     """
     dirty = corrupt(checkouts(events), rates, seed, block=block)
     value = F.col("value")
@@ -83,7 +84,7 @@ def arrivals(events: DataFrame, rates: FaultRates = RATES, seed: int = SEED,
         F.when(torn == 0, F.substr(value, F.lit(1), F.length(value) - 20))
         .when(torn == 1, F.concat(value, F.lit(" x"))).when(torn == 2, F.concat(value, value))
         .when(torn == 3, put("amount", "1e400")).when(torn == 4, put("amount", "12345678901234567890"))
-        .when(torn == 5, put("quantity", "5000000000")).otherwise(value).alias("value"))
+        .when(torn == 5, put("quantity", "5000000000")).when(torn == 6, F.translate(value, '"', "'")).otherwise(value).alias("value"))
 
 
 _LANDED: dict[tuple[str, str], str] = {}

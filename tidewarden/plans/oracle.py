@@ -63,7 +63,7 @@ def over_latency(select: str) -> str:
 
 
 def over_latency_at(select: str) -> str:
-    return over_raw(", " + LATENCY.replace("SELECT source, greatest", "SELECT source, arrived_at, greatest") + " " + select)
+    return over_raw(", " + LATENCY.replace("SELECT source, greatest", """SELECT source, "offset", arrived_at, greatest""") + " " + select)
 
 
 BREAKER = SLICES + f""",
@@ -449,6 +449,20 @@ ORACLE: dict[str, str] = {
         """SELECT payment_status, count(d) AS events, round(min(d), 4) AS min_ms, round(max(d), 4) AS max_ms
         FROM (SELECT payment_status, (epoch_us(ingestion_time) - epoch_us(event_time)) / 1000.0 AS d FROM bronze)
         GROUP BY 1"""),
+    "live_metrics": over_latency_at(
+        f""", placed AS (SELECT floor("offset" * 3 / ((SELECT max("offset") FROM raw) + 1))::bigint AS batch_id, latency FROM latency),
+        b AS (SELECT batch_id, le, count(*) FILTER (latency / 1000.0 <= le) AS cumulative
+          FROM placed, (SELECT unnest({metrics.CONSUMER_BOUNDS} || ['inf'::double])::double AS le) GROUP BY ALL),
+        e AS (SELECT *, coalesce(lag(cumulative) OVER w, 0) AS prev, coalesce(lag(le) OVER w, 0) AS lo,
+          max(cumulative) OVER (PARTITION BY batch_id) AS total FROM b WINDOW w AS (PARTITION BY batch_id ORDER BY le)),
+        f AS (SELECT *, q * total AS r FROM e, (VALUES (0.5::double), (0.95::double)) v(q)
+          WHERE cumulative >= q * total AND total > 0 QUALIFY row_number() OVER (PARTITION BY batch_id, q ORDER BY le) = 1),
+        p AS (SELECT batch_id, q, 1000 * CASE WHEN isinf(le) THEN lo WHEN cumulative = prev THEN le
+          ELSE lo + (le - lo) * (r - prev) / (cumulative - prev) END AS v FROM f),
+        n AS (SELECT floor("offset" * 3 / ((SELECT max("offset") FROM raw) + 1))::bigint AS batch_id, count(*) AS input_rows FROM raw GROUP BY 1)
+        SELECT batch_id, input_rows, (SELECT max(cumulative) FROM b WHERE b.batch_id = n.batch_id) AS timed_rows,
+          (SELECT round(v, 4) FROM p WHERE p.batch_id = n.batch_id AND q = 0.5::double) AS p50_ms,
+          (SELECT round(v, 4) FROM p WHERE p.batch_id = n.batch_id AND q = 0.95::double) AS p95_ms, 0::bigint AS behind FROM n"""),
     "lag_report": over_raw(
         f""", h AS (SELECT "partition", max("offset") + 1 AS high FROM raw GROUP BY 1),
         c AS (SELECT "partition", max("offset") + 1 AS committed FROM raw
@@ -549,6 +563,21 @@ ORACLE |= {
         CASE WHEN breaking THEN 'BREAKING' ELSE 'COMPATIBLE' END AS classification,
         CASE WHEN breaking THEN 'BREAKING' ELSE 'INFO' END AS severity, description,
         row_number() OVER (PARTITION BY old_version, new_version ORDER BY phase, field, step) AS seq FROM change_rows"""),
+    "field_lifetimes": over_daily(
+        """, ver AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM (SELECT DISTINCT schema_version AS v FROM daily)),
+        d AS (SELECT daily.*, i, lag(i) OVER w AS pi, lag(type) OVER w AS pt, lag(required) OVER w AS pr, lag(enum) OVER w AS pe
+          FROM daily JOIN ver ON v = schema_version WINDOW w AS (PARTITION BY field ORDER BY i)),
+        k AS (SELECT *, sum(CASE WHEN pi = i - 1 AND pt = type AND pr = required AND pe IS NOT DISTINCT FROM enum THEN 0 ELSE 1 END)
+          OVER (PARTITION BY field ORDER BY i)::bigint AS nth FROM d)
+        SELECT field, nth, min(schema_version) AS first_version, max(schema_version) AS last_version, count(*) AS versions,
+          any_value(type) AS type, any_value(required) AS required, array_to_string(any_value(enum), ',') AS enum FROM k GROUP BY field, nth"""),
+    "contract_changes_any": over_raw(", " + DAILY.replace("lag(v) OVER (ORDER BY v) AS old_version, v AS new_version", "a.v AS old_version, b.v AS new_version")
+        .replace("FROM (SELECT DISTINCT schema_version AS v FROM daily))", "FROM (SELECT DISTINCT schema_version AS v FROM daily) a "
+                 "JOIN (SELECT DISTINCT schema_version AS v FROM daily) b ON a.v < b.v)") +
+        """ SELECT old_version, new_version, field, change_type, old_value, new_value,
+        CASE WHEN breaking THEN 'BREAKING' ELSE 'COMPATIBLE' END AS classification,
+        CASE WHEN breaking THEN 'BREAKING' ELSE 'INFO' END AS severity, description,
+        row_number() OVER (PARTITION BY old_version, new_version ORDER BY phase, field, step) AS seq FROM change_rows"""),
     "contract_verdicts": over_daily(
         """, n AS (SELECT p.old_version, p.new_version, count(c.field) AS changes,
           count(*) FILTER (c.breaking) AS breaking FROM pairs p LEFT JOIN change_rows c
@@ -586,3 +615,5 @@ ORACLE |= {
           round(amount_n, 2) AS amount FROM good WHERE event_id NOT IN (SELECT event_id FROM landed)
         QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY "offset") = 1"""),
 }
+
+LIVE_METRICS = ORACLE.pop("live_metrics")   # of a stream only

@@ -138,7 +138,7 @@ raw AS (
          CASE {hx("md5(" + '"offset"' + " || '|torn')", 0)} % 300
               WHEN 0 THEN substr(whole, 1, length(whole) - 20) WHEN 1 THEN whole || ' x' WHEN 2 THEN whole || whole
               WHEN 3 THEN {_put('amount', '1e400')} WHEN 4 THEN {_put('amount', '12345678901234567890')}
-              WHEN 5 THEN {_put('quantity', '5000000000')} ELSE whole END AS value
+              WHEN 5 THEN {_put('quantity', '5000000000')} WHEN 6 THEN replace(whole, '"', '''') ELSE whole END AS value
   FROM dirty)"""
 
 

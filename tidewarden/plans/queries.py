@@ -629,6 +629,18 @@ def contract_changes(spark, sf):
     return compatibility.compare(daily, compatibility.consecutive_pairs(daily))
 
 
+@query
+def field_lifetimes(spark, sf):
+    return compatibility.lifetimes(daily_contracts(spark, sf)).withColumn("enum", F.array_join("enum", ","))
+
+
+@query
+def contract_changes_any(spark, sf):
+    """Changes between each day and every later one."""
+    daily = daily_contracts(spark, sf)
+    return compatibility.compare_any(daily, compatibility.all_pairs(daily))
+
+
 @query
 def contract_verdicts(spark, sf):
     daily = daily_contracts(spark, sf)

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewarden.functions import times
 from tidewarden.operators import quality
+from tidewarden.operators.ingest import decode
 from tidewarden.plans import oracle
 from tidewarden.plans.feed import raw_log
 from tidewarden.plans.queries import BREAKER, HOUR, OPTIONS, ROWS, printable
 from tidewarden.session import shared_dir
 from tidewarden.sources import sinks, streams
-from tidewarden.streaming import gate, ingest, routing
+from tidewarden.streaming import gate, ingest, live, routing
 
 LOG = ["partition", "offset", "arrived_at", "value"]
 SLICES = 3
@@ -137,12 +139,30 @@ def stream_error_rate_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{box}/out").where(F.col("source") != HEARTBEAT).withColumn("error_rate", F.round("error_rate", 6))
 
 
+def stream_live_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, latency quantiles and backlog of each batch of a bronze ingest that watches itself."""
+    box, progress = shared_dir(spark, "stream-live"), []
+
+    def start(source):
+        timed = decode(source, ["event_time"]).select("*", times.latency_ms(F.col("arrived_at"), times.prefix_time(F.col("event.event_time"))).alias("latency"))
+        writer = live.observed(timed, "latency").select("partition", "offset", "latency").writeStream.format("parquet") \
+            .option("path", f"{box}/out").option("checkpointLocation", f"{box}/checkpoint")
+        query = ingest.triggered(writer, once=True).start()
+        query.awaitTermination()
+        progress.extend(query.recentProgress)
+        return query
+    arriving(spark, sf_dir, box, start)
+    out = live.table(spark, progress)
+    return out.select("batch_id", "input_rows", "timed_rows", F.round("p50_ms", 4).alias("p50_ms"), F.round("p95_ms", 4).alias("p95_ms"), "behind")
+
+
 STREAMS = {f.__name__: f for f in (stream_bronze, stream_silver, stream_quarantine, stream_dead_letters, stream_audit, stream_breaker_states,
                                    stream_incidents, stream_alerts, stream_control_signals, stream_gated, stream_released,
-                                   stream_error_rate_sliding)}
+                                   stream_error_rate_sliding, stream_live_metrics)}
 STREAM_ORACLE = {"stream_bronze": oracle.ORACLE["bronze_ingest"], "stream_silver": oracle.ORACLE["silver_rows"],
                  "stream_quarantine": oracle.ORACLE["quarantine_rows"], "stream_dead_letters": oracle.ORACLE["dead_letters"],
                  "stream_audit": oracle.ORACLE["audit_rows"], "stream_breaker_states": oracle.ORACLE["breaker_states"],
                  "stream_incidents": oracle.ORACLE["incidents"], "stream_alerts": oracle.ORACLE["alert_feed"],
                  "stream_control_signals": oracle.ORACLE["control_signals"], "stream_gated": oracle.ORACLE["gated_events"],
-                 "stream_released": oracle.ORACLE["released_events"], "stream_error_rate_sliding": oracle.ORACLE["error_rate_sliding"]}
+                 "stream_released": oracle.ORACLE["released_events"], "stream_error_rate_sliding": oracle.ORACLE["error_rate_sliding"],
+                 "stream_live_metrics": oracle.LIVE_METRICS}
