@@ -214,3 +214,18 @@ def test_enums_have_no_size_limit(spark):
     by_field = {r.field: r for r in got}
     assert len(by_field["payment_method"]["enum"]) == 1001 and by_field["device"]["enum"] is None
     assert all(r.required for r in got)
+
+
+def _scans(df):
+    return str(df._jdf.queryExecution().executedPlan().toString()).count("FileScan")
+
+
+def test_payloads_are_read_and_parsed_once(spark):
+    """The plan of all rules reads the log once and the flagged positions once; replay reads two more narrow or filtered tables."""
+    from conftest import SF
+
+    from tidewarden.plans import queries as Q
+    df = Q.event_failures(spark, SF)
+    assert _scans(df) <= 2
+    assert str(df._jdf.queryExecution().optimizedPlan().toString()).count("from_json") <= 2
+    assert _scans(Q.replayed_events(spark, SF)) <= 4

@@ -21,6 +21,7 @@ from tidewarden.functions.times import prefix_time
 from tidewarden.operators.dedupe import flag_duplicates
 from tidewarden.operators.ingest import money
 from tidewarden.operators.ordered import BLOCK, running_max_before
+from tidewarden.session import settled
 
 # Variant type names each contract type accepts, as a condition on {s}.
 # A number without a fraction is an integer; an integer is a valid float.
@@ -216,9 +217,11 @@ def is_late(mark: Column, options: RuleOptions = RuleOptions()) -> Column:
 
 
 def context_failures(raw: DataFrame, options: RuleOptions) -> DataFrame:
-    """(partition, offset, is_late, is_duplicate) of the rows that have either,
-    found on a narrow projection of the log."""
-    narrow = positions(raw, options)
+    """(partition, offset, is_late, is_duplicate) of the rows that have either.
+
+    The log's payloads are read once, for a narrow table of positions that is written down; all else reads that table.
+    """
+    narrow = settled(positions(raw, options), "positions")
     late = (with_marks(narrow, options).where(is_late(F.col("mark"), options))
             .select("partition", "offset", F.lit(True).alias("is_late"), F.lit(False).alias("is_duplicate")))
     again = (flag_duplicates(narrow, "event_id", list(options.dedupe_order)).where("is_duplicate")
@@ -230,9 +233,10 @@ def context_failures(raw: DataFrame, options: RuleOptions) -> DataFrame:
 def assess(raw: DataFrame, contract_rows: list[tuple], options: RuleOptions = RuleOptions()) -> DataFrame:
     """All rules: :func:`check` plus lateness and duplicates.
 
-    The flagged positions join back on (partition, offset), a unique key.
+    The flagged positions, written down as well, join back on (partition, offset), a unique key. The plan that is returned
+    reads the payloads once, and parses them once; while the flagged rows are few, Spark sends them to the payloads.
     """
-    flags = context_failures(raw, options)
+    flags = settled(context_failures(raw, options), "flags")
     checked = check(raw, contract_rows, options)
     joined = checked.join(flags, ["partition", "offset"], "left")
     extra = F.array_compact(F.array(F.when(F.col("is_late"), F.lit("LATE_EVENT")),

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewarden.operators.dedupe import keep_first, not_landed
+from tidewarden.operators.dedupe import ARRIVAL, keep_first, not_landed
 from tidewarden.operators.quality import RuleOptions, check, silver_rows
+from tidewarden.session import settled
 
 
 def unquote_number(payload: Column, name: str) -> Column:
@@ -46,12 +47,15 @@ def replay(quarantined: DataFrame, landed: DataFrame, contract_rows: list[tuple]
            order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(events to land, events still rejected).
 
-    Only ids that have not landed yet are landed, each once.
+    Only ids that have not landed yet are landed, each once. Which ones is found on ids and positions, written down on the
+    way; payloads are only filtered by position.
     """
     checked = recheck(quarantined, contract_rows, fix, options)
     good = checked.where(F.size("failures") == 0)
-    fresh = not_landed(keep_first(good, order=order), landed)
-    return fresh, checked.where(F.size("failures") > 0)
+    place = ["partition", "offset"]
+    ids = settled(good.select(*dict.fromkeys([*place, "event_id", *(order or ARRIVAL)])), "replay-ids")
+    first = settled(not_landed(keep_first(ids, order=order), landed).select(*place), "replay-fresh")
+    return good.join(first, place, "left_semi"), checked.where(F.size("failures") > 0)
 
 
 def replayed_silver(fresh: DataFrame, processed_at: Column | None = None) -> DataFrame:

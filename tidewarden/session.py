@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on. Sizes are left to the cluster; AQE picks
 # the shuffle width at run time from the initial partition count.
@@ -46,3 +46,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"tidewarden-{name}-")
     return os.path.join(root, f"{name}-{os.urandom(8).hex()}")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to the shared folder and read from there.
+
+    For narrow results that a plan needs in several places: it is computed once, whatever the plan, and what a lost
+    executor held is read again.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
