@@ -307,9 +307,9 @@ ORACLE: dict[str, str] = {
         FROM (SELECT source, abs(amount_n - round(quantity_n * price_n, 2)) >= 0.001 AS d FROM judged) GROUP BY 1"""),
     "duplicates_flagged": over_raw(
         f""", {IDS} SELECT "offset", event_id, event_id IS NOT NULL
-        AND row_number() OVER (PARTITION BY event_id ORDER BY "offset") > 1 AS is_duplicate FROM ids"""),
+        AND row_number() OVER (PARTITION BY event_id ORDER BY arrived_at, "partition", "offset") > 1 AS is_duplicate FROM ids"""),
     "first_arrivals": over_raw(
-        f""", {IDS} SELECT "offset", event_id, value FROM ids QUALIFY event_id IS NULL OR row_number() OVER (PARTITION BY event_id ORDER BY "offset") = 1"""),
+        f""", {IDS} SELECT "offset", event_id, value FROM ids QUALIFY event_id IS NULL OR row_number() OVER (PARTITION BY event_id ORDER BY arrived_at, "partition", "offset") = 1"""),
     "lineitem_first_per_line":
         f"""SELECT l_orderkey || '-' || l_linenumber AS line_id, {stamp('l_shipdate')} AS l_shipdate, l_partkey,
         l_suppkey, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
@@ -334,7 +334,7 @@ ORACLE: dict[str, str] = {
         f"""SELECT source, "offset", {stamp('arrived_at')} AS arrived_at FROM raw
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY "offset" DESC) <= 1000"""),
     "probe_sample": over_raw(
-        """SELECT source, "offset" FROM raw QUALIFY row_number() OVER (PARTITION BY source ORDER BY "offset") <= 50"""),
+        """SELECT source, "offset" FROM raw QUALIFY row_number() OVER (PARTITION BY source ORDER BY arrived_at, "partition", "offset") <= 50"""),
     "error_rate_tumbling": over_judged(
         f"""SELECT source, floor(epoch_us(arrived_at) / {6 * H}000000)::bigint * {6 * H} AS window_start,
         count(*) AS total, count(*) FILTER (bad) AS bad, round(count(*) FILTER (bad) / count(*), 6) AS error_rate
@@ -613,7 +613,7 @@ ORACLE |= {
           OR (fault_mode = 'TYPE_CHANGE' AND t % 3 <> 2) OR (fault_mode = 'SCHEMA_DRIFT' AND t % 3 <> 1)))
         SELECT event_id, "offset", coalesce(value ->> '$.customer_id', value ->> '$.client_id') AS customer_id,
           round(amount_n, 2) AS amount FROM good WHERE event_id NOT IN (SELECT event_id FROM landed)
-        QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY "offset") = 1"""),
+        QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrived_at, "partition", "offset") = 1"""),
 }
 
 LIVE_METRICS = ORACLE.pop("live_metrics")   # of a stream only

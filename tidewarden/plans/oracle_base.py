@@ -190,7 +190,7 @@ timing AS (
     event_ts < max(CASE WHEN event_ts <= arrived_at + INTERVAL 5 MINUTE THEN event_ts END) OVER (
       PARTITION BY "partition" ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
       - INTERVAL 5 SECOND AS late,
-    event_id IS NOT NULL AND row_number() OVER (PARTITION BY event_id ORDER BY "offset") > 1 AS again
+    event_id IS NOT NULL AND row_number() OVER (PARTITION BY event_id ORDER BY arrived_at, "partition", "offset") > 1 AS again
   FROM docs),
 flags AS (
   SELECT r.*, d.* EXCLUDE ("partition", "offset", arrived_at, source, fault_mode, t, value),

@@ -25,7 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 ROWS = registry.document_rows(registry.checkout_documents())
-OPTIONS = quality.RuleOptions(dedupe_order=("offset",))
+OPTIONS = quality.RuleOptions()
+ORDER = list(OPTIONS.dedupe_order)      # offsets repeat between the partitions of a log
 HOUR = 3600
 # The log is thin (minutes between events), so windows are hours here.
 BREAKER = breaker.BreakerOptions(step=HOUR, window=6 * HOUR, threshold=0.05, min_events=20,
@@ -221,14 +222,14 @@ def amount_check(spark, sf):
 
 @query
 def duplicates_flagged(spark, sf):
-    e = ingest.decode(raw_log(spark, sf), ["event_id"]).select("partition", "offset", "event.event_id")
-    return dedupe.flag_duplicates(e, "event_id", ["offset"]).select("offset", "event_id", "is_duplicate")
+    e = ingest.decode(raw_log(spark, sf), ["event_id"]).select("partition", "offset", "arrived_at", "event.event_id")
+    return dedupe.flag_duplicates(e, "event_id", ORDER).select("offset", "event_id", "is_duplicate")
 
 
 @query
 def first_arrivals(spark, sf):
-    e = ingest.decode(raw_log(spark, sf), ["event_id"]).select("offset", "event.*", "value")
-    return dedupe.keep_first(e, "event_id", ["offset"])
+    e = ingest.decode(raw_log(spark, sf), ["event_id"]).select("partition", "offset", "arrived_at", "event.*", "value")
+    return dedupe.keep_first(e, "event_id", ORDER).select("offset", "event_id", "value")
 
 
 @query
@@ -278,8 +279,8 @@ def newest_samples(spark, sf):
 
 @query
 def probe_sample(spark, sf):
-    raw = raw_log(spark, sf).select("source", "offset")
-    return breaker.probe_sample(raw, ["source"], ["offset"], 50)
+    raw = raw_log(spark, sf).select("source", *ORDER)
+    return breaker.probe_sample(raw, ["source"], ORDER, 50).select("source", "offset")
 
 
 # --- error rates, breaker, incidents ---------------------------------------------
@@ -686,5 +687,5 @@ def replayed_events(spark, sf):
     rejected = a.where(quality.route() == "invalid").withColumnRenamed("value", "raw_payload") \
         .select("partition", "offset", "arrived_at", "raw_payload")
     landed = a.where(F.size("failures") == 0).select("event_id")
-    fresh, _ = replay.replay(rejected, landed, ROWS, order=["offset"])
+    fresh, _ = replay.replay(rejected, landed, ROWS, order=ORDER)
     return fresh.select("event_id", "offset", "customer_id", F.round(F.col("amount").cast("double"), 2).alias("amount"))
