@@ -437,6 +437,30 @@ def test_what_ends_a_head():
     assert found("<head><title>T</title> <style>p{}</style>\n<link href=x></head><p>one") == ["one"]
 
 
+@pytest.mark.parametrize("open_tag", ["<noscript>x", "<iframe src=x>", "<object data=x>y", "<svg>", "<button>", "<title>", "<select>",
+                                      "<noscript><div>no script</div></noscript><NOSCRIPT>", "<svg/>", "<iframe src=x />"])
+def test_what_never_ends_hides_no_text(open_tag):
+    page = f"<body>{open_tag}<article><h1>Name</h1><p>One two three.</p><p>Four five six.</p></article>"
+    assert html.main_text(page, html.trained()).endswith("Name\nOne two three.\nFour five six.")
+
+
+def test_fallbacks_end_where_the_page_goes_on():
+    found = [t for t, _, _ in html.blocks("<object><p>no plugin</p><article><p>One.</p></article></object><noscript><p>none</p></noscript>")]
+    assert found == ["One."]
+
+
+@pytest.mark.parametrize("tail", ["<!-- x <p>hidden", "<!-- a --><p>Two.</p><!-- b -- > c <p>hidden"])
+def test_a_comment_without_an_end_is_no_text(tail):
+    text = html.main_text(f"<article><p>One of the words.</p>{tail}", html.trained())
+    assert text.startswith("One of the words.") and "hidden" not in text and "<" not in text and "--" not in text
+    assert [t for t, _, _ in html.blocks("<p>a</p><script><!-- x()</script><p>b</p><style><!-- p{}</style><p>c")] == ["a", "b", "c"]
+
+
+def test_buttons_are_no_text():
+    page = "<article><p>One two three.</p><button>Buy now</button><p>Four <button type=x>go</button>five six.</p></article>"
+    assert html.main_text(page, html.trained()) == "One two three.\nFour five six."
+
+
 def test_formulas_are_text():
     page = ("<article><p>Here <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow>"
             "<annotation encoding='application/x-tex'>x=2</annotation></semantics></math> holds.</p></article>")

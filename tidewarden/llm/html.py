@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -21,9 +22,11 @@ from tidewarden.llm.common import text_of
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object svg title textarea select datalist annotation "
+UNSEEN = frozenset("head script style template noscript iframe object svg title textarea select button datalist annotation "
                    "annotation-xml mphantom".split())
 HEAD_HOLDS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())   # all else ends it
+FALLBACKS = ("noscript", "iframe", "object")
+PAGE_PARTS = frozenset("body article main header footer nav".split())   # never part of a fallback: what is still open ends
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt "
                    "ruby s samp small span strike strong sub sup time tt u var wbr br "
                    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mprescripts mroot mrow ms "
@@ -50,6 +53,8 @@ HINTS = {   # what class, id and role values say
     "share": "share|social|follow|tags|author|byline|meta",
     "main": "article|content|post|entry|story|main|body|text|prose"}
 _WORDS = {word: hint for hint, words in HINTS.items() for word in words.split("|")}
+_END_TAGS = re.compile(r"</([A-Za-z][A-Za-z0-9-]*)")
+_MARKS = re.compile(r"<!--|-->|</?(?:script|style)\b", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -64,8 +69,9 @@ def _hints(attrs) -> set[str]:
 class _Blocks(HTMLParser):
     """Collects leaf blocks: (text, share of it in links, features of the ancestors)."""
 
-    def __init__(self):
+    def __init__(self, html: str = ""):
         super().__init__(convert_charrefs=True)
+        self.ends = Counter(name.lower() for name in _END_TAGS.findall(html))    # end tags still to come
         self.blocks: list[tuple[str, float, frozenset[str]]] = []
         self.open: list[tuple[str, frozenset[str], str]] = []   # tag, features up to here, nearest holder
         self.held: dict[str, int] = {}                          # how often each tag is open
@@ -92,6 +98,12 @@ class _Blocks(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if self.held.get("head") and (tag == "body" or self._in_head() and tag not in HEAD_HOLDS):
             self._close("head")
+        for name in FALLBACKS if tag in PAGE_PARTS else ():
+            if self.held.get(name):
+                self._close(name)
+        if tag in UNSEEN and tag not in ("head", *self.CDATA_CONTENT_ELEMENTS) and self.ends[tag] <= 0:
+            self.flush()   # it never ends: what follows is seen
+            return
         if tag in SPACED:
             self.parts.append(" ")
         if tag in VOID:
@@ -115,8 +127,11 @@ class _Blocks(HTMLParser):
         self._count(tag, 1)
 
     def handle_startendtag(self, tag, attrs):
+        self.ends[tag] += 1
         self.handle_starttag(tag, attrs)
-        if tag not in VOID:
+        if tag in VOID:
+            self.ends[tag] -= 1
+        else:
             self.handle_endtag(tag)
 
     def _leaf(self) -> str:
@@ -134,6 +149,7 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_endtag(self, tag):
+        self.ends[tag] -= 1
         if tag not in INLINE and tag not in UNSEEN:
             self.flush()
         if self.held.get(tag):
@@ -149,8 +165,24 @@ class _Blocks(HTMLParser):
             self.linked += len(data.strip())
 
 
+def _without_open_comment(html: str) -> str:
+    """The page up to a comment that never ends, which hides the rest; inside a script or style there are no comments."""
+    inside, at = "", 0
+    for mark in _MARKS.finditer(html):
+        found = mark.group().lower()
+        if inside:
+            if found == inside:
+                inside = ""
+        elif found == "<!--":
+            inside, at = "-->", mark.start()
+        elif found in ("<script", "<style"):
+            inside = "</" + found[1:]
+    return html[:at] if inside == "-->" else html
+
+
 def blocks(html: str) -> list[tuple[str, float, frozenset[str]]]:
-    parser = _Blocks()
+    html = _without_open_comment(html)
+    parser = _Blocks(html)
     parser.feed(html)
     parser.close()
     parser.flush()
