@@ -212,8 +212,10 @@ def payload_entries(raw: DataFrame, keep: list[Column], whole: bool = False) ->
     entries = entries.withColumn("schema_version", value_text(F.try_element_at("_m", F.lit("source_version"))))
     names = [c for c in entries.columns if c != "_m"]
     listed = F.map_entries("_m")
-    newest = F.filter(listed, lambda e, i: F.array_position(
+    last = F.filter(listed, lambda e, i: F.array_position(
         F.transform(F.slice(listed, i + 2, F.size(listed)), lambda x: x["key"]), e["key"]) == 0)
+    keys = F.map_keys("_m")
+    newest = F.when(F.size(F.array_distinct(keys)) == F.size(keys), listed).otherwise(last)   # repeated keys are rare
     if whole:
         newest = F.concat(newest, F.array(F.struct(F.lit(None).cast("string").alias("key"),
                                                    F.lit(None).cast("variant").alias("value"))))

@@ -211,8 +211,8 @@ def _histogram(bounds: list[float], group: str = "") -> str:
 
 RULE_ROWS = ", ".join(f"('{c}', '{s}')" for c, s in model.RULES.items())
 MODE_ROWS = ", ".join(f"('{m}', {float(r)})" for m, r in RATES.resolved().items())
-CUT = "TIMESTAMP '2024-01-16'"
 MIDDLE = f"(SELECT floor((epoch_us(min(arrived_at)) + epoch_us(max(arrived_at))) / {2 * H}000000)::bigint * {H} FROM raw)"
+CUT = f"(SELECT make_timestamp({MIDDLE} * 1000000))"
 IDS = """ids AS (SELECT "partition", "offset", arrived_at, source, value,
   CASE WHEN json_valid(value) THEN value ->> '$.event_id' END AS event_id,
   CASE WHEN json_valid(value) THEN value ->> '$.amount' END AS amount FROM raw)"""
@@ -264,6 +264,12 @@ ORACLE: dict[str, str] = {
     "mixed_stream_counts": over_raw(
         """SELECT "partition", CASE WHEN fault_mode IS NULL THEN 'clean' ELSE 'faulty' END AS kind,
         count(*) AS events FROM raw GROUP BY ALL"""),
+    "snapshot_list": over_raw(
+        """ SELECT floor("offset" * 3 / ((SELECT max("offset") FROM raw) + 1))::bigint AS batch_id, count(*) AS "rows" FROM raw GROUP BY 1"""),
+    "snapshot_rows": over_raw(
+        """, b AS (SELECT floor("offset" * 3 / ((SELECT max("offset") FROM raw) + 1))::int AS batch_id, "partition", "offset", value FROM raw)
+        SELECT * FROM b WHERE batch_id <= 1"""),
+    "text_lines": over_raw("SELECT value FROM raw"),
     "event_failures": over_judged(
         """SELECT "partition", "offset", event_id, route, failure_reason, failure_type,
         round(quality_score, 6) AS quality_score FROM judged"""),
@@ -364,7 +370,7 @@ ORACLE: dict[str, str] = {
         at_text AS issued_at, state_before || '->' || state AS reason FROM changes"""),
     "incident_context": over_breaker(
         """SELECT source, at_text AS opened_at, incident_id, state_before AS from_state, state AS to_state,
-        seen AS total, failed AS bad, total AS slice_total, changes.bad AS slice_bad FROM changes"""),
+        seen AS total, failed AS bad, round(failed / seen, 6) AS error_rate, total AS slice_total, changes.bad AS slice_bad FROM changes"""),
     "gated_events": over_breaker(
         f"""SELECT a.source, a."offset", CASE s.state_before WHEN 'OPEN' THEN 'divert' WHEN 'HALF_OPEN' THEN 'probe'
         ELSE 'pass' END AS gate FROM assessed a JOIN states s ON a.source = s.source
@@ -617,3 +623,4 @@ ORACLE |= {
 }
 
 LIVE_METRICS = ORACLE.pop("live_metrics")   # of a stream only
+ORACLE["stored_by_day"] = ORACLE["bronze_ingest"]

@@ -19,7 +19,8 @@ from tidewarden.functions.draws import digest, draw
 from tidewarden.operators import (breaker, chaos, compatibility, dedupe, ingest, metrics, ordered,
                                   quality, replay, windows)
 from tidewarden.plans.feed import RATES, checkouts, raw_log, table
-from tidewarden.sources import contracts as registry
+from tidewarden.session import settled, shared_dir
+from tidewarden.sources import contracts as registry, sinks, streams as sinks_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,6 +133,47 @@ def mixed_stream_counts(spark, sf):
     return clean.unionByName(faulty).groupBy("partition", "kind").agg(F.count(F.lit(1)).alias("events"))
 
 
+# --- sinks ---------------------------------------------------------------------
+
+@query
+def stored_by_day(spark, sf):
+    """Bronze written in day partitions by two appends, the first day compacted into one file, and read back."""
+    path, rows = shared_dir(spark, "by-day"), bronze(spark, sf).withColumn("_half", F.pmod(F.xxhash64("event_id"), F.lit(2)))
+    for half in (0, 1):
+        sinks.write_by_day(rows.where(F.col("_half") == half).drop("_half"), path, "ingestion_time")
+    first = spark.read.parquet(path).agg(F.date_format(F.min("day"), "yyyy-MM-dd")).first()[0]
+    sinks.compact_day(spark, path, first, 1, shared_dir(spark, "by-day-staging"))
+    return printable(spark.read.parquet(path).drop("day"))
+
+
+def ledgered(spark, sf) -> str:
+    """The log as a table of three committed batches, in the order of its offsets; the second one was written twice."""
+    path, raw = shared_dir(spark, "ledgered"), raw_log(spark, sf)
+    nth = F.floor(F.col("offset") * 3 / (raw.agg(F.max("offset")).scalar() + 1))
+    for batch in (0, 1, 1, 2):
+        sinks.write_batch(raw.where(nth == batch).select("partition", "offset", "value"), path, batch)
+    return path
+
+
+@query
+def snapshot_list(spark, sf):
+    return sinks.snapshots(spark, ledgered(spark, sf)).select("batch_id", "rows")
+
+
+@query
+def snapshot_rows(spark, sf):
+    """The table as of its second snapshot."""
+    return sinks.read_table(spark, ledgered(spark, sf), as_of=1).select("batch_id", "partition", "offset", "value")
+
+
+@query
+def text_lines(spark, sf):
+    """Payloads written as text lines and read back."""
+    path = shared_dir(spark, "text-lines")
+    sinks_streams.write_text(raw_log(spark, sf), path)
+    return spark.read.text(path).select("value")
+
+
 # --- rules and routes -----------------------------------------------------------
 
 @query
@@ -250,10 +292,10 @@ def lineitem_duplicate_count(spark, sf):
 
 @query
 def new_since_landed(spark, sf):
-    """Second half of the log against the ids landed by the first half."""
+    """What arrives after the middle of the log against the ids landed before."""
     e = ingest.decode(raw_log(spark, sf), ["event_id"]).select("offset", "arrived_at", "event.event_id") \
         .where(F.col("event_id").isNotNull())
-    cut = F.lit("2024-01-16").cast("timestamp")
+    cut = F.timestamp_seconds(middle(raw_log(spark, sf)))
     landed = e.where(F.col("arrived_at") < cut).select("event_id").distinct()
     return dedupe.not_landed(e.where(F.col("arrived_at") >= cut), landed).select("event_id", "offset")
 
@@ -329,7 +371,7 @@ def control_signals(spark, sf):
 def incident_context(spark, sf):
     sliced = failed_slices(spark, sf)
     rows = breaker.incidents(breaker.breaker_states(sliced, BREAKER))
-    return printable(breaker.incident_context(rows, sliced).drop("error_rate"))
+    return printable(breaker.incident_context(rows, sliced).withColumn("error_rate", F.round("error_rate", 6)))
 
 
 @query
@@ -613,8 +655,9 @@ def extracted_digits(spark, sf):
 # --- contracts ---------------------------------------------------------------------
 
 def daily_contracts(spark, sf) -> DataFrame:
+    """Written down, a row per day and field, as the comparison of versions needs it several times."""
     day = F.date_format("arrived_at", "yyyy-MM-dd")
-    return compatibility.observed_contracts(raw_log(spark, sf), day, ["payment_method", "payment_status"])
+    return settled(compatibility.observed_contracts(raw_log(spark, sf), day, ["payment_method", "payment_status"]), "daily-contracts")
 
 
 @query
