@@ -727,8 +727,8 @@ def contract_lint(spark, sf):
 @query
 def replayed_events(spark, sf):
     a = assessed(spark, sf)
-    rejected = a.where(quality.route() == "invalid").withColumnRenamed("value", "raw_payload") \
-        .select("partition", "offset", "arrived_at", "raw_payload")
+    rejected = settled(a.where(quality.route() == "invalid").withColumnRenamed("value", "raw_payload")
+                       .select("partition", "offset", "arrived_at", "raw_payload"), "quarantined")   # as a quarantine table holds them
     landed = a.where(F.size("failures") == 0).select("event_id")
     fresh, _ = replay.replay(rejected, landed, ROWS, order=ORDER)
     return fresh.select("event_id", "offset", "customer_id", F.round(F.col("amount").cast("double"), 2).alias("amount"))
