@@ -19,7 +19,6 @@ from tidewarden.streaming import gate, ingest, live, routing
 
 LOG = ["partition", "offset", "arrived_at", "value"]
 SLICES = 3
-DEDUPE_HOURS = 24 * 62     # the whole span of the test log
 _ROUTED: dict[tuple[str, str], str] = {}
 
 
@@ -48,7 +47,9 @@ def routed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ROUTED:
         box = shared_dir(spark, "stream-routes")
-        router = routing.StreamRouter(f"{box}/out", ROWS, OPTIONS, dedupe_hours=DEDUPE_HOURS, clock=lambda: F.col("arrived_at"))
+        us = F.unix_micros("arrived_at")   # copies are found over the log's whole span, as the batch queries do
+        hours = raw_log(spark, sf_dir).agg(F.ceil((F.max(us) - F.min(us)) / (HOUR * 1_000_000)).cast("int")).first()[0]
+        router = routing.StreamRouter(f"{box}/out", ROWS, OPTIONS, dedupe_hours=(hours or 0) + 1, clock=lambda: F.col("arrived_at"))
         arriving(spark, sf_dir, box, lambda source: routing.start_routing(source, router, f"{box}/checkpoint", once=True))
         _ROUTED[key] = box
     return printable(sinks.read_table(spark, f"{_ROUTED[key]}/out/{name}").drop("batch_id"))
