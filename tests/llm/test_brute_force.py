@@ -9,6 +9,7 @@ from itertools import permutations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from awkward_inputs import SF
@@ -225,10 +226,13 @@ def near_copies(n, seed=1):
     return out
 
 
+@pytest.mark.parametrize("small", [512, 16])
 @pytest.mark.parametrize("rounds", [24, 1])
-def test_large_groups_of_near_copies(spark, monkeypatch, rounds):
-    """Far more members than a small node holds; with one round, all of them by the exhaustive blocks."""
+def test_large_groups_of_near_copies(spark, monkeypatch, rounds, small):
+    """Far more members than a small node of 16 holds; with one round, all of them by the exhaustive blocks."""
     monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "BLOCK", small)
     texts = near_copies(150)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     _, want = plain_components(texts)
@@ -254,7 +258,7 @@ def loosely_alike(n, planted, loose, seed, size=300):
 
 
 def met_in_tree(tokens, pairs, tree):
-    """The pairs that one tree brings together, in a small node or as a centre; rounds as in ``candidates``."""
+    """The pairs that one tree brings together in a small node; rounds as in ``candidates``, without what blocks find."""
     other = {a: b for p in pairs for a, b in (p, p[::-1])}
     root = shingles.mix(np.array([tree + 1], np.uint64))
     node, row = neardup.branch(np.repeat(root, len(tokens)), np.arange(len(tokens)), tokens, neardup.LEVELS)
@@ -267,7 +271,7 @@ def met_in_tree(tokens, pairs, tree):
             here = row[part].tolist()
             large[part] = len(here) > neardup.SMALL
             inside = set(here)
-            met.update(tuple(sorted((r, other[r]))) for r in (here[:1] if large[part[0]] else here) if other.get(r) in inside)
+            met.update(tuple(sorted((r, other[r]))) for r in ([] if large[part[0]] else here) if other.get(r) in inside)
         node, row = neardup.branch(node[large], row[large], tokens, neardup.MORE)
     return met
 
@@ -280,6 +284,29 @@ def test_recall_in_a_group_of_loosely_similar_sets(loose):
     assert len(found) >= neardup.RECALL * len(pairs)
 
 
+def test_open_pairs_are_those_of_different_components():
+    tokens, _ = loosely_alike(60, 30, 0.8, seed=2)
+    rng = np.random.default_rng(3)
+    n, hub = rng.integers(280, 320, len(tokens)), rng.integers(0, 5, len(tokens)) ** 2
+    got = sorted((*sorted((int(i), int(j))), float(s)) for i, others, share in neardup._open_pairs(n, hub, tokens, 0.8, 85)
+                 for j, s in zip(others, share))
+    want = [(i, j, float((tokens[i] == tokens[j]).mean())) for i in range(len(n)) for j in range(i + 1, len(n))
+            if hub[i] != hub[j] and 100 * min(n[i], n[j]) >= 85 * max(n[i], n[j]) and (tokens[i] == tokens[j]).mean() >= 0.8]
+    assert got == want and want
+
+
+def test_nodes_that_span_batches_stay_whole():
+    node, vid = np.repeat([7, 9, 12], [5, 1, 300]), np.arange(306)
+    tokens = np.random.default_rng(1).integers(0, 9, (306, neardup.TOKENS)).astype("<u2")
+    whole = pa.RecordBatch.from_arrays([pa.array(node), pa.array(vid), pa.array(vid), pa.array(vid),
+                                        pa.array([t.tobytes() for t in tokens], pa.binary())], names=list("abcde"))
+    for step in (1, 3, 100, 400):
+        parts = list(neardup._nodes(whole.slice(at, step) for at in range(0, 306, step)))
+        assert [len(p[0]) for p in parts] == [5, 1, 300]
+        assert np.array_equal(np.concatenate([p[0] for p in parts]), vid)
+        assert np.array_equal(np.concatenate([p[3] for p in parts]), tokens)
+
+
 def test_shingles_are_the_plain_sets(texts):
     for text in [*list(texts.values())[:40], "", " ", "One", "one  TWO", "É é ß", "a b c d", "a b c d e"]:
         assert len(shingles.shingles(text)) == len(plain_set(text))

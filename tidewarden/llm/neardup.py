@@ -3,10 +3,10 @@
 Equal shingle sets become one class first. Each class has minwise tokens of its set. A tree branches classes from its
 root: a node chooses one or two of the tokens (1/threshold of them on average) by a hash of its path, and a class goes
 to one child per chosen token, named by the token's value. Similar sets share children again and again, others part
-soon. Nodes of few classes are compared exhaustively; larger ones are compared with one of their classes, the centre,
-and branch again, until no large node is left. Independent trees are repeated to reach the recall wanted. A node whose
-classes are all known to be connected has nothing more to tell and ends: the links to centres are confirmed at once, so
-large groups of near copies cost few pairs. All candidates by the tokens are confirmed on the full sets.
+soon. Small nodes are compared exhaustively, larger ones branch again, until no large node is left. Independent trees
+are repeated to reach the recall wanted. The size of a node is that of its open pairs, those not known to be connected:
+before each look, classes are confirmed with the nearest one of a block of their node, so a large group of near copies
+soon has few open pairs and ends. All candidates by the tokens are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewarden.llm.common import settle, text_of
+from tidewarden.llm.common import forget, settle, settle_at, text_of
 from tidewarden.llm.components import components
 from tidewarden.llm.exact import digest
 from tidewarden.llm.shingles import mix, shingles
@@ -28,10 +28,12 @@ TOKENS = 128          # minwise tokens of a set, 16 bits each
 TREES = 16            # one tree finds about half of the links at 0.85 to 0.88 within a group that is 0.75 to 0.8 alike
 RECALL = 0.998        # wanted of those links
 LEVELS = 2            # branched before the first look at the sizes of nodes
-MORE = 6              # branched between two later looks
-SMALL = 128           # classes of a node that is compared exhaustively
+MORE = 4              # branched between two later looks
+SMALL = 512           # a node with no more open pairs than so many unconnected classes have is compared exhaustively
+BLOCK = 256           # classes among which each one looks for its nearest
+FEW = 32              # open pairs of a node that is compared at once, without that
 SURE = 3.5            # deviations under the threshold down to which the share of equal tokens makes a candidate
-ROUNDS = 24           # after so many looks, what is still large is compared in blocks
+ROUNDS = 36           # after so many looks, what is still large is compared in blocks
 
 _MULTIPLY = mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(10_001, 10_001 + TOKENS, dtype=np.uint64))
@@ -125,43 +127,92 @@ def _could_link(n, m, threshold):
     return 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
 
 
-def _exhaustive(batches, threshold):
-    """All candidate pairs within each node that are not known to be connected; the nodes are small."""
-    least = maybe_from(threshold)
-    for batch in batches:
-        a, b, share = [], [], []
-        for members in batch.column(0):
-            members = members.as_py()
-            vid = np.array([m["vid"] for m in members])
-            order = np.argsort(vid)
-            n, hub = (np.array([m[k] for m in members])[order] for k in ("n", "hub"))
-            tokens = np.frombuffer(b"".join(m["tokens"] for m in members), "<u2").reshape(-1, TOKENS)[order]
-            vid = vid[order]
-            for i in range(len(vid) - 1):
-                equal = (tokens[i + 1:] == tokens[i]).mean(axis=1)
-                ok = np.flatnonzero((equal >= least) & _could_link(n[i], n[i + 1:], threshold) & (hub[i + 1:] != hub[i])
-                                    & (vid[i + 1:] > vid[i]))
-                a.extend([vid[i]] * len(ok))
-                b.extend(vid[i + 1 + ok])
-                share.extend(equal[ok])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(share, pa.float64())],
-                                         names=["a", "b", "share"])
-
-
-def _star(batches, threshold):
-    """Compares the classes of large nodes with the centre and branches them."""
+def _nodes(batches):
+    """(vid, n, hub, tokens) of each node, from rows (node, vid, n, hub, tokens) that are sorted by node."""
+    last, held = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        node, vid, n, hub, cvid, cn, chub = (batch.column(k).to_numpy()
-                                             for k in ("node", "vid", "n", "hub", "c_vid", "c_n", "c_hub"))
-        tokens, centre = _tokens(batch.column("tokens")), _tokens(batch.column("c_tokens"))
-        share = (tokens == centre).mean(axis=1)
-        share[~_could_link(n, cn, threshold) | (hub == chub)] = 0
-        child, row = branch(node.view(np.uint64), np.arange(len(node)), tokens, MORE, threshold)
-        yield pa.RecordBatch.from_arrays(
-            [_signed(child), *[pa.array(x[row]) for x in (vid, n)], batch.column("tokens").take(pa.array(row)),
-             *[pa.array(x[row]) for x in (cvid, share)]], names=["node", "vid", "n", "tokens", "c_vid", "share"])
+        node, *columns = (batch.column(k).to_numpy() for k in range(4))
+        columns.append(_tokens(batch.column(4)))
+        cuts = (np.flatnonzero(node[1:] != node[:-1]) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, len(node)]):
+            if held and node[lo] != last:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held = []
+            last = node[lo]
+            held.append([c[lo:hi] for c in columns])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _open_pairs(n, hub, tokens, least, threshold):
+    """(i, others, shares): the pairs that are not known to be connected and have at least ``least`` equal tokens.
+
+    Classes are taken by their component, the largest component last, so that only open pairs are compared.
+    """
+    _, component, count = np.unique(hub, return_inverse=True, return_counts=True)
+    order = np.lexsort((component, count[component]))
+    n, tokens, component = n[order], tokens[order], component[order]
+    ends = np.flatnonzero(np.append(component[1:] != component[:-1], True)) + 1
+    start = 0
+    for end in ends[:-1]:
+        for i in range(start, end):
+            others = end + np.flatnonzero(_could_link(n[i], n[end:], threshold))
+            share = (tokens[others] == tokens[i]).mean(axis=1)
+            near = share >= least
+            if near.any():
+                yield order[i], order[others[near]], share[near]
+        start = end
+
+
+def _pairs(found):
+    """Batches (a, b, share) of the arrays in ``found``."""
+    held, rows = [], 0
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("share", pa.float64())])
+    for arrays in found:
+        held.append(arrays)
+        rows += len(arrays[0])
+        if rows > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], schema=schema)
+            held, rows = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], schema=schema)
+
+
+def _exhaustive(batches, threshold):
+    """All candidate pairs within each node that are not known to be connected; the nodes have few of these."""
+    def found():
+        for vid, n, hub, tokens in _nodes(batches):
+            for i, others, share in _open_pairs(n, hub, tokens, maybe_from(threshold), threshold):
+                yield np.minimum(vid[i], vid[others]), np.maximum(vid[i], vid[others]), share
+    yield from _pairs(found())
+
+
+def _nearest(batches, threshold):
+    """(class, nearest class in the block that it is not known to be connected with, share), if likely linked."""
+    def found():
+        for vid, n, hub, tokens in _nodes(batches):
+            best, partner = np.zeros(len(vid)), np.zeros(len(vid), np.int64)
+            for i, others, share in _open_pairs(n, hub, tokens, threshold / 100, threshold):
+                top = share.argmax()
+                if share[top] > best[i]:
+                    best[i], partner[i] = share[top], vid[others[top]]
+                better = share > best[others]
+                best[others[better]], partner[others[better]] = share[better], vid[i]
+            has = best > 0
+            if has.any():
+                yield vid[has], partner[has], best[has]
+    yield from _pairs(found())
+
+
+def _deeper(batches, threshold):
+    """(node, vid) of the children of rows (node, vid, tokens)."""
+    for batch in batches:
+        if batch.num_rows:
+            node, vid = (batch.column(k).to_numpy() for k in (0, 1))
+            child, row = branch(node.view(np.uint64), np.arange(len(node)), _tokens(batch.column(2)), MORE, threshold)
+            yield pa.RecordBatch.from_arrays([_signed(child), pa.array(vid[row])], names=["node", "vid"])
 
 
 def _nearer(links: DataFrame) -> DataFrame:
@@ -172,55 +223,82 @@ def _nearer(links: DataFrame) -> DataFrame:
     return two.groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "id")
 
 
-def _with_hubs(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Adds the smallest vertex that each row's vertex is known to be connected with."""
-    return rows.join(roots, F.col("vid") == F.col("id"), "left").withColumn("hub", F.coalesce("root", "vid")).drop("id", "root")
+class _Kept:
+    """Tables of the rounds by name; a new one of the same name removes the old one, which nothing may read any more."""
 
+    def __init__(self, spark):
+        self.spark, self.paths = spark, {}
 
-def shared_nodes(classes: DataFrame, threshold: int) -> DataFrame:
-    """(node, vid, n, tokens, hub, size): the classes in nodes of the first levels that more than one class reaches."""
-    rows = settle(classes.select("vid", "tokens").mapInArrow(partial(_roots, threshold=threshold), "node long, vid long"), "near-nodes")
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    return settle(rows.join(sizes, "node").join(classes, "vid").select(
-        "node", "vid", "n", "tokens", F.col("vid").alias("hub"), "size"), "near-shared")
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = settle_at(df, f"near-{name}")
+        self.forget(name)
+        self.paths[name] = path
+        return out
 
+    def forget(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                forget(self.spark, self.paths.pop(name))
+
+
+def _opened(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(node, vid, hub, size, open) of rows (node, vid) in nodes with open pairs, those not known to be connected.
+
+    ``hub`` is the smallest vertex that the class is known to be connected with.
+    """
+    if known is None:
+        rows = rows.select("node", "vid", F.col("vid").alias("hub"))
+    else:
+        rows = rows.join(known, F.col("vid") == F.col("id"), "left").select("node", "vid", F.coalesce("root", "vid").alias("hub"))
+    sizes = rows.groupBy("node", "hub").agg(F.count("*").alias("n")).groupBy("node").agg(
+        F.sum("n").alias("size"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("open"))
+    return rows.join(sizes.where("open > 0"), "node")
 
-def candidates(nodes: DataFrame, texts: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Of ``nodes``: candidate pairs (a, b, share), a < b, and the links (a, b) that were confirmed on the way."""
-    pairs, links, known = [], [], None
 
-    def compare(some: DataFrame) -> None:
-        lists = some.groupBy("node").agg(F.collect_list(F.struct("vid", "n", "hub", "tokens")).alias("members"))
-        pairs.append(lists.select("members").mapInArrow(partial(_exhaustive, threshold=threshold), "a long, b long, share double"))
+def _compared(rows: DataFrame, classes: DataFrame, how, threshold: int) -> DataFrame:
+    """``how`` over the nodes of rows (node, vid, hub)."""
+    return rows.select("node", "vid", "hub").join(classes, "vid").select("node", "vid", "n", "hub", "tokens") \
+        .repartition("node").sortWithinPartitions("node") \
+        .mapInArrow(partial(how, threshold=threshold), "a long, b long, share double")
 
+
+def candidates(nodes: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int, kept: _Kept) -> tuple[DataFrame, DataFrame]:
+    """Of ``nodes``: candidate pairs (a, b, share), a < b, and the links (a, b) that were confirmed on the way."""
+    pairs, links, known = [], [], None
+    least_open = SMALL * (SMALL - 1) // 2
     for turn in range(ROUNDS):
-        compare(nodes.where(F.col("size") <= SMALL))
-        large = nodes.where(F.col("size") > SMALL)
-        if large.isEmpty():
-            break
+        # What is likely linked is confirmed first: each class with the nearest one of a block. It joins groups of near
+        # copies, so that few of their pairs are still open when nodes are compared.
+        block = F.pmod(F.xxhash64("vid", "node"), F.ceil(F.col("size") / BLOCK))
+        near = _compared(nodes.where(F.col("open") > FEW).withColumn("node", F.xxhash64("node", block)), classes, _nearest, threshold)
+        best = near.groupBy("a").agg(F.max(F.struct("share", "b")).alias("p")).select(
+            F.least("a", "p.b").alias("a"), F.greatest("a", "p.b").alias("b")).distinct()
+        sure = settle(confirmed(kept.settle(best, "nearest"), texts, threshold), "near-sure")
+        if not sure.isEmpty():
+            links.append(sure)
+            linked = sure if known is None else sure.union(known.select(F.col("id").alias("a"), F.col("root").alias("b")))
+            known = kept.settle(_nearer(linked), "known")
+            nodes = kept.settle(_opened(nodes.select("node", "vid"), known), "shared")
+        small = F.col("open") <= least_open
+        large = nodes.where(~small)
+        found = _compared(nodes.where(small), classes, _exhaustive, threshold)
         if turn == ROUNDS - 1:   # the rest, exactly: each two blocks of a node meet
             blocks = F.ceil(F.col("size") / (SMALL // 2))
-            own = F.pmod(F.xxhash64("vid"), blocks)
-            met = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            compare(met.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))))
+            met = large.withColumn("own", F.pmod(F.xxhash64("vid"), blocks)).withColumn(
+                "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            met = met.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
+            found = found.union(_compared(met, classes, _exhaustive, threshold))
+        pairs.append(kept.settle(found.groupBy("a", "b").agg(F.max("share").alias("share")), f"pairs-{turn}"))
+        if turn == ROUNDS - 1 or large.isEmpty():
             break
-        # Any class may be the centre; a hash gives the nodes of a group different ones.
-        centres = large.groupBy("node").agg(F.min_by(F.struct("vid", "n", "tokens", "hub"), F.xxhash64("vid", "node")).alias("c")) \
-            .select("node", *[F.col(f"c.{k}").alias(f"c_{k}") for k in ("vid", "n", "tokens", "hub")])
-        children = settle(large.drop("size").join(centres, "node").mapInArrow(
-            partial(_star, threshold=threshold), "node long, vid long, n long, tokens binary, c_vid long, share double"), "near-children")
-        stars = children.where(F.col("share") >= maybe_from(threshold)).select(
-            F.least("vid", "c_vid").alias("a"), F.greatest("vid", "c_vid").alias("b")).distinct()
-        links.append(settle(confirmed(stars, texts, threshold), "near-stars"))
-        near = links[-1] if known is None else links[-1].union(known.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        known = settle(_nearer(near), "near-known")
-        children = _with_hubs(children.drop("c_vid", "share"), known)
-        sizes = children.groupBy("node").agg(F.count("*").alias("size"), F.min("hub").alias("lo"), F.max("hub").alias("hi")) \
-            .where("size > 1 AND lo < hi").select("node", "size")
-        nodes = settle(children.join(sizes, "node"), "near-shared")
-    found = reduce(DataFrame.union, pairs).groupBy("a", "b").agg(F.max("share").alias("share"))
-    none = found.select("a", "b").where("false")
-    return settle(found, "near-candidates"), reduce(DataFrame.union, links, none)
+        children = kept.settle(large.select("node", "vid").join(classes, "vid").select("node", "vid", "tokens")
+                               .mapInArrow(partial(_deeper, threshold=threshold), "node long, vid long"), "nodes")
+        nodes = kept.settle(_opened(children, known), "shared")
+        kept.forget("nodes")
+    kept.forget("shared", "nearest", "known")
+    found = kept.settle(reduce(DataFrame.union, pairs).groupBy("a", "b").agg(F.max("share").alias("share")), "candidates")
+    kept.forget(*[f"pairs-{turn}" for turn in range(len(pairs))])
+    return found, reduce(DataFrame.union, links, found.select("a", "b").where("false"))
 
 
 def _confirm(batches, threshold):
@@ -240,8 +318,9 @@ def _confirm(batches, threshold):
 
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets; ``texts`` has one text per vertex."""
-    left = texts.select(F.col("vid").alias("a"), F.col("text").alias("_left"))
-    right = texts.select(F.col("vid").alias("b"), F.col("text").alias("_right"))
+    # Only texts that a pair asks for move.
+    left, right = (texts.join(pairs.select(F.col(k).alias("vid")).distinct(), "vid", "left_semi").select(
+        F.col("vid").alias(k), F.col("text").alias(name)) for k, name in (("a", "_left"), ("b", "_right")))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_left", "_right") \
         .mapInArrow(partial(_confirm, threshold=threshold), "a long, b long")
 
@@ -262,24 +341,29 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def roots_of(classes: DataFrame, docs: DataFrame, id_name: str, text_name: str, threshold: int) -> DataFrame:
     """(id, root) of each vertex that is linked with another one."""
-    nodes = shared_nodes(classes, threshold)
+    kept = _Kept(classes.sparkSession)
+    rows = kept.settle(classes.select("vid", "tokens").mapInArrow(partial(_roots, threshold=threshold), "node long, vid long"), "nodes")
+    nodes = kept.settle(_opened(rows, None), "shared")
+    kept.forget("nodes")
     wanted = nodes.select("vid").distinct()
     ids = classes.join(wanted, "vid", "left_semi").select("rep").distinct()
     # One row of each class is fetched; a repeated id may fetch more, so the vertex is found again and kept once.
     texts = docs.select(F.col(id_name).alias("_id"), text_of(text_name).alias("text")).join(
         ids, F.col("_id").eqNullSafe(F.col("rep")), "left_semi").select("text") \
         .mapInArrow(_vertex_texts, "vid long, text string")
-    texts = settle(texts.groupBy("vid").agg(F.first("text").alias("text")), "near-texts")
-    maybe, links = candidates(nodes, texts, threshold)
+    texts = kept.settle(texts.groupBy("vid").agg(F.first("text").alias("text")), "texts")
+    maybe, links = candidates(nodes, classes.select("vid", "n", "tokens"), texts, threshold, kept)
     # First the best candidate of each component; then all that would still join two.
     for best_only in (True, False):
-        rest = _apart(maybe, components(links, turns=2))
+        rest = kept.settle(_apart(maybe, components(links, turns=2)), "apart")
         if best_only:
-            rest = settle(rest, "near-apart")
             ends = rest.select(F.col("ra").alias("v"), "a", "b", "share").union(rest.select("rb", "a", "b", "share"))
-            rest = ends.groupBy("v").agg(F.max(F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+            best = ends.groupBy("v").agg(F.max(F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+            rest = kept.settle(best, "best")
         links = settle(links.union(confirmed(rest, texts, threshold)), "near-links")
-    return components(links)
+    roots = components(links)
+    kept.forget("texts", "apart", "best", "candidates")
+    return roots
 
 
 def _judged(docs: DataFrame, id_name: str, text_name: str, threshold: int, digests: bool = False) -> DataFrame:
