@@ -284,6 +284,22 @@ def test_recall_in_a_group_of_loosely_similar_sets(loose):
     assert len(found) >= neardup.RECALL * len(pairs)
 
 
+def test_distinct_rows_are_the_first_of_each_text(spark):
+    shape = "x" * 70   # equal length and prefix, different texts
+    rows = [(3, "a  b", 1), (2, "a b", 2), (2, "a\tb", 3), (5, None, 4), (4, "", 5), (None, "a b", 6), (None, "only", 7), (9, shape + "1", 8),
+            (8, shape + "2", 9), (7, shape + "1", 10), (7, "other text", 11), (9, "abcd", 12), (1, "abce", 13), (9, "abcd", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _exact_len int")
+    got = [tuple(r) for r in exact.distinct_rows(docs).collect()]
+    first = {}
+    for row in rows:
+        key = re.sub(r"[\x20\x09-\x0D]+", " ", row[1] or "")
+        if key not in first or (row[0] is not None and (first[key][0] is None or row[0] < first[key][0])):
+            first[key] = row
+    text = {(r[0], re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "")) for r in got}
+    assert len(got) == len(first) and text == {(r[0], k) for k, r in first.items()}
+    assert set(got) <= set(rows) and exact.distinct_rows(docs.where("false")).count() == 0
+
+
 def test_open_pairs_are_those_of_different_components():
     tokens, _ = loosely_alike(60, 30, 0.8, seed=2)
     rng = np.random.default_rng(3)
