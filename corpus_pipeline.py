@@ -38,10 +38,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup (7): of equal texts the smallest id stays, in one row."""
-    groups = exact.exact_groups(docs, digest_all=True)
-    kept = _only(docs, groups.where("kept"), {"doc_id": docs["doc_id"], "text_sha256": exact.digest("text")})
-    sha = unused(docs, "_sha")
-    return kept.withColumn(sha, exact.digest("text")).dropDuplicates(["doc_id", sha]).drop(sha)
+    return exact.distinct_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
