@@ -132,3 +132,24 @@ def test_released_events_against_brute_force(spark):
 def test_sliding_stream_needs_a_dividing_step(spark):
     with pytest.raises(ValueError):
         gate.sliding_rate_stream(spark.readStream.format("rate").load(), 60, 7)
+
+
+def test_breaker_and_gate_run_whatever_store_the_session_names(spark):
+    """The driver's session does not name RocksDB; the queries take it by themselves and leave the session as it was."""
+    box, name = shared_dir(spark, "any-store"), "spark.sql.streaming.stateStore.providerClass"
+    rows = [("web", i, 1000 + 5 * i, ["X"] if i < 4 else []) for i in range(8)]
+    spark.createDataFrame(rows, "source string, offset bigint, at bigint, failures array<string>") \
+        .selectExpr("source", "offset", "timestamp_seconds(at) AS arrived_at", "failures").coalesce(1).write.parquet(f"{box}/in")
+    events = spark.readStream.schema("source string, offset bigint, arrived_at timestamp, failures array<string>").parquet(f"{box}/in")
+    before, plain = spark.conf.get(name), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(name, plain)
+    try:
+        gate.start_breaker(events, f"{box}/out", f"{box}/breaker", OPTIONS, "0 seconds", once=True).awaitTermination()
+        states = gate.state_stream(spark, f"{box}/out")
+        gate.start_gate(events, states, f"{box}/gated", f"{box}/gate", OPTIONS, "0 seconds", once=True, shards=1).awaitTermination()
+        assert spark.conf.get(name) == plain
+    finally:
+        spark.conf.set(name, before)
+    assert [r.slice for r in sinks.read_table(spark, f"{box}/out/states").orderBy("slice").collect()] == [1000, 1010, 1020]
+    gated = spark.read.schema(gate.GATED).parquet(f"{box}/gated").where("gate <> 'release'")
+    assert sorted(r.offset for r in gated.collect()) == list(range(6))

@@ -22,7 +22,7 @@ from tidewarden.operators.breaker import CLOSED, HALF_OPEN, OPEN, BreakerOptions
 from tidewarden.operators.windows import slice_start
 from tidewarden.sources import sinks
 from tidewarden.streaming.ingest import triggered
-from tidewarden.streaming.stateful import breaker_stream, stream_slices
+from tidewarden.streaming.stateful import breaker_stream, processor_store, stream_slices
 
 SHARDS = 16
 GATED = "source string, offset bigint, slice bigint, gate string, released_at bigint"
@@ -51,7 +51,9 @@ def start_breaker(checked: DataFrame, root: str, checkpoint: str, options: Break
     in place of those of the first try.
     """
     states = breaker_stream(stream_slices(checked, options, lateness), options)
-    return triggered(states.writeStream.foreachBatch(write_control(root)).option("checkpointLocation", checkpoint), once).start()
+    writer = states.writeStream.foreachBatch(write_control(root)).option("checkpointLocation", checkpoint)
+    with processor_store(checked.sparkSession):
+        return triggered(writer, once).start()
 
 
 def state_stream(spark: SparkSession, root: str) -> DataFrame:
@@ -152,7 +154,8 @@ def start_gate(events: DataFrame, states: DataFrame, path: str, checkpoint: str,
     """Gated and released events, appended to a folder of Parquet files."""
     writer = gate_stream(events, states, options, lateness, keep, shards).writeStream.format("parquet").outputMode("append") \
         .option("path", path).option("checkpointLocation", checkpoint)
-    return triggered(writer, once).start()
+    with processor_store(events.sparkSession):
+        return triggered(writer, once).start()
 
 
 def sliding_rate_stream(checked: DataFrame, seconds: int = 60, step: int = 10, lateness: str = "5 seconds", ts: str = "arrived_at",
