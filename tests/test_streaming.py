@@ -137,3 +137,17 @@ def test_supervised_restarts():
 def test_watermark_needs_a_timestamp(spark):
     df = ingest.with_watermark(spark.readStream.format("rate").load(), "timestamp")
     assert "EventTimeWatermark" in df._jdf.queryExecution().logical().toString()
+
+
+def test_state_of_the_router_does_not_split_by_hour(spark):
+    """Ids of many hours lie in as many files as there are tasks; one that comes again after days is still found."""
+    root = shared_dir(spark, "router-hours")
+    router = routing.StreamRouter(root, Q.ROWS, Q.OPTIONS, dedupe_hours=24 * 60, clock=lambda: F.col("arrived_at"))
+    hours = spark.range(200).selectExpr("0 AS partition", "id AS offset", "timestamp_seconds(1700000000 + id * 3600) AS arrived_at",
+                                        "concat('{\"event_id\":\"e', id % 150, '\"}') AS value").coalesce(1)
+    router(hours.where("offset < 150"), 0)
+    router(hours.where("offset >= 150"), 1)
+    files = [f for f in spark.read.parquet(f"{root}/state/seen").inputFiles()]
+    assert len(files) <= 2 * 8
+    again = sinks.read_table(spark, f"{root}/audit").where("check_name = 'DUPLICATE_EVENT_ID' AND status = 'FAILED'")
+    assert again.count() == 50

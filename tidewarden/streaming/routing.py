@@ -3,7 +3,7 @@
 Each micro-batch runs the batch operators. What must be known from earlier
 batches is small or narrow and lies in ledgered tables next to the output: the
 newest credible event time per log partition, and the ids seen within the
-dedupe window, split by hour. Writing batch n again reads the state of the
+dedupe window, in the order of their hours. Writing batch n again reads the state of the
 batches before n, so a retried batch gives the same rows.
 """
 
@@ -81,6 +81,10 @@ class StreamRouter:
 
         flags = late.unionByName(again).groupBy("partition", "offset") \
             .agg(F.array_sort(F.collect_set("code")).alias("_codes"))
+        # Written down, so that their size is known: while they are few, they go to the payloads and not the payloads to them.
+        path = f"{self.root}/state/flags/batch_id={batch_id}"
+        flags.write.mode("overwrite").parquet(path)
+        flags = spark.read.schema(flags.schema).parquet(path)
         checked = quality.check(batch, self.contract_rows, self.options)
         joined = checked.join(flags, ["partition", "offset"], "left")
         ordered = F.reverse(F.coalesce("_codes", F.array().cast("array<string>")))
@@ -91,7 +95,8 @@ class StreamRouter:
         marks.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/state/marks/batch_id={batch_id}")
         ids = narrow.where(F.col("event_id").isNotNull()) \
             .groupBy("event_id").agg(_hour(F.min("arrived_at")).alias("hour"))
-        ids.write.mode("overwrite").partitionBy("hour").parquet(f"{self.root}/state/seen/batch_id={batch_id}")
+        # Sorted, so that hours out of reach are skipped by the files' own bounds. A folder per hour would make hours x tasks files.
+        ids.sortWithinPartitions("hour").write.mode("overwrite").parquet(f"{self.root}/state/seen/batch_id={batch_id}")
 
 
 def start_routing(arrivals: DataFrame, router: StreamRouter, checkpoint: str,
