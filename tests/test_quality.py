@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidewarden import model
+from tidewarden.functions.payload import is_json_object
 from tidewarden.operators import compatibility, quality, replay
 from tidewarden.operators.ingest import to_bronze
 from tidewarden.sources.contracts import checkout_documents, document_rows
@@ -229,3 +230,14 @@ def test_payloads_are_read_and_parsed_once(spark):
     assert _scans(df) <= 2
     assert str(df._jdf.queryExecution().optimizedPlan().toString()).count("from_json") <= 2
     assert _scans(Q.replayed_events(spark, SF)) <= 4
+
+
+def test_texts_without_padding_are_not_trimmed(spark):
+    """Trimming costs a scan of the text; what two conditions share Spark computes for every row, so it stands in a branch."""
+    condition = is_json_object("value")
+    assert "trim(" in condition
+    assert all(before.endswith("ELSE ") for before in condition.split("trim(")[:-1])
+    texts = ['{"a":1}', ' {"a":1}\n', '\t{"a":1}', '{"a":1} ', '', ' ', '{', '}', ' {"a":1} x', 'x {"a":1}', '{"a":1}{"b":2}', None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string")
+    kept = rows.where(condition).orderBy("i").collect()
+    assert [r.i for r in kept] == [0, 1, 2, 3]
