@@ -311,6 +311,76 @@ def test_open_pairs_are_those_of_different_components():
     assert got == want and want
 
 
+def random_sets(n, seed, size, most=60):
+    """Sets around a common one; ``most`` elements of each are changed."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2 ** 63, size, dtype=np.uint64)
+    out = []
+    for _ in range(n):
+        found = base[:rng.integers(size * 3 // 4, size + 1)].copy()
+        found[rng.choice(len(found), rng.integers(0, min(most, size // 2)), replace=False)] = rng.integers(0, 2 ** 63, dtype=np.uint64)
+        found[:rng.integers(0, 20)] ^= np.uint64(rng.integers(1, 2 ** 60))
+        out.append(np.unique(found))
+    return out
+
+
+def alike(a, b):
+    both = len(np.intersect1d(a, b))
+    return both / (len(a) + len(b) - both)
+
+
+def sketched(sets):
+    packed = np.empty(len(sets), object)
+    packed[:] = [neardup.sketch(s).tobytes() for s in sets]
+    return np.array([len(s) for s in sets]), packed
+
+
+@pytest.mark.parametrize("size", [70, 130, 600, 40_000])
+def test_sketches_never_understate_a_similarity(size):
+    sets = random_sets(40 if size < 10_000 else 8, 3, size)
+    n, packed = sketched(sets)
+    sketches = neardup.Sketches(n, packed)
+    assert size == 40_000 or len(set(sketches.width.tolist())) > 1   # sketches of two lengths meet
+    for i in range(len(sets)):
+        most = sketches.most(i, np.arange(len(sets)))
+        real = np.array([alike(sets[i], s) for s in sets])
+        assert (most >= real).all() and (size == 40_000 or (most - real)[real > 0.8].max(initial=0) < 0.03)
+
+
+def test_a_group_of_copies_gives_a_forest_and_no_pairs():
+    """Some hundred classes with far more links than classes; 60 of them are known to be connected."""
+    sets = random_sets(400, 4, 400, most=10)
+    sets = [s for s in sets if len(s) > 350]
+    n, packed = sketched(sets)
+    vid = np.random.default_rng(1).permutation(len(sets))
+    hub = np.where(np.arange(len(sets)) < 60, 0, np.arange(len(sets)))
+    i, j, share, alone = neardup.forest(vid, n, hub, neardup.Sketches(n, packed), 85)
+    assert len(i) < 3 * len(sets)
+    links = {tuple(sorted((int(a), int(b)))) for a in range(len(sets)) for b in range(a) if hub[a] != hub[b] and alike(sets[a], sets[b]) >= 0.85}
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in [(0, k) for k in range(60)] + [(int(a), int(b)) for a, b in zip(i, j)]:
+        root[find(a)] = find(b)
+    assert len(links) > 10_000 and all(find(a) == find(b) for a, b in links)
+
+
+def test_a_failed_edge_has_its_node_looked_at_again(spark, monkeypatch):
+    """Each node gives one edge only, mostly one that is no link: the rest must be found by the second look."""
+    def one_edge(batches, threshold):
+        for node, vid, *_ in neardup._nodes(batches, neardup._binaries, named=True):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[:1], [vid.min()], [vid.max()], [1.0], [False])], schema=neardup._EDGE)
+    monkeypatch.setattr(neardup, "_forests", one_edge)
+    texts = near_copies(60)
+    _, want = plain_components(texts)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(
+        spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert sum(got[i] != want[i] for i in want) <= 1
+
+
 def test_nodes_that_span_batches_stay_whole():
     node, vid = np.repeat([7, 9, 12], [5, 1, 300]), np.arange(306)
     tokens = np.random.default_rng(1).integers(0, 9, (306, neardup.TOKENS)).astype("<u2")

@@ -3,15 +3,20 @@
 Equal shingle sets become one class first. Each class has minwise tokens of its set. A tree branches classes from its
 root: a node chooses one or two of the tokens (1/threshold of them on average) by a hash of its path, and a class goes
 to one child per chosen token, named by the token's value. Similar sets share children again and again, others part
-soon. Small nodes are compared exhaustively, larger ones branch again, until no large node is left. Independent trees
-are repeated to reach the recall wanted. The size of a node is that of its open pairs, those not known to be connected:
-before each look, classes are confirmed with the nearest one of a block of their node, so a large group of near copies
-soon has few open pairs and ends. All candidates by the tokens are confirmed on the full sets.
+soon. Small nodes are compared, larger ones branch again, until no large node is left. Independent trees are repeated to
+reach the recall wanted. The size of a node is that of its open pairs, those not known to be connected: before a large
+node branches, its classes are linked within blocks, so a large group of near copies soon has few open pairs and ends.
+
+Within a node classes are compared by odd sketches: the bits in which two of them differ are never more than the elements
+in which their sets differ, so no link is lost, and hardly a pair under the threshold is left. A node does not give its
+pairs but a forest of them, which grows with its classes. All of these are confirmed on the full sets; where one of a
+forest fails, the node is looked at again, pair by pair.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from functools import partial, reduce
 
 import numpy as np
@@ -29,10 +34,12 @@ TREES = 16            # one tree finds about half of the links at 0.85 to 0.88 w
 RECALL = 0.998        # wanted of those links
 LEVELS = 2            # branched before the first look at the sizes of nodes
 MORE = 4              # branched between two later looks
-SMALL = 512           # a node with no more open pairs than so many unconnected classes have is compared exhaustively
-BLOCK = 256           # classes among which each one looks for its nearest
-FEW = 32              # open pairs of a node that is compared at once, without that
-SURE = 3.5            # deviations under the threshold down to which the share of equal tokens makes a candidate
+SMALL = 2048          # a node with no more open pairs than so many unconnected classes have is compared
+BLOCK = 256           # classes of a large node that are linked before it branches
+BITS = 4              # of a sketch for each element of the set, up to twice as many
+MOST_BITS = 1 << 17
+SAFE = 4              # deviations over the estimated difference up to which a pair is taken for linked before it is confirmed
+SURE = 3.5            # deviations under the threshold down to which linked sets have equal tokens
 ROUNDS = 36           # after so many looks, what is still large is compared in blocks
 
 _MULTIPLY = mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -52,13 +59,75 @@ def minwise(found: np.ndarray) -> np.ndarray:
     return mix(least).astype(np.uint16)
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """An odd sketch of the set: each element turns one bit over. One of half the length is the halves' exclusive or."""
+    bits = min(MOST_BITS, max(256, 1 << (BITS * len(found) - 1).bit_length()))
+    at = (found & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _fold(words: np.ndarray, width: int) -> np.ndarray:
+    while words.shape[-1] > width:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
+class Sketches:
+    """Sketches of sets of ``n`` elements each, to be compared; indexing gives some of them in another order."""
+
+    def __init__(self, n: np.ndarray, packed: np.ndarray):
+        self.n, self.packed = n, packed
+        self.width = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
+        self.at, self.words = np.empty(len(packed), np.int64), {}
+        for width in np.unique(self.width).tolist():
+            here = np.flatnonzero(self.width == width)
+            self.at[here] = np.arange(len(here))
+            self.words[width, width] = np.frombuffer(b"".join(packed[here]), "<u8").reshape(-1, width)
+
+    def __getitem__(self, order: np.ndarray) -> Sketches:
+        return Sketches(self.n[order], self.packed[order])
+
+    def _folded(self, width: int, to: int) -> np.ndarray:
+        if (width, to) not in self.words:
+            self.words[width, to] = _fold(self.words[width, width], to)
+        return self.words[width, to]
+
+    def differ(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bits that differ, bits compared) of one and others."""
+        width, widths = int(self.width[i]), self.width[others]
+        differ, bits = np.empty(len(others), np.int64), np.empty(len(others), np.int64)
+        for w in np.unique(widths).tolist():
+            here, to = widths == w, min(w, width)
+            rows = self._folded(w, to)[self.at[others[here]]] ^ self._folded(width, to)[self.at[i]]
+            differ[here], bits[here] = np.bitwise_count(rows).sum(axis=1), 64 * to
+        return differ, bits
+
+    def most(self, i: int, others: np.ndarray) -> np.ndarray:
+        """What the similarity of one and others is at most."""
+        differ, _ = self.differ(i, others)
+        both = self.n[i] + self.n[others]
+        return (both - differ) / (both + differ)
+
+    def judged(self, i: int, others: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(others, shares, sure) of those that may be linked: what their similarity is at most, and if they very likely are."""
+        differ, bits = self.differ(i, others)
+        both = self.n[i] + self.n[others]
+        share = (both - differ) / (both + differ)
+        near = share >= threshold / 100
+        others, share, differ, bits, both = (x[near] for x in (others, share, differ, bits, both))
+        different = -bits / 2 * np.log(np.maximum(1 - 2 * differ / bits, 1e-9))
+        sure = different + SAFE * np.maximum(different, 1) / np.sqrt(bits) <= (100 - threshold) * both / (100 + threshold)
+        return others, share, sure
+
+
 def _digest(found: np.ndarray) -> int:
     """A vertex id of the set: 63 bits of a digest of all its shingles."""
     return int.from_bytes(hashlib.blake2b(found.astype("<u8").tobytes(), digest_size=8).digest(), "little") >> 1
 
 
 def maybe_from(threshold: int) -> float:
-    """Least share of equal tokens of a candidate."""
+    """Least share of equal tokens that linked sets have, for measuring how many of them meet; ``SURE`` deviations are allowed."""
     t = threshold / 100
     return t - SURE * (t * (1 - t) / TOKENS) ** 0.5
 
@@ -90,7 +159,7 @@ def _signed(nodes: np.ndarray) -> pa.Array:
 
 
 def described(docs: DataFrame, id_name: str, text_name: str, digests: bool = False) -> DataFrame:
-    """(id, sha, n_shingles, vid, tokens) of each document; a document without words has a null vid and tokens.
+    """(id, sha, n_shingles, vid, tokens, sketch) of each document; one without words has no vid, tokens and sketch.
 
     ``sha`` is the digest of exact dedup, null unless ``digests``.
     """
@@ -100,17 +169,19 @@ def described(docs: DataFrame, id_name: str, text_name: str, digests: bool = Fal
 
     def describe(batches):
         for batch in batches:
-            n, vid, tokens = [], [], []
+            n, vid, tokens, sketches = [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py())
                 n.append(len(found))
                 vid.append(_digest(found) if len(found) else None)
                 tokens.append(minwise(found).astype("<u2").tobytes() if len(found) else None)
+                sketches.append(sketch(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2).cast(pa.string()), pa.array(n, pa.int64()), pa.array(vid, pa.int64()),
-                 pa.array(tokens, pa.binary())], names=["_id", "sha", "n", "vid", "tokens"])
+                 pa.array(tokens, pa.binary()), pa.array(sketches, pa.binary())],
+                names=["_id", "sha", "n", "vid", "tokens", "sketch"])
 
-    return rows.mapInArrow(describe, f"_id {kind}, sha string, n long, vid long, tokens binary")
+    return rows.mapInArrow(describe, f"_id {kind}, sha string, n long, vid long, tokens binary, sketch binary")
 
 
 def _roots(batches, threshold):
@@ -127,14 +198,25 @@ def _could_link(n, m, threshold):
     return 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
 
 
-def _nodes(batches):
-    """(vid, n, hub, tokens) of each node, from rows (node, vid, n, hub, tokens) that are sorted by node."""
+def _binaries(column) -> np.ndarray:
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def _nodes(batches, read=_tokens, named=False):
+    """(vid, n, hub, tokens) of each node, from rows (node, vid, n, hub, tokens) that are sorted by node.
+
+    The last column may be another one that ``read`` reads; the node itself comes first if ``named``.
+    """
     last, held = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
         node, *columns = (batch.column(k).to_numpy() for k in range(4))
-        columns.append(_tokens(batch.column(4)))
+        columns.append(read(batch.column(4)))
+        if named:
+            columns.insert(0, node)
         cuts = (np.flatnonzero(node[1:] != node[:-1]) + 1).tolist()
         for lo, hi in zip([0, *cuts], [*cuts, len(node)]):
             if held and node[lo] != last:
@@ -146,10 +228,15 @@ def _nodes(batches):
         yield [np.concatenate(c) for c in zip(*held)]
 
 
+def _shares(tokens, i, others):
+    return tokens.most(i, others) if isinstance(tokens, Sketches) else (tokens[others] == tokens[i]).mean(axis=1)
+
+
 def _open_pairs(n, hub, tokens, least, threshold):
-    """(i, others, shares): the pairs that are not known to be connected and have at least ``least`` equal tokens.
+    """(i, others, shares): the pairs that are not known to be connected, with a share of at least ``least``.
 
-    Classes are taken by their component, the largest component last, so that only open pairs are compared.
+    The share is that of equal tokens, or the most that sketches allow. Classes are taken by their component, the largest
+    component last, so that only open pairs are compared.
     """
     _, component, count = np.unique(hub, return_inverse=True, return_counts=True)
     order = np.lexsort((component, count[component]))
@@ -159,51 +246,97 @@ def _open_pairs(n, hub, tokens, least, threshold):
     for end in ends[:-1]:
         for i in range(start, end):
             others = end + np.flatnonzero(_could_link(n[i], n[end:], threshold))
-            share = (tokens[others] == tokens[i]).mean(axis=1)
+            share = _shares(tokens, i, others)
             near = share >= least
             if near.any():
                 yield order[i], order[others[near]], share[near]
         start = end
 
 
-def _pairs(found):
-    """Batches (a, b, share) of the arrays in ``found``."""
+def forest(vid, n, hub, sketches, threshold):
+    """Edges (i, j, share, alone) between classes that are not known to be connected.
+
+    Classes that very likely link are connected by a forest. Of the other pairs that may link, between two trees of it the
+    best one is given, ``alone`` if there is no other. So if all edges are links that are not alone, every two linked
+    classes are connected. The forest is grown breadth first in the order of ``vid``, so that it is alike in many nodes.
+    """
+    _, component, count = np.unique(hub, return_inverse=True, return_counts=True)
+    members = np.split(np.argsort(component, kind="stable"), np.cumsum(count)[:-1])
+    biggest = component == count.argmax() if count.max() > 1 else np.zeros(len(vid), bool)
+    rest = np.lexsort((vid, biggest))    # the largest component comes last and need not look for others
+    tree = np.full(len(vid), -1)
+    grown, maybe = [], []
+    for at in range(len(vid)):
+        if not len(rest):
+            break
+        queue = deque(members[component[rest[0]]].tolist())
+        tree[members[component[rest[0]]]] = at
+        rest = rest[tree[rest] < 0]
+        while queue and len(rest):
+            i = queue.popleft()
+            others = rest[_could_link(n[i], n[rest], threshold)]
+            if not len(others):
+                continue
+            others, share, sure = sketches.judged(i, others, threshold)
+            if not sure.all():
+                maybe.append((np.full(np.count_nonzero(~sure), i), others[~sure], share[~sure]))
+            if sure.any():
+                found, share = others[sure], share[sure]
+                by = np.lexsort((-share, component[found]))   # one edge to each component
+                by = np.sort(by[np.append(True, np.diff(component[found[by]]) != 0)])
+                grown.append((np.full(len(by), i), found[by], share[by], np.zeros(len(by), bool)))
+                for j in found[by].tolist():
+                    tree[members[component[j]]] = at
+                    queue.extend(members[component[j]].tolist())
+                rest = rest[tree[rest] < 0]
+    if maybe:
+        i, j, share = (np.concatenate(x) for x in zip(*maybe))
+        low, high = np.minimum(tree[i], tree[j]), np.maximum(tree[i], tree[j])
+        by = np.lexsort((-share, high, low))
+        by = by[low[by] != high[by]]
+        if len(by):
+            first = np.flatnonzero(np.append(True, (np.diff(low[by]) != 0) | (np.diff(high[by]) != 0)))
+            alone = np.diff(np.append(first, len(by))) == 1
+            by = by[first]
+            grown.append((i[by], j[by], share[by], alone))
+    return [np.concatenate(x) for x in zip(*grown)] if grown else None
+
+
+_EDGE = pa.schema([("node", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("share", pa.float64()), ("alone", pa.bool_())])
+EDGE = "node long, a long, b long, share double, alone boolean"
+
+
+def _edges(found):
+    """Batches of ``EDGE`` of the arrays in ``found``."""
     held, rows = [], 0
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("share", pa.float64())])
     for arrays in found:
         held.append(arrays)
         rows += len(arrays[0])
         if rows > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], schema=_EDGE)
             held, rows = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], schema=_EDGE)
 
 
-def _exhaustive(batches, threshold):
-    """All candidate pairs within each node that are not known to be connected; the nodes have few of these."""
+def _forests(batches, threshold):
+    """The forest of each node."""
     def found():
-        for vid, n, hub, tokens in _nodes(batches):
-            for i, others, share in _open_pairs(n, hub, tokens, maybe_from(threshold), threshold):
-                yield np.minimum(vid[i], vid[others]), np.maximum(vid[i], vid[others]), share
-    yield from _pairs(found())
+        for node, vid, n, hub, packed in _nodes(batches, _binaries, named=True):
+            edges = forest(vid, n, hub, Sketches(n, packed), threshold)
+            if edges is not None:
+                i, j, share, alone = edges
+                yield node[i], np.minimum(vid[i], vid[j]), np.maximum(vid[i], vid[j]), share, alone
+    yield from _edges(found())
 
 
-def _nearest(batches, threshold):
-    """(class, nearest class in the block that it is not known to be connected with, share), if likely linked."""
+def _exhaustive(batches, threshold):
+    """All pairs within each node that may be linked and are not known to be connected."""
     def found():
-        for vid, n, hub, tokens in _nodes(batches):
-            best, partner = np.zeros(len(vid)), np.zeros(len(vid), np.int64)
-            for i, others, share in _open_pairs(n, hub, tokens, threshold / 100, threshold):
-                top = share.argmax()
-                if share[top] > best[i]:
-                    best[i], partner[i] = share[top], vid[others[top]]
-                better = share > best[others]
-                best[others[better]], partner[others[better]] = share[better], vid[i]
-            has = best > 0
-            if has.any():
-                yield vid[has], partner[has], best[has]
-    yield from _pairs(found())
+        for node, vid, n, hub, packed in _nodes(batches, _binaries, named=True):
+            for i, others, share in _open_pairs(n, hub, Sketches(n, packed), threshold / 100, threshold):
+                yield node[others], np.minimum(vid[i], vid[others]), np.maximum(vid[i], vid[others]), share, np.ones(len(others), bool)
+    yield from _edges(found())
 
 
 def _deeper(batches, threshold):
@@ -257,48 +390,51 @@ def _opened(rows: DataFrame, known: DataFrame | None) -> DataFrame:
 
 def _compared(rows: DataFrame, classes: DataFrame, how, threshold: int) -> DataFrame:
     """``how`` over the nodes of rows (node, vid, hub)."""
-    return rows.select("node", "vid", "hub").join(classes, "vid").select("node", "vid", "n", "hub", "tokens") \
-        .repartition("node").sortWithinPartitions("node") \
-        .mapInArrow(partial(how, threshold=threshold), "a long, b long, share double")
+    return rows.select("node", "vid", "hub").join(classes.select("vid", "n", "sketch"), "vid") \
+        .select("node", "vid", "n", "hub", "sketch").repartition("node").sortWithinPartitions("node") \
+        .mapInArrow(partial(how, threshold=threshold), EDGE)
 
 
-def candidates(nodes: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int, kept: _Kept) -> tuple[DataFrame, DataFrame]:
-    """Of ``nodes``: candidate pairs (a, b, share), a < b, and the links (a, b) that were confirmed on the way."""
-    pairs, links, known = [], [], None
+def candidates(nodes: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int,
+               kept: _Kept) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``nodes``: the ``EDGE`` rows of all that were compared, their rows (node, vid), and the links (a, b) that were
+    confirmed on the way."""
+    edges, looked, links, known = [], [], [], None
     least_open = SMALL * (SMALL - 1) // 2
     for turn in range(ROUNDS):
-        # What is likely linked is confirmed first: each class with the nearest one of a block. It joins groups of near
-        # copies, so that few of their pairs are still open when nodes are compared.
-        block = F.pmod(F.xxhash64("vid", "node"), F.ceil(F.col("size") / BLOCK))
-        near = _compared(nodes.where(F.col("open") > FEW).withColumn("node", F.xxhash64("node", block)), classes, _nearest, threshold)
-        best = near.groupBy("a").agg(F.max(F.struct("share", "b")).alias("p")).select(
-            F.least("a", "p.b").alias("a"), F.greatest("a", "p.b").alias("b")).distinct()
-        sure = settle(confirmed(kept.settle(best, "nearest"), texts, threshold), "near-sure")
-        if not sure.isEmpty():
-            links.append(sure)
-            linked = sure if known is None else sure.union(known.select(F.col("id").alias("a"), F.col("root").alias("b")))
-            known = kept.settle(_nearer(linked), "known")
-            nodes = kept.settle(_opened(nodes.select("node", "vid"), known), "shared")
         small = F.col("open") <= least_open
-        large = nodes.where(~small)
-        found = _compared(nodes.where(small), classes, _exhaustive, threshold)
+        large, looks = nodes.where(~small), [nodes.where(small).select("node", "vid", "hub")]
+        if not large.isEmpty():
+            # What is likely linked is confirmed first, in blocks. It joins groups of near copies, so that few of their
+            # pairs are still open.
+            block = F.pmod(F.xxhash64("vid", "node"), F.ceil(F.col("size") / BLOCK))
+            near = _compared(large.withColumn("node", F.xxhash64("node", block)), classes, _forests, threshold)
+            near = kept.settle(near.select("a", "b").distinct(), "nearest")
+            sure = settle(confirmed(near, texts, threshold), "near-sure")
+            if not sure.isEmpty():
+                links.append(sure)
+                linked = sure if known is None else sure.union(known.select(F.col("id").alias("a"), F.col("root").alias("b")))
+                known = kept.settle(_nearer(linked), "known")
+                opened = kept.settle(_opened(large.select("node", "vid"), known), f"large-{turn}")
+                large = opened.where(~small)
+                looks.append(opened.where(small).select("node", "vid", "hub"))
         if turn == ROUNDS - 1:   # the rest, exactly: each two blocks of a node meet
             blocks = F.ceil(F.col("size") / (SMALL // 2))
             met = large.withColumn("own", F.pmod(F.xxhash64("vid"), blocks)).withColumn(
                 "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            met = met.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
-            found = found.union(_compared(met, classes, _exhaustive, threshold))
-        pairs.append(kept.settle(found.groupBy("a", "b").agg(F.max("share").alias("share")), f"pairs-{turn}"))
+            looks.append(met.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
+                         .select("node", "vid", "hub"))
+        looked += looks
+        edges.append(kept.settle(_compared(reduce(DataFrame.union, looks), classes, _forests, threshold), f"edges-{turn}"))
         if turn == ROUNDS - 1 or large.isEmpty():
             break
         children = kept.settle(large.select("node", "vid").join(classes, "vid").select("node", "vid", "tokens")
                                .mapInArrow(partial(_deeper, threshold=threshold), "node long, vid long"), "nodes")
-        nodes = kept.settle(_opened(children, known), "shared")
+        nodes = kept.settle(_opened(children, known), f"shared-{turn + 1}")
         kept.forget("nodes")
-    kept.forget("shared", "nearest", "known")
-    found = kept.settle(reduce(DataFrame.union, pairs).groupBy("a", "b").agg(F.max("share").alias("share")), "candidates")
-    kept.forget(*[f"pairs-{turn}" for turn in range(len(pairs))])
-    return found, reduce(DataFrame.union, links, found.select("a", "b").where("false"))
+    kept.forget("nearest", "known")
+    return (reduce(DataFrame.union, edges), reduce(DataFrame.union, looked).select("node", "vid"),
+            reduce(DataFrame.union, links) if links else edges[0].select("a", "b").where("false"))
 
 
 def _confirm(batches, threshold):
@@ -332,18 +468,18 @@ def _vertex_texts(batches):
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs that are not known to be connected, with the roots of both sides."""
+    """The pairs that are not known to be connected, with the roots of both sides as ``ra`` and ``rb``."""
     left = roots.select(F.col("id").alias("a"), F.col("root").alias("_a"))
     right = roots.select(F.col("id").alias("b"), F.col("root").alias("_b"))
     return pairs.join(left, "a", "left").join(right, "b", "left").select(
-        "a", "b", "share", F.coalesce("_a", "a").alias("ra"), F.coalesce("_b", "b").alias("rb")).where("ra <> rb")
+        *pairs.columns, F.coalesce("_a", "a").alias("ra"), F.coalesce("_b", "b").alias("rb")).where("ra <> rb")
 
 
 def roots_of(classes: DataFrame, docs: DataFrame, id_name: str, text_name: str, threshold: int) -> DataFrame:
     """(id, root) of each vertex that is linked with another one."""
     kept = _Kept(classes.sparkSession)
     rows = kept.settle(classes.select("vid", "tokens").mapInArrow(partial(_roots, threshold=threshold), "node long, vid long"), "nodes")
-    nodes = kept.settle(_opened(rows, None), "shared")
+    nodes = kept.settle(_opened(rows, None), "shared-0")
     kept.forget("nodes")
     wanted = nodes.select("vid").distinct()
     ids = classes.join(wanted, "vid", "left_semi").select("rep").distinct()
@@ -352,7 +488,8 @@ def roots_of(classes: DataFrame, docs: DataFrame, id_name: str, text_name: str,
         ids, F.col("_id").eqNullSafe(F.col("rep")), "left_semi").select("text") \
         .mapInArrow(_vertex_texts, "vid long, text string")
     texts = kept.settle(texts.groupBy("vid").agg(F.first("text").alias("text")), "texts")
-    maybe, links = candidates(nodes, classes.select("vid", "n", "tokens"), texts, threshold, kept)
+    edges, looked, links = candidates(nodes, classes, texts, threshold, kept)
+    maybe = kept.settle(edges.groupBy("a", "b").agg(F.max("share").alias("share")), "candidates")
     # First the best candidate of each component; then all that would still join two.
     for best_only in (True, False):
         rest = kept.settle(_apart(maybe, components(links, turns=2)), "apart")
@@ -361,8 +498,17 @@ def roots_of(classes: DataFrame, docs: DataFrame, id_name: str, text_name: str,
             best = ends.groupBy("v").agg(F.max(F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
             rest = kept.settle(best, "best")
         links = settle(links.union(confirmed(rest, texts, threshold)), "near-links")
-    roots = components(links)
-    kept.forget("texts", "apart", "best", "candidates")
+    roots = settle(components(links), "near-linked")
+    # Where an edge that stood for others was no link, the pairs of the node that are still apart are taken one by one.
+    again = kept.settle(_apart(edges.where("not alone"), roots).select("node").distinct(), "again")
+    if not again.isEmpty():
+        rows = looked.join(again, "node", "left_semi").distinct().join(roots, F.col("vid") == F.col("id"), "left").select(
+            "node", "vid", F.coalesce("root", "vid").alias("hub"))
+        more = _compared(rows, classes, _exhaustive, threshold).select("a", "b").distinct().join(maybe, ["a", "b"], "left_anti")
+        more = settle(confirmed(kept.settle(more, "more"), texts, threshold), "near-more")
+        if not more.isEmpty():
+            roots = settle(components(links.union(more)), "near-linked")
+    kept.forget(*kept.paths)
     return roots
 
 
@@ -371,8 +517,8 @@ def _judged(docs: DataFrame, id_name: str, text_name: str, threshold: int, diges
     rows = settle(described(docs, id_name, text_name, digests), "near-described")
     full = rows.where("vid IS NOT NULL")
     classes = settle(full.groupBy("vid").agg(F.min("_id").alias("rep"), F.first("n").alias("n"),
-                                             F.first("tokens").alias("tokens")), "near-classes")
-    roots = settle(roots_of(classes, docs, id_name, text_name, threshold), "near-roots")
+                                             F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "near-classes")
+    roots = roots_of(classes, docs, id_name, text_name, threshold)
     linked = classes.select("vid", "rep").join(roots, F.col("vid") == F.col("id"), "left").select(
         "vid", "rep", F.coalesce("root", "vid").alias("root"))
     named = linked.groupBy("root").agg(F.min("rep").alias("component"))
