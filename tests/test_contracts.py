@@ -5,7 +5,7 @@ import json
 import pytest
 from conftest import arrivals, event
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from tidewarden import model
 from tidewarden.operators import compatibility as compat
@@ -228,3 +228,19 @@ def test_single_quoted_payloads_are_no_json(spark):
     from tidewarden.functions.payload import is_json_object
     df = spark.createDataFrame([(t,) for t in texts], "value string").selectExpr("value", f"{is_json_object('value')} AS ok")
     assert {r.value for r in df.where("ok").collect()} == {'{"a":"it\'s"}', '{"a":1}'}
+
+
+def test_observed_payloads_are_parsed_once(spark):
+    raw = arrivals(spark, [event(i) for i in range(3)])
+    for seen in (compat.observed_fields(raw), compat.kind_counts(raw), compat.observed_contracts(raw, F.col("offset"), ["currency"])):
+        assert seen._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+
+
+def test_kinds_counted_by_type_name_are_those_of_the_entries(spark):
+    values = ['1', '2.0', '2.5', '1e400', '""', '"a"', 'true', 'null', '{"x":2.0}', '{"x":2.5}', '[]', '[2.0]', '["a",1]', '{}']
+    raw = arrivals(spark, [f'{{"a":{v},"source_version":"v{i % 2}"}}' for i, v in enumerate(values)] + ['{}', '{"a":1,"a":"x"}', 'x'])
+    entries = compat.payload_entries(raw, [])
+    expected = entries.groupBy("schema_version", "key", "kind").agg(F.count(F.lit(1)).alias("events"))
+    assert sorted(map(repr, compat.observed_fields(raw).collect())) == sorted(map(repr, expected.collect()))
+    expected = entries.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("events"))
+    assert sorted(map(repr, compat.kind_counts(raw).collect())) == sorted(map(repr, expected.collect()))

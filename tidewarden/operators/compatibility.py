@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from tidewarden.functions.payload import json_body, value_kind, value_text
+from tidewarden.functions.payload import json_body, kind_of, once_per_row, type_name, value_kind, value_text
 
 COMPATIBLE, BREAKING = "COMPATIBLE", "BREAKING"
 
@@ -201,14 +201,13 @@ def read_schema(contract_rows: list[tuple], version: str) -> T.StructType:
     return T.StructType([T.StructField(r[2], SPARK_TYPES[r[3]], not r[4]) for r in own])
 
 
-def payload_entries(raw: DataFrame, keep: list[Column], whole: bool = False) -> DataFrame:
-    """One row per key of each JSON object payload: key, kind and text.
+def _entries(raw: DataFrame, keep: list[Column], whole: bool) -> DataFrame:
+    """The kept columns, ``schema_version``, key and variant ``_v`` of each key of the JSON object payloads.
 
-    A repeated key counts once, with its last value. ``whole`` adds a row with a
-    NULL key per payload, so that payloads can be counted in the same pass.
+    A payload is parsed once: the parse stands in a generator, as the test that it gave something would repeat it otherwise.
     """
     m = F.from_json(F.expr(json_body()), "map<string,variant>")
-    entries = raw.select(*keep, m.alias("_m")).where(F.col("_m").isNotNull())
+    entries = raw.select(*keep, once_per_row(m).alias("_m")).where(F.col("_m").isNotNull())
     entries = entries.withColumn("schema_version", value_text(F.try_element_at("_m", F.lit("source_version"))))
     names = [c for c in entries.columns if c != "_m"]
     listed = F.map_entries("_m")
@@ -219,14 +218,32 @@ def payload_entries(raw: DataFrame, keep: list[Column], whole: bool = False) ->
     if whole:
         newest = F.concat(newest, F.array(F.struct(F.lit(None).cast("string").alias("key"),
                                                    F.lit(None).cast("variant").alias("value"))))
-    return entries.select(*names, F.explode(newest).alias("_e")).select(*names, F.col("_e.key").alias("key"), F.col("_e.value").alias("_v")) \
-        .select(*names, "key", value_kind(F.col("_v")).alias("kind"), value_text(F.col("_v")).alias("text"))
+    return entries.select(*names, F.explode(newest).alias("_e")).select(*names, F.col("_e.key").alias("key"), F.col("_e.value").alias("_v"))
+
+
+def payload_entries(raw: DataFrame, keep: list[Column], whole: bool = False) -> DataFrame:
+    """One row per key of each JSON object payload: key, kind and text.
+
+    A repeated key counts once, with its last value. ``whole`` adds a row with a
+    NULL key per payload, so that payloads can be counted in the same pass.
+    """
+    return _entries(raw, keep, whole).withColumn("kind", value_kind(F.col("_v"))).withColumn("text", value_text(F.col("_v"))).drop("_v")
+
+
+def _counts(entries: DataFrame, by: list[str | Column]) -> DataFrame:
+    """Entries per ``by``, key and type name; kinds are made of the few names that are left. Adds ``kind`` and ``_n``."""
+    named = entries.withColumn("_type", type_name(F.col("_v")))
+    return named.groupBy(*by, "key", "_type").agg(F.count(F.lit(1)).alias("_n")).withColumn("kind", kind_of(F.col("_type")))
+
+
+def kind_counts(raw: DataFrame) -> DataFrame:
+    """Events per (key, kind) as seen in the payloads."""
+    return _counts(_entries(raw, [], False), []).groupBy("key", "kind").agg(F.sum("_n").alias("events"))
 
 
 def observed_fields(raw: DataFrame) -> DataFrame:
     """Events per (schema_version, key, kind) as seen in the payloads."""
-    return payload_entries(raw, []).groupBy("schema_version", "key", "kind") \
-        .agg(F.count(F.lit(1)).alias("events"))
+    return _counts(_entries(raw, [], False), ["schema_version"]).groupBy("schema_version", "key", "kind").agg(F.sum("_n").alias("events"))
 
 
 def drift(observed: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -260,9 +277,8 @@ def observed_contracts(raw: DataFrame, period: Column, enumerated: list[str]) ->
     which are collapsed to distinct ones before they are gathered. One pass over
     the payloads counts (period, key, kind, enumerated value); all else comes from these counts.
     """
-    enum_text = F.when(F.col("key").isin(enumerated) & (F.col("kind") == "string"), F.col("text"))
-    counts = payload_entries(raw, [period.alias("period")], whole=True) \
-        .groupBy("period", "key", "kind", enum_text.alias("text")).agg(F.count(F.lit(1)).alias("_n"))
+    enum_text = F.when(F.col("key").isin(enumerated) & (F.col("_type") == "STRING"), value_text(F.col("_v")))
+    counts = _counts(_entries(raw, [period.alias("period")], True), ["period", enum_text.alias("text")])
     kinds = counts.groupBy("period", "key", "kind").agg(
         F.sum("_n").alias("_n"), F.array_sort(F.collect_set("text")).alias("_values"))
     real = F.coalesce(F.col("kind") != "null", F.lit(False))
