@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewarden.operators import breaker
+from tidewarden.plans import streams
 from tidewarden.session import shared_dir
 from tidewarden.sources import sinks
 from tidewarden.streaming import gate
+from tidewarden.streaming.stateful import WIDTH, narrow_state
 
 OPTIONS = breaker.BreakerOptions(step=10)
 
@@ -153,3 +155,26 @@ def test_breaker_and_gate_run_whatever_store_the_session_names(spark):
     assert [r.slice for r in sinks.read_table(spark, f"{box}/out/states").orderBy("slice").collect()] == [1000, 1010, 1020]
     gated = spark.read.schema(gate.GATED).parquet(f"{box}/gated").where("gate <> 'release'")
     assert sorted(r.offset for r in gated.collect()) == list(range(6))
+
+
+def test_state_by_slices_is_no_wider_than_the_cores(spark):
+    before, cores = spark.conf.get(WIDTH), spark.sparkContext.defaultParallelism
+    try:
+        for asked, given in ((10 * cores, cores), (1, 1)):
+            spark.conf.set(WIDTH, asked)
+            with narrow_state(spark):
+                assert int(spark.conf.get(WIDTH)) == given
+            assert int(spark.conf.get(WIDTH)) == asked
+    finally:
+        spark.conf.set(WIDTH, before)
+
+
+def test_log_whose_offsets_do_not_follow_time_is_counted_whole(spark, tmp_path, monkeypatch):
+    """The same hours twice, one after the other by offset; landed in files of few rows."""
+    raw = spark.range(240).selectExpr(
+        "0 AS partition", "id AS offset", "timestamp_seconds(1704067200 + 600 * (id % 120)) AS arrived_at", "'web' AS source",
+        "CASE WHEN id % 5 = 0 THEN 'x' ELSE '{}' END AS value")
+    monkeypatch.setattr(streams, "raw_log", lambda spark, sf: raw)
+    monkeypatch.setattr(streams, "BLOCK", 10)
+    got = streams.stream_error_rate_sliding(spark, str(tmp_path)).agg(F.sum("total"), F.max("total")).first()
+    assert tuple(got) == (6 * 240, 2 * 36)

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewarden.functions import times
 from tidewarden.operators import quality
 from tidewarden.operators.ingest import decode
+from tidewarden.operators.ordered import BLOCK
 from tidewarden.plans import oracle
 from tidewarden.plans.feed import raw_log
 from tidewarden.plans.queries import BREAKER, HOUR, OPTIONS, ROWS, printable
 from tidewarden.session import shared_dir
 from tidewarden.sources import sinks, streams
 from tidewarden.streaming import gate, ingest, live, routing
+from tidewarden.streaming.stateful import narrow_state
 
 LOG = ["partition", "offset", "arrived_at", "value"]
 SLICES = 3
@@ -26,12 +28,19 @@ HEARTBEAT = "heartbeat"    # the source of rows that only carry the time on
 _CONTROLLED: dict[tuple[str, str], str] = {}
 
 
-def arriving(spark: SparkSession, sf_dir: str, box: str, start, more: list[str] = []) -> None:
-    """Lands the log slice by slice, in the order of its offsets; ``start`` is run to its end after each."""
+def arriving(spark: SparkSession, sf_dir: str, box: str, start, more: list[str] = [], timed: bool = False) -> None:
+    """Lands the log slice by slice, in the order of its offsets; ``start`` is run to its end after each.
+
+    ``timed`` lands it in the order of arrival: a query that closes windows behind the newest arrival would drop as late
+    what lies further on in a log whose offsets do not follow time.
+    """
     raw = raw_log(spark, sf_dir).select(*LOG, *more)
-    nth = F.floor(F.col("offset") * SLICES / (raw.agg(F.max("offset")).scalar() + 1))
+    at = F.unix_micros("arrived_at") if timed else F.col("offset")
+    first, last = raw.agg(F.min(at), F.max(at)).first()
+    first = (first or 0) if timed else 0
+    nth = F.coalesce(F.floor((at - first) * SLICES / ((last or 0) - first + 1)), F.lit(0))
     for i in range(SLICES):
-        raw.where(nth == i).write.mode("append").parquet(f"{box}/in")
+        raw.where(nth == i).write.mode("append").option("maxRecordsPerFile", BLOCK).parquet(f"{box}/in")
         start(streams.parquet_stream(spark, f"{box}/in", more=", ".join(f"{c} STRING" for c in more))).awaitTermination()
 
 
@@ -89,7 +98,7 @@ def controlled(spark: SparkSession, sf_dir: str) -> str:
             gate.start_breaker(quality.check(source, ROWS, OPTIONS), f"{box}/out", f"{box}/breaker", BREAKER, "0 seconds", once=True).awaitTermination()
             return gate.start_gate(source, gate.state_stream(spark, f"{box}/out"), f"{box}/gated", f"{box}/gate", BREAKER, "0 seconds",
                                    keep=24 * HOUR, once=True, shards=4)
-        arriving(spark, sf_dir, box, both, more=["source"])
+        arriving(spark, sf_dir, box, both, more=["source"], timed=True)
         _beat(spark, sf_dir, box, both)
         _CONTROLLED[key] = box
     return _CONTROLLED[key]
@@ -133,9 +142,10 @@ def stream_error_rate_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def start(source):
         rates = gate.sliding_rate_stream(quality.check(source, ROWS, OPTIONS), 6 * HOUR, HOUR, "0 seconds")
-        return ingest.triggered(rates.writeStream.format("parquet").option("path", f"{box}/out").option("checkpointLocation", f"{box}/checkpoint"),
-                                once=True).start()
-    arriving(spark, sf_dir, box, start, more=["source"])
+        writer = rates.writeStream.format("parquet").option("path", f"{box}/out").option("checkpointLocation", f"{box}/checkpoint")
+        with narrow_state(spark):
+            return ingest.triggered(writer, once=True).start()
+    arriving(spark, sf_dir, box, start, more=["source"], timed=True)
     _beat(spark, sf_dir, box, start)
     return spark.read.parquet(f"{box}/out").where(F.col("source") != HEARTBEAT).withColumn("error_rate", F.round("error_rate", 6))
 

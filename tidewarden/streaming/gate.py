@@ -22,7 +22,7 @@ from tidewarden.operators.breaker import CLOSED, HALF_OPEN, OPEN, BreakerOptions
 from tidewarden.operators.windows import slice_start
 from tidewarden.sources import sinks
 from tidewarden.streaming.ingest import triggered
-from tidewarden.streaming.stateful import breaker_stream, processor_store, stream_slices
+from tidewarden.streaming.stateful import breaker_stream, narrow_state, processor_store, stream_slices
 
 SHARDS = 16
 GATED = "source string, offset bigint, slice bigint, gate string, released_at bigint"
@@ -52,7 +52,7 @@ def start_breaker(checked: DataFrame, root: str, checkpoint: str, options: Break
     """
     states = breaker_stream(stream_slices(checked, options, lateness), options)
     writer = states.writeStream.foreachBatch(write_control(root)).option("checkpointLocation", checkpoint)
-    with processor_store(checked.sparkSession):
+    with processor_store(checked.sparkSession), narrow_state(checked.sparkSession):
         return triggered(writer, once).start()
 
 
@@ -154,7 +154,7 @@ def start_gate(events: DataFrame, states: DataFrame, path: str, checkpoint: str,
     """Gated and released events, appended to a folder of Parquet files."""
     writer = gate_stream(events, states, options, lateness, keep, shards).writeStream.format("parquet").outputMode("append") \
         .option("path", path).option("checkpointLocation", checkpoint)
-    with processor_store(events.sparkSession):
+    with processor_store(events.sparkSession), narrow_state(events.sparkSession):
         return triggered(writer, once).start()
 
 
