@@ -3,11 +3,12 @@
 import json
 from decimal import Decimal
 
-from conftest import arrivals, event
+from conftest import SF, arrivals, event
 from pyspark.sql import functions as F
 
 from tidewarden import model
 from tidewarden.operators import dedupe, ingest, metrics
+from tidewarden.plans import feed
 
 
 def bronze(spark, payloads):
@@ -67,3 +68,11 @@ def test_producer_frame_keeps_nulls_and_keys(spark):
 def test_one_parse_per_payload(spark):
     plan = bronze(spark, [event(1)])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_no_file_of_the_landed_log_is_larger_than_a_block(spark, monkeypatch):
+    """A file is read by one task, and a range of offsets lies in few files."""
+    monkeypatch.setattr(feed, "_LANDED", {})
+    monkeypatch.setattr(feed, "BLOCK", 20)
+    files = feed.raw_log(spark, SF).groupBy(F.input_file_name()).count()
+    assert files.agg(F.sum("count"), F.max("count")).first() == (feed.table(spark, SF, "events").count(), 20)
