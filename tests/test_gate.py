@@ -178,3 +178,28 @@ def test_log_whose_offsets_do_not_follow_time_is_counted_whole(spark, tmp_path,
     monkeypatch.setattr(streams, "BLOCK", 10)
     got = streams.stream_error_rate_sliding(spark, str(tmp_path)).agg(F.sum("total"), F.max("total")).first()
     assert tuple(got) == (6 * 240, 2 * 36)
+
+
+def test_control_tables_do_not_wait_for_the_gate(spark, tmp_path, monkeypatch):
+    """States and alerts come from the breaker alone; the gate is run later, over the same slices and the states known by each."""
+    raw = spark.range(2400).selectExpr(
+        "0 AS partition", "id AS offset", "timestamp_seconds(1704067200 + 150 * id) AS arrived_at", "'web' AS source",
+        "CASE WHEN id % 300 < 40 THEN 'x' ELSE '{}' END AS value")
+    monkeypatch.setattr(streams, "raw_log", lambda spark, sf: raw)
+    monkeypatch.setattr(streams.quality, "check", lambda df, *_: df.withColumn("failures", F.array_compact(F.array(F.when(F.col("value") == "x", "X")))))
+    asked = []
+    with monkeypatch.context() as patch:
+        patch.setattr(gate, "start_gate", lambda *_, **__: pytest.fail("the gate was started"))
+        states = streams.stream_breaker_states(spark, str(tmp_path)).cache()
+        raised = streams.stream_alerts(spark, str(tmp_path)).count()
+    assert states.agg(F.sum("total"), F.sum("bad")).first()[:] == (2400, 320)
+    assert raised == states.where("state <> state_before").count() > 2
+    start = gate.start_gate
+    monkeypatch.setattr(gate, "start_gate", lambda events, *more, **named: asked.append(1) or start(events, *more, **named))
+    want = breaker.gate(raw, states, "arrived_at", options=streams.BREAKER, spread_by=["offset"]).select("source", "offset", "gate")
+    got = streams.stream_gated(spark, str(tmp_path))
+    assert got.count() == 2400 and got.exceptAll(want).count() == 0
+    held = streams.stream_released(spark, str(tmp_path)).select("source", "offset", "slice", "released_at")
+    freed = breaker.released(raw, states, "arrived_at", options=streams.BREAKER, spread_by=["offset"]).select("source", "offset", "slice", "released_at")
+    assert held.count() == freed.count() > 0 and held.exceptAll(freed).count() == 0
+    assert len(asked) == streams.SLICES + 1

@@ -25,7 +25,13 @@ _ROUTED: dict[tuple[str, str], str] = {}
 
 
 HEARTBEAT = "heartbeat"    # the source of rows that only carry the time on
-_CONTROLLED: dict[tuple[str, str], str] = {}
+_CONTROLLED: dict[tuple[str, str], tuple[str, list[int]]] = {}
+_GATED: dict[tuple[str, str], str] = {}
+
+
+def _landed(spark: SparkSession, box: str, newest: int, more: list[str] = []) -> DataFrame:
+    """The slices landed up to the ``newest`` one, as a stream. Each has a folder, so a second query can be given the same slices, one by one."""
+    return streams.parquet_stream(spark, f"{box}/in/{{{','.join(map(str, range(newest + 1)))}}}", more=", ".join(f"{c} STRING" for c in more))
 
 
 def arriving(spark: SparkSession, sf_dir: str, box: str, start, more: list[str] = [], timed: bool = False) -> None:
@@ -40,8 +46,8 @@ def arriving(spark: SparkSession, sf_dir: str, box: str, start, more: list[str]
     first = (first or 0) if timed else 0
     nth = F.coalesce(F.floor((at - first) * SLICES / ((last or 0) - first + 1)), F.lit(0))
     for i in range(SLICES):
-        raw.where(nth == i).write.mode("append").option("maxRecordsPerFile", BLOCK).parquet(f"{box}/in")
-        start(streams.parquet_stream(spark, f"{box}/in", more=", ".join(f"{c} STRING" for c in more))).awaitTermination()
+        raw.where(nth == i).write.option("maxRecordsPerFile", BLOCK).parquet(f"{box}/in/{i}")
+        start(_landed(spark, box, i, more)).awaitTermination()
 
 
 def stream_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,28 +90,30 @@ def _beat(spark: SparkSession, sf_dir: str, box: str, start) -> None:
     """A row of a source of its own, two days after the log's end: it closes all windows of the log."""
     raw_log(spark, sf_dir).agg((F.max("arrived_at") + F.expr("interval 2 days")).alias("arrived_at")).select(
         F.lit(-1).alias("partition"), F.lit(-1).cast("bigint").alias("offset"), "arrived_at", F.lit("{}").alias("value"),
-        F.lit(HEARTBEAT).alias("source")).write.mode("append").parquet(f"{box}/in")
-    start(streams.parquet_stream(spark, f"{box}/in", more="source STRING")).awaitTermination()
+        F.lit(HEARTBEAT).alias("source")).write.parquet(f"{box}/in/{SLICES}")
+    start(_landed(spark, box, SLICES, ["source"])).awaitTermination()
 
 
-def controlled(spark: SparkSession, sf_dir: str) -> str:
-    """Runs the breaker and the gate over the arriving log; gives their folder. They run once per session and log."""
+def controlled(spark: SparkSession, sf_dir: str) -> tuple[str, list[int]]:
+    """Runs the breaker over the arriving log; gives its folder and the newest batch of states after each start. It runs once per
+    session and log, and without the gate: no control table needs that."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CONTROLLED:
-        box = shared_dir(spark, "stream-gate")
-
-        def both(source):
-            gate.start_breaker(quality.check(source, ROWS, OPTIONS), f"{box}/out", f"{box}/breaker", BREAKER, "0 seconds", once=True).awaitTermination()
-            return gate.start_gate(source, gate.state_stream(spark, f"{box}/out"), f"{box}/gated", f"{box}/gate", BREAKER, "0 seconds",
-                                   keep=24 * HOUR, once=True, shards=4)
-        arriving(spark, sf_dir, box, both, more=["source"], timed=True)
-        _beat(spark, sf_dir, box, both)
-        _CONTROLLED[key] = box
+        box, newest = shared_dir(spark, "stream-breaker"), []
+
+        def start(source):
+            query = gate.start_breaker(quality.check(source, ROWS, OPTIONS), f"{box}/out", f"{box}/breaker", BREAKER, "0 seconds", once=True)
+            query.awaitTermination()
+            newest.append(sinks.newest_batch(spark, f"{box}/out/states"))
+            return query
+        arriving(spark, sf_dir, box, start, more=["source"], timed=True)
+        _beat(spark, sf_dir, box, start)
+        _CONTROLLED[key] = box, newest
     return _CONTROLLED[key]
 
 
 def _control(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return sinks.read_table(spark, f"{controlled(spark, sf_dir)}/out/{name}").drop("batch_id").where(F.col("source") != HEARTBEAT)
+    return sinks.read_table(spark, f"{controlled(spark, sf_dir)[0]}/out/{name}").drop("batch_id").where(F.col("source") != HEARTBEAT)
 
 
 def stream_breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +133,15 @@ def stream_control_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.schema(gate.GATED).parquet(f"{controlled(spark, sf_dir)}/gated").where(F.col("source") != HEARTBEAT)
+    """Runs the gate over the slices that the breaker was given, each with the states known by then; it runs once per session and log."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GATED:
+        box, newest = controlled(spark, sf_dir)
+        for i, known in enumerate(newest):
+            gate.start_gate(_landed(spark, box, i, ["source"]), gate.state_stream(spark, f"{box}/out", known), f"{box}/gated", f"{box}/gate",
+                            BREAKER, "0 seconds", keep=24 * HOUR, once=True, shards=4).awaitTermination()
+        _GATED[key] = f"{box}/gated"
+    return spark.read.schema(gate.GATED).parquet(_GATED[key]).where(F.col("source") != HEARTBEAT)
 
 
 def stream_gated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,10 +56,11 @@ def start_breaker(checked: DataFrame, root: str, checkpoint: str, options: Break
         return triggered(writer, once).start()
 
 
-def state_stream(spark: SparkSession, root: str) -> DataFrame:
-    """The states that ``start_breaker`` appends, as a stream. A batch that was written twice shows its rows twice; the gate takes
-    the same state once."""
-    return spark.readStream.schema(STATE_ROWS).parquet(f"{root}/states/data")
+def state_stream(spark: SparkSession, root: str, newest: int | None = None) -> DataFrame:
+    """The states that ``start_breaker`` appends, as a stream, or those of its batches up to the ``newest`` one. A batch that was written
+    twice shows its rows twice; the gate takes the same state once."""
+    some = "" if newest is None else f"/batch_id={{{','.join(map(str, range(newest + 1)))}}}"
+    return spark.readStream.schema(STATE_ROWS).parquet(f"{root}/states/data{some}")
 
 
 class _Gate(StatefulProcessor):
