@@ -9,7 +9,7 @@ from tidewarden.plans import streams
 from tidewarden.session import shared_dir
 from tidewarden.sources import sinks
 from tidewarden.streaming import gate
-from tidewarden.streaming.stateful import WIDTH, narrow_state
+from tidewarden.streaming.stateful import SPLITS, WIDTH, fine_splits, narrow_state
 
 OPTIONS = breaker.BreakerOptions(step=10)
 
@@ -203,3 +203,21 @@ def test_control_tables_do_not_wait_for_the_gate(spark, tmp_path, monkeypatch):
     freed = breaker.released(raw, states, "arrived_at", options=streams.BREAKER, spread_by=["offset"]).select("source", "offset", "slice", "released_at")
     assert held.count() == freed.count() > 0 and held.exceptAll(freed).count() == 0
     assert len(asked) == streams.SLICES + 1
+
+
+def test_slices_are_read_in_more_tasks_than_cores(spark):
+    """Few large splits would leave cores waiting for the last one; a number that the session names is kept."""
+    box, cores, seen = shared_dir(spark, "splits"), spark.sparkContext.defaultParallelism, []
+    spark.range(0, 640, 1, 8 * cores).selectExpr("0 AS partition", "id AS offset", "timestamp_seconds(id) AS arrived_at", "'{}' AS value").write.parquet(f"{box}/in/0")
+    with fine_splits(spark):
+        streams._landed(spark, box, 0).writeStream.option("checkpointLocation", f"{box}/ck").trigger(availableNow=True) \
+            .foreachBatch(lambda batch, _: seen.append((batch.rdd.getNumPartitions(), batch.count()))).start().awaitTermination()
+    assert len(seen) == 1 and seen[0][0] > 2 * cores and seen[0][1] == 640
+    assert spark.conf.get(SPLITS, None) is None
+    spark.conf.set(SPLITS, 3)
+    try:
+        with fine_splits(spark):
+            assert spark.conf.get(SPLITS) == "3"
+        assert spark.conf.get(SPLITS) == "3"
+    finally:
+        spark.conf.unset(SPLITS)

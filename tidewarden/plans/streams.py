@@ -17,7 +17,7 @@ from tidewarden.plans.queries import BREAKER, HOUR, OPTIONS, ROWS, printable
 from tidewarden.session import shared_dir
 from tidewarden.sources import sinks, streams
 from tidewarden.streaming import gate, ingest, live, routing
-from tidewarden.streaming.stateful import narrow_state
+from tidewarden.streaming.stateful import fine_splits, narrow_state
 
 LOG = ["partition", "offset", "arrived_at", "value"]
 SLICES = 3
@@ -45,9 +45,10 @@ def arriving(spark: SparkSession, sf_dir: str, box: str, start, more: list[str]
     first, last = raw.agg(F.min(at), F.max(at)).first()
     first = (first or 0) if timed else 0
     nth = F.coalesce(F.floor((at - first) * SLICES / ((last or 0) - first + 1)), F.lit(0))
-    for i in range(SLICES):
-        raw.where(nth == i).write.option("maxRecordsPerFile", BLOCK).parquet(f"{box}/in/{i}")
-        start(_landed(spark, box, i, more)).awaitTermination()
+    with fine_splits(spark):
+        for i in range(SLICES):
+            raw.where(nth == i).write.option("maxRecordsPerFile", BLOCK).parquet(f"{box}/in/{i}")
+            start(_landed(spark, box, i, more)).awaitTermination()
 
 
 def stream_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
